@@ -368,3 +368,15 @@ def edit_distance(a: Column, b: Column) -> Column:
     """Levenshtein distance over the longer length, 0 when both texts are empty."""
     longest = F.greatest(F.length(a), F.length(b))
     return F.when(a == b, F.lit(0.0)).when(longest > 0, edit_steps(a, b) / longest).otherwise(F.lit(0.0))
+
+
+def parse_width(col: Column) -> Column:
+    """Trailing ``_digits`` of ``prefix_width``; NULL when absent."""
+    return F.regexp_extract(col, r"_(\d+)$", 1).try_cast("int")
+
+
+def parse_size(df, column: str = "id"):
+    """Rows whose id ends in ``_width_height``, with base, ``w`` and ``h``."""
+    pattern = r"^(.+)_(\d+)_(\d+)$"
+    part = lambda i: F.regexp_extract(column, pattern, i)
+    return df.where(F.col(column).rlike(pattern)).select("*", part(1).alias("base"), part(2).try_cast("int").alias("w"), part(3).try_cast("int").alias("h"))
