@@ -360,7 +360,8 @@ def edit_steps(a: Column, b: Column) -> Column:
     longest = F.greatest(F.length(a), F.length(b))
     narrow = (longest / 16).cast("int") + 1
     wide = (longest / 4).cast("int") + 1
-    banded = lambda k: F.nullif(F.call_function("levenshtein", a, b, k), F.lit(-1))
+    # `let` keeps a banded attempt from being evaluated again by the test of its result.
+    banded = lambda k: let(F.call_function("levenshtein", a, b, k), lambda v: F.when(v >= 0, v))
     return F.coalesce(banded(narrow), banded(wide), F.levenshtein(a, b))
 
 

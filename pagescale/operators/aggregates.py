@@ -57,7 +57,7 @@ def histogram_shared_edges(df: DataFrame, label: str, x: str, bins: int) -> Data
     guess = F.least(F.floor((F.col("_x") - F.col("_lo")) / step), F.lit(bins - 1))
     settled = F.when(F.col("_x") < edge(guess), guess - 1).when((F.col("_x") >= edge(guess + 1)) & (guess < bins - 1), guess + 1).otherwise(guess)
     counted = rows.join(F.broadcast(ends)).groupBy(label, settled.alias("bin")).agg(F.count("*").alias("n"))  # ends: one row
-    grid = rows.select(label).distinct().select(label, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).cast("long").alias("bin"))
+    grid = rows.select(label).distinct().select(label, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"))
     full = grid.join(counted, [label, "bin"], "left").join(F.broadcast(ends))
     return full.select(
         label, "bin", edge(F.col("bin")).alias("left_edge"), edge(F.col("bin") + 1).alias("right_edge"), F.coalesce("n", F.lit(0)).alias("n")

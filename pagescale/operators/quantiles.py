@@ -13,57 +13,57 @@ WHOLE_GROUP = 100_000
 RANK_BITS = 12
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Equi join on the keys; without keys the right side is a single row."""
+    return left.join(right, keys) if keys else left.join(F.broadcast(right))
+
+
+def exact_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], whole_group: int = WHOLE_GROUP
+) -> DataFrame:
     """One row per group with ``n`` and one exact quantile column per entry of ``probs``; NULL values are ignored.
 
-    A mergeable sketch first brackets every wanted rank. The second pass folds all rows below the bracket into one
-    counter on the map side and counts distinct values only inside it, so the ordered step sees a sliver of a large
-    group instead of the whole group.
+    Groups of at most ``whole_group`` rows take the built-in exact percentile, whose state they bound. Larger groups are
+    bracketed first: see :func:`_bracketed`.
     """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    slack = 2.0 / SKETCH_ACCURACY + 2.0 / WHOLE_GROUP
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    small = sizes.where((F.col("n") <= whole_group) & (F.col("n") > 0))
+    wanted = F.array(*[F.lit(p) for p in probs.values()])
+    exact = _joined(rows, small, keys).groupBy(*keys).agg(F.max("n").alias("n"), F.percentile("_v", wanted).alias("_q"))
+    exact = exact.where(F.col("n").isNotNull()).select(*keys, "n", *[F.col("_q")[i].alias(c) for i, c in enumerate(probs)])
+    return exact.unionByName(_bracketed(rows, sizes.where(F.col("n") > whole_group), keys, probs, whole_group))
+
+
+def _bracketed(rows: DataFrame, large: DataFrame, keys: list[str], probs: dict[str, float], whole_group: int) -> DataFrame:
+    """Quantiles of large groups: a mergeable sketch brackets every wanted rank; the second pass folds all rows below
+    the bracket into one counter on the map side and counts distinct values only inside it, so that the ordered step sees
+    a sliver of the group. The bracket is wider than the guaranteed rank error of the sketch.
+    """
+    slack = 2.0 / SKETCH_ACCURACY + 2.0 / whole_group
     edges = [e for p in probs.values() for e in (max(0.0, p - slack), min(1.0, p + slack))]
-    sketch = rows.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.percentile_approx("_v", edges, SKETCH_ACCURACY).alias("_cut"),
-    )
-    small = F.col("n") <= WHOLE_GROUP
-    brackets = sketch.select(
-        *keys,
-        "n",
-        F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("i"),
-                    F.lit(p).alias("p"),
-                    F.when(small, F.col("_min")).otherwise(F.col("_cut")[2 * i]).alias("lo"),
-                    F.when(small, F.col("_max")).otherwise(F.col("_cut")[2 * i + 1]).alias("hi"),
-                )
-                for i, p in enumerate(probs.values())
-            ]
-        ).alias("_b"),
+    rows = _joined(rows, large, keys)
+    cuts = rows.groupBy(*keys, "n").agg(F.percentile_approx("_v", edges, SKETCH_ACCURACY).alias("_cut"))
+    bracket = lambda i, p: F.struct(
+        F.lit(i).alias("i"), F.lit(p).alias("p"), F.col("_cut")[2 * i].alias("lo"), F.col("_cut")[2 * i + 1].alias("hi")
     )
-    joined = rows.join(brackets, keys) if keys else rows.join(F.broadcast(brackets))  # one row when there are no keys
+    brackets = cuts.select(*keys, F.array(*[bracket(i, p) for i, p in enumerate(probs.values())]).alias("_b"))
+    inside = _joined(rows, brackets, keys).select(*keys, "n", "_v", F.explode(F.filter("_b", lambda b: F.col("_v") <= b["hi"])).alias("_q"))
     counted = (
-        joined.select(*keys, "n", "_v", F.explode(F.filter("_b", lambda b: F.col("_v") <= b["hi"])).alias("_q"))
-        .select(*keys, "n", F.col("_q.i").alias("_i"), F.col("_q.p").alias("_p"), F.when(F.col("_v") >= F.col("_q.lo"), F.col("_v")).alias("_c"))
+        inside.select(*keys, "n", F.col("_q.i").alias("_i"), F.col("_q.p").alias("_p"), F.when(F.col("_v") >= F.col("_q.lo"), F.col("_v")).alias("_c"))
         .groupBy(*keys, "n", "_i", "_p", "_c")
         .agg(F.count("*").alias("_k"))
     )
-    order = W.partitionBy(*keys, "_i").orderBy(F.col("_c").asc_nulls_first())
-    ranked = counted.withColumn("_end", F.sum("_k").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    order = W.partitionBy(*keys, "_i").orderBy(F.col("_c").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    ranked = counted.withColumn("_end", F.sum("_k").over(order))
     at = (F.col("n") - 1) * F.col("_p")
     holds = lambda r: (F.col("_end") > r) & (F.col("_end") - F.col("_k") <= r)
     picked = ranked.groupBy(*keys, "n", "_i", "_p").agg(
         F.max(F.when(holds(F.floor(at)), F.col("_c"))).alias("_lo"), F.max(F.when(holds(F.ceil(at)), F.col("_c"))).alias("_hi")
     )
     value_at = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (at - F.floor(at))
-    return picked.groupBy(*keys, "n").agg(
-        *[F.max(F.when(F.col("_i") == i, value_at)).alias(name) for i, name in enumerate(probs)]
-    )
+    return picked.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("_i") == i, value_at)).alias(name) for i, name in enumerate(probs)])
 
 
 def hash_rank(df: DataFrame, ids: Sequence[str], seed: int = 0, name: str = "rank", bits: int = RANK_BITS) -> DataFrame:

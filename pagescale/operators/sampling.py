@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagescale import constants as C
@@ -29,42 +29,51 @@ def sample_n(df: DataFrame, n: int, seed: int, ids: list[str]) -> DataFrame:
     return hash_rank(df, ids, seed, "_rank").where(F.col("_rank") < n).drop("_rank")
 
 
-def sample_groups(df: DataFrame, ids: list[str], k: int, count: int, seed: int) -> DataFrame:
-    """``count`` distinct sorted k-subsets of the rows as ``(group_no, member_no, ids...)``.
+def draw_groups(spark: SparkSession, total: int, plan: dict[int, int], seed: int) -> DataFrame:
+    """Distinct sorted subsets of the positions below ``total`` as ``(k, group_no, m)``, ``plan[k]`` of each size.
 
-    ``count`` is capped at the number of subsets; at most 20 draws are made per wanted group and an error reports a
-    shortfall. Draws pick positions in the hashed order of the rows, so only positions are drawn and rows join once.
+    Counts are capped at the number of subsets. At most 20 draws are made per wanted group; a shortfall is an error.
     """
-    total = df.count()
-    if k > total:
-        raise ValueError("k must not exceed the number of rows")
-    count = min(count, math.comb(total, k))
-    pick = lambda j: F.pmod(F.xxhash64("id", j, F.lit(k), F.lit(seed)), F.lit(total))
-    members = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(k)), pick)))
-    draws = df.sparkSession.range(DRAWS_PER_GROUP * count).select("id", members.alias("m")).where(F.size("m") == k)
-    chosen = draws.groupBy("m").agg(F.min("id").alias("draw")).orderBy("draw").limit(count)
-    if chosen.count() < count:
-        raise RuntimeError(f"could not draw {count} distinct groups of {k}")
+    out = None
+    wanted = {}
+    for k, count in plan.items():
+        if k > total:
+            raise ValueError("the group size must not exceed the number of rows")
+        wanted[k] = min(count, math.comb(total, k))
+        pick = lambda j: F.pmod(F.xxhash64("id", j, F.lit(k), F.lit(seed)), F.lit(total))  # noqa: E731, B023
+        members = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(k)), pick)))
+        draws = spark.range(DRAWS_PER_GROUP * wanted[k]).select("id", members.alias("m")).where(F.size("m") == k)
+        chosen = draws.groupBy("m").agg(F.min("id").alias("group_no")).orderBy("group_no").limit(wanted[k]).select(F.lit(k).alias("k"), "group_no", "m")
+        out = chosen if out is None else out.unionByName(chosen)
+    got = {r["k"]: r["n"] for r in out.groupBy("k").agg(F.count("*").alias("n")).collect()}  # one row per size
+    short = [k for k, n in wanted.items() if got.get(k, 0) < n]
+    if short:
+        raise RuntimeError(f"could not draw enough distinct groups of size {short}")
+    return out
+
+
+def sample_groups(df: DataFrame, ids: list[str], plan: dict[int, int], seed: int) -> DataFrame:
+    """Random groups of rows as ``(k, group_no, member_no, ids...)``.
+
+    Draws pick positions in the hashed order of the rows, so the rows are numbered once and joined once for all sizes.
+    """
+    chosen = draw_groups(df.sparkSession, df.count(), plan, seed)
     numbered = hash_rank(df, ids, seed, "_pos").select("_pos", *ids)
-    flat = chosen.select(F.col("draw").alias("group_no"), F.posexplode("m").alias("member_no", "_pos"))
+    flat = chosen.select("k", "group_no", F.posexplode("m").alias("member_no", "_pos"))
     return flat.join(numbered, "_pos").drop("_pos")
 
 
 def build_groups(blocks: DataFrame, plan: dict[int, int], seed: int, prefix: str = "group") -> DataFrame:
     """Block groups of every planned size with their joined text; blocks need ``page_id, block_no, text``."""
-    out = None
-    for k, count in plan.items():
-        drawn = sample_groups(blocks, ["page_id", "block_no"], k, count, seed).join(blocks, ["page_id", "block_no"])
-        code = X.block_code(F.col("page_id"), F.col("block_no"))
-        item = F.array_sort(F.collect_list(F.struct("member_no", code.alias("code"), "text")))  # k members
-        rows = drawn.groupBy("group_no").agg(item.alias("g")).select(
-            F.lit(k).alias("k"),
-            "group_no",
-            F.transform("g", lambda m: m["code"]).alias("blocks"),
-            F.array_join(F.transform("g", lambda m: m["text"]), " ").alias("gt"),
-        )
-        out = rows if out is None else out.unionByName(rows)
-    return out.withColumn("image", F.concat_ws("_", F.lit(prefix), F.col("k").cast("string"), F.array_join("blocks", "")))
+    chosen = draw_groups(blocks.sparkSession, blocks.count(), plan, seed)
+    numbered = hash_rank(blocks.select("page_id", "block_no", "text"), ["page_id", "block_no"], seed, "_pos")
+    flat = chosen.select("k", "group_no", F.posexplode("m").alias("member_no", "_pos")).join(numbered, "_pos")
+    code = X.block_code(F.col("page_id"), F.col("block_no"))
+    item = F.array_sort(F.collect_list(F.struct("member_no", code.alias("code"), "text")))  # k members
+    rows = flat.groupBy("k", "group_no").agg(item.alias("g")).select(
+        "k", "group_no", F.transform("g", lambda m: m["code"]).alias("blocks"), F.array_join(F.transform("g", lambda m: m["text"]), " ").alias("gt")
+    )
+    return rows.withColumn("image", F.concat_ws("_", F.lit(prefix), F.col("k").cast("string"), F.array_join("blocks", "")))
 
 
 def pick_per_record(df: DataFrame, sizes: list[int], seed: int, blocks: str = "blocks", key: str = "page_id") -> DataFrame:

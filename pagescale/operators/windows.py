@@ -73,7 +73,7 @@ def _interval(iqr: Column, first_bin: Column, width: int, left: float, right: fl
         edge = lambda b: (first_bin + b).cast("double") * width
         return F.struct((edge(l_bin) + width).alias("L"), (edge(r_bin) + width / 2.0).alias("R"))
 
-    return let(_smooth(iqr), search)
+    return let(iqr, lambda values: let(_smooth(values), search))
 
 
 def variance_interval(

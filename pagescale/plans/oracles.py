@@ -97,7 +97,7 @@ SELECT resolution, font_size, line_spacing, letter_spacing, CAST(text_len//100 A
 FROM analysis_points GROUP BY ALL""",
     "bins": """
 SELECT g.*, coalesce(b.q_high, 0) AS q_high, coalesce(b.q_low, 0) AS q_low, coalesce(b.q_high, 0)-coalesce(b.q_low, 0) AS q_diff, coalesce(b.n, 0) AS n
-FROM (SELECT resolution, font_size, line_spacing, letter_spacing, unnest(range(min(bin), max(bin)+1)) AS bin FROM binned GROUP BY ALL) g
+FROM (SELECT resolution, font_size, line_spacing, letter_spacing, unnest(range(lo, hi+1)) AS bin FROM (SELECT resolution, font_size, line_spacing, letter_spacing, min(bin) AS lo, max(bin) AS hi FROM binned GROUP BY ALL)) g
 LEFT JOIN binned b USING (resolution, font_size, line_spacing, letter_spacing, bin)""",
     "em_points": """
 SELECT *, (character_width+letter_spacing)/(character_height+line_spacing) AS V, power(resolution/64.0::DOUBLE, 2) AS vision_token_num,

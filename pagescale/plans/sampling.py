@@ -28,7 +28,7 @@ def sample_n(spark, d):
 @query("smp2_sample_groups")
 def sample_groups(spark, d):
     docs = fx.table(spark, d, "documents").select("doc_id")
-    return O.sample_groups(docs, ["doc_id"], 3, docs.count() // 5, 42)
+    return O.sample_groups(docs, ["doc_id"], {3: docs.count() // 5}, 42)
 
 
 @query("smp4_build_groups")
