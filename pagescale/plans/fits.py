@@ -1 +1,156 @@
+"""Queries on power-law fits."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pagescale import constants as C
+from pagescale.operators import regression as O
+from pagescale.operators import windows as Wn
+from pagescale.operators.aggregates import bin_quantiles
+from pagescale.operators.neighbours import trim_sparse
+from pagescale.plans import fixtures as fx
+from pagescale.plans.catalog import query, r6, rounded
+from pagescale.session import cut_lineage
+
+KEYS = "resolution, font_size, line_spacing, letter_spacing"
+POINT_IDS = ["image_id"]
+
+
+@query(
+    "fit1_fit_k",
+    f"""SELECT {KEYS}, round(k+1e-9, 6) AS k, round(k/(resolution*resolution)*1e6+1e-9, 6) AS k_r2, n FROM (SELECT {KEYS}, sum(x*patch_density)/sum(x*x) AS k, count(*) AS n FROM (SELECT *, text_len/(resolution*resolution)::DOUBLE AS x FROM analysis_points WHERE text_len > 0) GROUP BY {KEYS})""",
+)
+def fit_k(spark, d):
+    return rounded(O.fit_k(fx.analysis_points(spark, d)).withColumn("k_r2", F.col("k_r2") * 1e6))
+
+
+@query(
+    "fit2_fit_loglog",
+    f"""SELECT {KEYS}, 'linear' AS fit_type, round(regr_slope(yy, x)+1e-9, 5) AS b1, round(regr_intercept(yy, x)+1e-9, 5) AS intercept, round(CASE WHEN regr_count(yy, x) >= 2 THEN regr_r2(yy, x) END+1e-9, 5) AS r2, regr_count(yy, x) AS n_points FROM log_points GROUP BY {KEYS}""",
+)
+def loglog(spark, d):
+    out = O.fit_loglog(fx.analysis_points(spark, d))
+    return out.select(*C.GROUP_KEYS, "fit_type", *[r6(c, 5).alias(c) for c in ("b1", "intercept", "r2")], "n_points")
+
+
+HINGE = """used AS (SELECT resolution, x, yy FROM log_points WHERE x IS NOT NULL),
+cuts AS (SELECT resolution, unnest([0,1,2,3,4,5,6]) AS knot, unnest(quantile_cont(x, [0.2,0.3,0.4,0.5,0.6,0.7,0.8])) AS xb FROM used GROUP BY resolution),
+h AS (SELECT u.resolution, knot, xb, x, yy, greatest(x-xb, 0) AS h FROM used u JOIN cuts USING (resolution)),
+s AS (SELECT resolution, knot, xb, count(*) AS n, var_pop(x) AS xx, var_pop(h) AS hh, var_pop(yy) AS y2, covar_pop(x, h) AS xh, covar_pop(x, yy) AS xy, covar_pop(h, yy) AS hy FROM h GROUP BY ALL),
+b AS (SELECT *, (xy*hh-hy*xh)/(xx*hh-xh*xh) AS b1, (hy*xx-xy*xh)/(xx*hh-xh*xh) AS turn FROM s),
+f AS (SELECT *, (b1*xy+turn*hy)/y2 AS r2 FROM b)"""
+
+
+@query(
+    "fit3_fit_hinge",
+    f"""WITH {HINGE} SELECT resolution, round(xb+1e-9, 5) AS xb, round(b1+1e-9, 4) AS b1, round(b1+turn+1e-9, 4) AS b2, round(r2+1e-9, 5) AS r2, n AS n_points FROM (SELECT *, row_number() OVER (PARTITION BY resolution ORDER BY r2 DESC, knot) AS rn FROM f) WHERE rn = 1""",
+)
+def hinge(spark, d):
+    out = O.fit_hinge(O.log_points(fx.analysis_points(spark, d)), ["resolution"])
+    return out.select("resolution", r6("xb", 5).alias("xb"), r6("b1", 4).alias("b1"), r6("b2", 4).alias("b2"), r6("r2", 5).alias("r2"), "n_points")
+
+
+@query("fit4_trim_sparse")
+def trimmed(spark, d):
+    """Log-log fits after the sparsest points of every group are dropped."""
+    logged = cut_lineage(O.log_points(fx.analysis_points(spark, d)).select("image_id", *C.GROUP_KEYS, "x", "y"), "logged")
+    kept = trim_sparse(logged.where(F.col("x").isNotNull()), C.GROUP_KEYS, POINT_IDS)
+    return O.line_fits(kept).select(*C.GROUP_KEYS, r6("b1", 5).alias("b1"), r6("r2", 5).alias("r2"), "n_points")
+
+
+@query("fit5_fit_consensus")
+def consensus(spark, d):
+    logged = O.log_points(fx.analysis_points(spark, d)).where(F.col("resolution").isin(*C.CONSENSUS_RESOLUTIONS))
+    logged = cut_lineage(logged.select("image_id", *C.GROUP_KEYS, "x", "y"), "logged")
+    out = O.fit_consensus(logged, C.GROUP_KEYS)
+    return out.select(*C.GROUP_KEYS, "fit_type", r6("b1", 5).alias("b1"), r6("intercept", 5).alias("intercept"), r6("r2", 5).alias("r2"), "n_points", "n_inliers")
+
+
+@query(
+    "fit6_pair_stats",
+    """SELECT l_returnflag, round(1-sum(power(l_extendedprice-l_quantity*2000, 2))/(var_pop(l_extendedprice)*count(*))+1e-9, 5) AS r2, round(corr(l_quantity, l_extendedprice)+1e-9, 6) AS corr, count(*) AS n FROM lineitem GROUP BY ALL""",
+)
+def stats(spark, d):
+    li = fx.table(spark, d, "lineitem").withColumn("pred", F.col("l_quantity") * 2000)
+    out = O.pair_stats(li, "l_quantity", "l_extendedprice", "pred", ["l_returnflag"])
+    return out.select("l_returnflag", r6("r2", 5).alias("r2"), r6("corr").alias("corr"), "n")
+
+
+@query("fit7_fit_censored")
+def censored(spark, d):
+    """Threshold regression on page lengths with the longest twentieth taken as censored, in natural logs."""
+    pts = cut_lineage(fx.analysis_points(spark, d).select(*C.GROUP_KEYS, "text_len", "edit_distance"), "points")
+    rows = pts.withColumn("y", F.ln("text_len")).withColumn("bound", F.lit(9.6)).withColumn("cens", F.col("y") > 9.6).withColumn("log_r", F.ln(F.col("resolution").cast("double")))
+    features = [*C.STYLE_KEYS, "log_r"]
+    fit = O.fit_censored(rows, features, "y", "cens", "bound")
+    predicted = O.predict_censored(rows, features, fit)
+    return predicted.groupBy("resolution").agg(F.count("*").alias("n"), F.count_if("cens").alias("n_censored"), F.round(F.avg("log_l0_pred"), 4).alias("mean_pred")).withColumn("sigma", F.lit(round(fit["sigma"], 4)))
+
+
+def _with_l0(spark, d):
+    """Points with a fixed threshold per resolution."""
+    l0 = F.element_at(F.create_map(*[F.lit(x) for kv in {512: 400.0, 640: 500.0, 1024: 600.0, 1280: 700.0}.items() for x in kv]), F.col("resolution"))
+    return cut_lineage(fx.analysis_points(spark, d).withColumn("L0", l0), "points")
+
+
+@query("fit8_fit_global_power")
+def global_power(spark, d):
+    fit, cs = O.fit_global_power(_with_l0(spark, d))
+    return cs.select(*C.STYLE_KEYS, r6(F.ln("c_style"), 4).alias("log_c"), "n").withColumns({k: F.lit(round(fit[k], 5)) for k in ("theta_a", "theta_b", "phi")})
+
+
+FIXED_FIT = {"theta_a": 0.5, "theta_b": 0.05, "phi": 1.1, "c_median": 0.002}
+
+
+@query(
+    "fit9_predict_power",
+    """SELECT resolution, round(avg(least(greatest(1-exp(-(0.002+font_size/1e6::DOUBLE)*power(greatest(text_len-500, 0)::DOUBLE, 0.5+0.05*ln(resolution))*power(resolution::DOUBLE, -1.1)), 0), 1))+1e-9, 6) AS mean_pred FROM analysis_points GROUP BY ALL""",
+)
+def predict(spark, d):
+    pts = fx.analysis_points(spark, d).withColumn("L0", F.lit(500.0))
+    cs = pts.select(*C.STYLE_KEYS).distinct().withColumn("c_style", 0.002 + F.col("font_size") / 1e6)
+    return O.predict_power(pts, FIXED_FIT, cs).groupBy("resolution").agg(r6(F.avg("e_pred")).alias("mean_pred"))
+
+
+@query("fit10_power_diagnostics")
+def diagnostics(spark, d):
+    pts = _with_l0(spark, d)
+    fit, cs = O.fit_global_power(pts)
+    metrics, _, _ = O.power_diagnostics(pts, fit, cut_lineage(cs, "styles"))
+    return rounded(metrics.withColumn("reasons", F.array_join("reasons", ",")))
+
+
+@query("fit10_power_diagnostics_by_resolution")
+def diagnostics_by_res(spark, d):
+    pts = _with_l0(spark, d)
+    fit, cs = O.fit_global_power(pts)
+    return rounded(O.power_diagnostics(pts, fit, cut_lineage(cs, "styles"))[1])
+
+
+GROUP_FIT = f"""rw AS (SELECT *, CASE WHEN token_len > 100 THEN ln(token_len-100.0::DOUBLE+1e-6) END AS gx, CASE WHEN token_len > 100 THEN ln(edit_distance+1e-6) END AS gy FROM analysis_points),
+g AS (SELECT {KEYS}, regr_count(gy, gx) AS n_points, regr_slope(gy, gx) AS theta, regr_intercept(gy, gx) AS logA, regr_sxx(gy, gx) AS sxx, regr_syy(gy, gx) AS syy, regr_sxy(gy, gx) AS sxy, regr_avgx(gy, gx) AS mx FROM rw GROUP BY {KEYS}),
+grp AS (SELECT {KEYS}, n_points, theta, logA, sqrt((syy-theta*sxy)/(n_points-2)/sxx) AS se_theta, sqrt((syy-theta*sxy)/(n_points-2)*(1.0::DOUBLE/n_points+mx*mx/sxx)) AS se_logA, 1-(syy-theta*sxy)/syy AS r2, sqrt((syy-theta*sxy)/n_points) AS rmse FROM g)"""
+
+
+@query("fit12_fit_group_power", f"WITH {GROUP_FIT} SELECT {KEYS}, n_points, {', '.join(f'round({c}+1e-9, 5) AS {c}' for c in ('theta', 'logA', 'se_theta', 'se_logA', 'r2', 'rmse'))} FROM grp")
+def group_power(spark, d):
+    out = O.fit_group_power(fx.analysis_points(spark, d).withColumn("L0", F.lit(100.0)))
+    return out.select(*C.GROUP_KEYS, "n_points", *[r6(c, 5).alias(c) for c in ("theta", "logA", "se_theta", "se_logA", "r2", "rmse")])
+
+
+@query("fit13_fit_theta_meta")
+def meta(spark, d):
+    groups = cut_lineage(O.fit_group_power(fx.analysis_points(spark, d).withColumn("L0", F.lit(100.0))), "groups")
+    fit, predicted = O.fit_theta_meta(groups, weight="se", r_feature="log", interactions=True)
+    return predicted.select(*C.GROUP_KEYS, r6("theta_pred", 5).alias("theta_pred"), r6("weight", 3).alias("weight")).withColumn("r2", F.lit(round(fit["r2"], 5)))
+
+
+@query("flow_length_laws")
+def flow(spark, d):
+    """Clean the measurements by interval, find thresholds, fit ln E on ln L per style and resolution."""
+    pts = cut_lineage(fx.analysis_points(spark, d), "points")
+    kept = cut_lineage(Wn.preprocess(pts)[0], "kept")
+    l0 = Wn.liftoff_threshold(bin_quantiles(kept, C.GROUP_KEYS), kept)
+    fits = O.fit_loglog(kept).select(*C.GROUP_KEYS, r6("b1", 5).alias("b1"), r6("r2", 5).alias("r2"), "n_points")
+    return fits.join(l0.select(*C.GROUP_KEYS, F.col("L0").alias("lift_off"), "censored"), C.GROUP_KEYS)

@@ -8,7 +8,8 @@ from pagescale import constants as C
 from pagescale.operators import windows as O
 from pagescale.operators.aggregates import bin_quantiles
 from pagescale.plans import fixtures as fx
-from pagescale.plans.catalog import query, r6, rounded
+from pagescale.plans.catalog import query, r6
+from pagescale.session import cut_lineage
 
 KEYS = "resolution, font_size, line_spacing, letter_spacing"
 
@@ -43,17 +44,18 @@ a AS (SELECT *, min(CASE WHEN s > 0.15 AND i < peak THEN i END) OVER (PARTITION
 lr AS (SELECT {KEYS}, any_value(np) AS n_points, any_value(b0) AS b0, any_value(b1) AS b1, min(CASE WHEN quiet_right AND i >= peak THEN bin END) AS rb FROM a GROUP BY {KEYS})"""
 
 
-@query("win3_variance_interval")
-def interval(spark, d):
-    return O.variance_interval(fx.analysis_points(spark, d))
+WALK = f"""{INTERVALS},
+walk AS (SELECT {KEYS}, peak+1 AS i, TRUE AS armed, 0 AS stop_i FROM (SELECT DISTINCT {KEYS}, peak FROM a) UNION ALL
+  SELECT {KEYS}, i, NOT (armed AND quiet_left) AND (armed OR s > 0.15), CASE WHEN armed AND quiet_left THEN i ELSE stop_i END FROM (
+    SELECT a.resolution, a.font_size, a.line_spacing, a.letter_spacing, a.i, w.armed, w.stop_i, a.quiet_left, a.s FROM walk w JOIN a
+    ON a.resolution=w.resolution AND a.font_size=w.font_size AND a.line_spacing=w.line_spacing AND a.letter_spacing=w.letter_spacing AND a.i = w.i-1)),
+found AS (SELECT {KEYS}, CAST(n_points AS BIGINT) AS n_points, CASE WHEN n_points >= 10 THEN (b0+stop_i+1)*100.0::DOUBLE END AS L, CASE WHEN n_points >= 10 THEN coalesce(rb, b1)*100+50.0::DOUBLE END AS R
+  FROM lr JOIN (SELECT * FROM walk WHERE i = 0) w USING ({KEYS}))"""
 
 
-@query(
-    "win3_variance_interval_right",
-    f"WITH {INTERVALS} SELECT {KEYS}, CAST(n_points AS BIGINT) AS n_points, CASE WHEN n_points >= 10 THEN coalesce(rb, b1)*100+50.0::DOUBLE END AS R FROM lr",
-)
-def interval_right(spark, d):
-    return O.variance_interval(fx.analysis_points(spark, d)).drop("L")
+@query("win3_variance_interval", f"WITH RECURSIVE {WALK} SELECT {KEYS}, n_points, L, R FROM found")
+def interval(spark, d):
+    return O.variance_interval(fx.analysis_points(spark, d))
 
 
 FIXED = f"SELECT {KEYS}, floor(quantile_cont(text_len, 0.4)) AS L, floor(quantile_cont(text_len, 0.95)) AS R FROM analysis_points GROUP BY {KEYS}"
@@ -84,8 +86,18 @@ def drop_worst(spark, d):
     return out.groupBy(*C.GROUP_KEYS).agg(F.count("*").alias("n"), F.max("edit_distance").alias("worst"), r6(F.sum("edit_distance")).alias("total"))
 
 
-@query("win6_preprocess")
+@query(
+    "win6_preprocess",
+    f"""WITH RECURSIVE {WALK},
+    kept AS (SELECT p.* FROM analysis_points p JOIN found USING ({KEYS}) JOIN (SELECT {KEYS}, bin, q_high, q_low FROM binned) b USING ({KEYS}) WHERE b.bin = text_len//100 AND NOT (b.bin*100 > R)
+      AND NOT (b.bin*100 >= L AND b.bin*100 <= R AND edit_distance > q_low + CASE resolution WHEN 1024 THEN 0.2::DOUBLE WHEN 1280 THEN 0.1::DOUBLE ELSE 0.4::DOUBLE END*(q_high-q_low))),
+    best AS (SELECT *, row_number() OVER (PARTITION BY {KEYS} ORDER BY edit_distance DESC, image_id DESC) AS rn FROM kept),
+    fin AS (SELECT {KEYS}, count(*) AS n_kept, max(edit_distance) AS worst, round(avg(edit_distance)+1e-9, 6) AS mean_ed FROM best WHERE rn > CASE resolution WHEN 512 THEN 5 WHEN 640 THEN 10 WHEN 1024 THEN 15 ELSE 20 END
+      AND edit_distance <= CASE WHEN resolution IN (512, 640) THEN 0.4 ELSE 0.2 END GROUP BY {KEYS})
+    SELECT {KEYS}, L, R, n_kept, worst, mean_ed FROM found LEFT JOIN fin USING ({KEYS})""",
+)
 def chain(spark, d):
-    kept, intervals = O.preprocess(fx.analysis_points(spark, d))
+    # The derived measurements are written once; a user reads them from a table.
+    kept, intervals = O.preprocess(cut_lineage(fx.analysis_points(spark, d), "points"))
     per = kept.groupBy(*C.GROUP_KEYS).agg(F.count("*").alias("n_kept"), F.max("edit_distance").alias("worst"), r6(F.avg("edit_distance")).alias("mean_ed"))
     return intervals.select(*C.GROUP_KEYS, "L", "R").join(per, C.GROUP_KEYS, "left")

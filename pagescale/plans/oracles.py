@@ -126,6 +126,7 @@ def with_views(body: str) -> str:
         return body
     ctes = ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in needed)
     extra = body.strip()
-    if extra.upper().startswith("WITH "):
-        return f"WITH {ctes},\n{extra[5:]}"
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if extra.startswith(head):
+            return f"{head}{ctes},\n{extra[len(head):]}"
     return f"WITH {ctes}\n{extra}"
