@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 GLYPHS = "map(20, 10.0369D, 28, 14.0533D, 36, 18.0624D)"
 HEIGHTS = "map(20, 19D, 28, 26D, 36, 33D)"
@@ -86,7 +87,7 @@ def register_functions(spark: SparkSession) -> list[str]:
 def token_counter(count: Callable[[str], int]) -> Callable[[Column], Column]:
     """Wrap a user's tokenizer as an Arrow-batched column function; equal texts of a batch are counted once."""
 
-    @F.pandas_udf("int")
+    @F.pandas_udf(T.IntegerType())
     def counted(texts: pd.Series) -> pd.Series:
         known = {t: count(t) if isinstance(t, str) else 0 for t in texts.unique()}
         return texts.map(known).fillna(0).astype("int32")

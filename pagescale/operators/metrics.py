@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pagescale.functions import text as X
 from pagescale.schema import assert_columns
+from pagescale.session import spread
 
 TINY = 1e-300
 
@@ -26,9 +27,11 @@ def orient(df: DataFrame, swap_roles: bool) -> DataFrame:
     return df.withColumns({"prediction": F.col("ground_truth"), "ground_truth": F.col("prediction")})
 
 
-def bleu4(tokenized: DataFrame) -> DataFrame:
+def bleu4(tokenized: DataFrame, placed: bool = False) -> DataFrame:
     """Sentence BLEU with one reference, uniform weights 1-4 and brevity penalty, per id.
 
+    ``placed`` says that the rows are already partitioned by id; the gram counts then need no exchange at all.
+
     No unigram match gives 0; a higher order without a match contributes the smallest positive number.
     """
     grams = lambda side, flag: F.flatten(
@@ -43,8 +46,8 @@ def bleu4(tokenized: DataFrame) -> DataFrame:
             ).otherwise(F.array().cast("array<struct<n:int,g:array<string>,is_ref:int>>")),
         )
     )
-    placed = tokenized.select("id", "ref", "hyp").repartition("id")
-    exploded = placed.select(
+    rows = tokenized.select("id", "ref", "hyp")
+    exploded = (rows if placed else spread(rows, "id")).select(
         "id",
         F.size("ref").alias("n_ref"),
         F.size("hyp").alias("n_hyp"),
@@ -76,7 +79,7 @@ def set_scores(tokenized: DataFrame, alpha: float = 0.5) -> DataFrame:
 
 def meteor_exact(tokenized: DataFrame, alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> DataFrame:
     """METEOR with the exact-match stage on lower-cased tokens, per id. Equal tokens pair up from the end of both texts."""
-    placed = tokenized.select("id", "ref", "hyp").repartition("id")
+    placed = spread(tokenized.select("id", "ref", "hyp"), "id")
     side = lambda col, name: F.transform(
         col, lambda t, i: F.struct(F.lit(name).alias("side"), i.alias("pos"), F.lower(t).alias("tok"))
     )
@@ -104,14 +107,9 @@ def with_edit_dist(df: DataFrame) -> DataFrame:
     return df.withColumn("edit_dist", X.edit_distance(F.col("prediction"), F.col("ground_truth")))
 
 
-def spread(df: DataFrame, key: str = "id") -> DataFrame:
-    """Move pairs by id before the costly row-local scoring, so that one input split does not hold all the work."""
-    return df.repartition(key)
-
-
 def score_pairs(pairs: DataFrame, swap_roles: bool = False, with_bleu: bool = True) -> DataFrame:
     """One row per id with all scores, token length (characters when missing) and text length."""
-    base = tokenize(orient(spread(pairs), swap_roles))
+    base = tokenize(orient(spread(pairs, "id"), swap_roles))
     if "text_token_len" not in base.columns:
         base = base.withColumn("text_token_len", F.lit(None).cast("int"))
     if "text_len" not in base.columns:
@@ -123,7 +121,7 @@ def score_pairs(pairs: DataFrame, swap_roles: bool = False, with_bleu: bool = Tr
     )
     if not with_bleu:
         return rows
-    return rows.join(bleu4(base), "id").select(
+    return rows.join(bleu4(base, placed=True), "id").select(
         "id", "bleu", "f_measure", "precision", "recall", "edit_dist", "text_token_len", "text_len"
     )
 

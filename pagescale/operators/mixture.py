@@ -16,7 +16,6 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pagescale import constants as C
 from pagescale.functions import geometry as G
@@ -119,15 +118,17 @@ def e_step(df: DataFrame, y: str = "edit_distance") -> DataFrame:
 
     Parameters are the columns of PARAMS plus the log-normalisers ``n0`` and ``n1``.
     """
-    rows = df.withColumn("z", F.col("w0") + F.col("a") * F.col("logV") + F.col("alpha") * F.col("logG"))
-    log_y, log_1y = F.ln(y), F.log1p(-F.col(y))
-    part = lambda k: (F.col(f"a{k}") - 1) * log_y + (F.col(f"b{k}") - 1) * log_1y + F.col(f"n{k}")
-    rows = rows.withColumn("_hi", log_sigmoid(F.col("z")) + part(1)).withColumn("_lo", log_sigmoid(-F.col("z")) + part(0))
-    top = F.greatest("_hi", "_lo")
-    return (
-        rows.withColumn("pi", sigmoid(F.col("z"))).withColumn("r", sigmoid(F.col("_hi") - F.col("_lo")))
-        .withColumn("ll", top + F.log1p(F.exp(-F.abs(F.col("_hi") - F.col("_lo"))))).drop("_hi", "_lo")
-    )
+    # Plain SQL text: this runs once per EM pass, and building the expression piece by piece costs more than the pass.
+    log_sig = "least({0}, 0D) - log1p(exp(-abs(z)))"
+    part = f"(a{{0}} - 1) * ln({y}) + (b{{0}} - 1) * log1p(-{y}) + n{{0}}"
+    rows = df.withColumn("z", F.expr("w0 + a * logV + alpha * logG"))
+    rows = rows.withColumns({"_hi": F.expr(f"{log_sig.format('z')} + {part.format(1)}"), "_lo": F.expr(f"{log_sig.format('-z')} + {part.format(0)}")})
+    return rows.withColumns(
+        {
+            "pi": F.expr("1 / (1 + exp(-z))"), "r": F.expr("1 / (1 + exp(_lo - _hi))"),
+            "ll": F.expr("greatest(_hi, _lo) + log1p(exp(-abs(_hi - _lo)))"),
+        }
+    ).drop("_hi", "_lo")
 
 
 def with_norms(p: dict) -> dict:
@@ -138,10 +139,9 @@ def params_frame(spark: SparkSession, params: dict, key: str = "resolution") ->
     """One row per group; the number of groups is checked, so that the table may be broadcast."""
     if len(params) > MAX_GROUPS:
         raise ValueError(f"{len(params)} groups exceed the limit of {MAX_GROUPS}")
-    sample = next(iter(params))
-    kind = T.StringType() if isinstance(sample, str) else T.LongType()
-    schema = T.StructType([T.StructField(key, kind), *[T.StructField(c, T.DoubleType()) for c in (*PARAMS, "n0", "n1")]])
-    return spark.createDataFrame([(k, *[with_norms(p)[c] for c in (*PARAMS, "n0", "n1")]) for k, p in params.items()], schema)
+    name = lambda g: "'" + g.replace("'", "''") + "'" if isinstance(g, str) else f"{int(g)}L"
+    rows = ", ".join(f"({name(g)}, " + ", ".join(f"double('{with_norms(p)[c]!r}')" for c in (*PARAMS, "n0", "n1")) + ")" for g, p in params.items())
+    return spark.sql(f"VALUES {rows}").toDF(key, *PARAMS, "n0", "n1")
 
 
 def with_params(df: DataFrame, params: dict, key: str = "resolution") -> DataFrame:
@@ -171,16 +171,13 @@ _CROSS = [(i, j) for i in range(3) for j in range(i, 3)]
 
 def _sums(rows: DataFrame, key: str, slopes: int) -> dict:
     """Per-group sums of one pass; ``rows`` carry r, pi, ll and the features."""
-    y = F.col("y")
-    gate = [F.lit(1.0), F.col("logV"), F.col("logG")][: slopes + 1]
-    w = F.col("pi") * (1 - F.col("pi"))
-    agg = [
-        F.count("*").alias("n"), F.sum("ll").alias("ll"), F.sum("r").alias("r"), F.sum("ly").alias("ly"), F.sum("l1").alias("l1"),
-        F.sum(F.col("r") * F.col("ly")).alias("rly"), F.sum(F.col("r") * F.col("l1")).alias("rl1"), F.sum(y).alias("y"), F.sum(y * y).alias("yy"),
-        F.sum(F.col("r") * y).alias("ry"), F.sum(F.col("r") * y * y).alias("ryy"),
-        *[F.sum((F.col("r") - F.col("pi")) * g).alias(f"g{i}") for i, g in enumerate(gate)],
-        *[F.sum(w * gate[i] * gate[j]).alias(f"h{i}{j}") for i, j in _CROSS if j <= slopes],
-    ]
+    gate = ["1D", "logV", "logG"][: slopes + 1]
+    sums = {
+        "ll": "ll", "r": "r", "ly": "ly", "l1": "l1", "rly": "r * ly", "rl1": "r * l1", "y": "y", "yy": "y * y", "ry": "r * y", "ryy": "r * y * y",
+        **{f"g{i}": f"(r - pi) * {g}" for i, g in enumerate(gate)},
+        **{f"h{i}{j}": f"pi * (1 - pi) * {gate[i]} * {gate[j]}" for i, j in _CROSS if j <= slopes},
+    }
+    agg = [F.count("*").alias("n"), *[F.expr(f"sum({e}) AS {c}") for c, e in sums.items()]]
     got = rows.groupBy(key).agg(*agg).limit(MAX_GROUPS + 1).collect()
     if len(got) > MAX_GROUPS:
         raise ValueError(f"more than {MAX_GROUPS} groups")

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagescale import constants as C
 from pagescale.functions import text as X
@@ -156,7 +157,7 @@ def fit_consensus(
 # --- censored threshold regression --------------------------------------------------------------------------------
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def log_survival(z: pd.Series) -> pd.Series:
     """ln P(Z > z) of the standard normal law; the tail uses its asymptotic series."""
     v = z.to_numpy(dtype=float)

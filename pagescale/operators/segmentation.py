@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pagescale import constants as C
 from pagescale.functions import text as X
+from pagescale.session import spread
 
 
 def chapters(df: DataFrame, text: str = "text", marker: str = C.CHAPTER_MARKER) -> DataFrame:
@@ -129,7 +130,7 @@ def repeated_ngrams(df: DataFrame, n: int, window: int, whitelist: tuple[str, ..
     """
     if n < 2 or window <= 0:
         raise ValueError("n must be at least 2 and the window positive")
-    toks = df.repartition(key).select(key, X.words(F.col("text")).alias("t"))
+    toks = spread(df, key).select(key, X.words(F.col("text")).alias("t"))
     grams = toks.where(F.size("t") >= n).select(
         key,
         F.posexplode(

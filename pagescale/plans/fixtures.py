@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagescale import constants as C
 from pagescale.functions import geometry as G
 from pagescale.functions import text as X
-from pagescale.session import table
+from pagescale.session import spread, table
 
 BLOCK = 400
 # Gate parameters used to derive measurements.
@@ -17,11 +17,6 @@ GATE_A = 2.91046860622506
 GATE_ALPHA = 5.534691214157865
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """One small file reads as one task; costly row-local work starts from an even spread."""
-    return df.repartition(key)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents"), "doc_id")
 

@@ -8,6 +8,7 @@ from pagescale.operators import metrics as O
 from pagescale.plans import fixtures as fx
 from pagescale.plans.catalog import query, rounded
 from pagescale.plans.oracles import folded
+from pagescale.session import spread
 
 TOKENS = "SELECT id, len(ref) AS n_ref, len(hyp) AS n_hyp FROM ocr_tokens"
 SETS = """SELECT id, lang, CASE WHEN len(hyp)=0 THEN NULL ELSE len(list_intersect(list_distinct(ref), list_distinct(hyp)))/len(list_distinct(hyp))::DOUBLE END AS precision,
@@ -47,7 +48,7 @@ def f_measure(spark, d):
 
 @query("met5_edit_dist", f"SELECT id, round(edit_dist+1e-9, 6) AS edit_dist FROM ({EDIT})")
 def edit(spark, d):
-    return rounded(O.with_edit_dist(O.spread(fx.ocr_blocks(spark, d))).select("id", "edit_dist"))
+    return rounded(O.with_edit_dist(spread(fx.ocr_blocks(spark, d), "id")).select("id", "edit_dist"))
 
 
 @query(
@@ -103,5 +104,5 @@ def swapped_means(spark, d):
 )
 def flow(spark, d):
     """Blocks of all documents, their recognised text, all row-local scores, mean per language."""
-    rows = O.with_edit_dist(O.set_scores(O.tokenize(O.spread(fx.ocr_blocks(spark, d)))))
+    rows = O.with_edit_dist(O.set_scores(O.tokenize(spread(fx.ocr_blocks(spark, d), "id"))))
     return rounded(O.mean_metrics(rows, ["lang"]))
