@@ -34,27 +34,20 @@ def bleu4(tokenized: DataFrame, placed: bool = False) -> DataFrame:
 
     No unigram match gives 0; a higher order without a match contributes the smallest positive number.
     """
-    grams = lambda side, flag: F.flatten(
-        F.transform(
-            F.array(*[F.lit(n) for n in range(1, 5)]),
-            lambda n: F.when(
-                F.size(side) >= n,
-                F.transform(
-                    F.sequence(F.lit(1), F.size(side) - n + 1),
-                    lambda i: F.struct(n.alias("n"), F.slice(side, i, n).alias("g"), F.lit(flag).alias("is_ref")),
-                ),
-            ).otherwise(F.array().cast("array<struct<n:int,g:array<string>,is_ref:int>>")),
-        )
-    )
     rows = tokenized.select("id", "ref", "hyp")
-    exploded = (rows if placed else spread(rows, "id")).select(
-        "id",
-        F.size("ref").alias("n_ref"),
-        F.size("hyp").alias("n_hyp"),
-        F.explode_outer(F.concat(grams(F.col("ref"), 1), grams(F.col("hyp"), 0))).alias("e"),
-    )
-    counted = exploded.groupBy("id", "n_ref", "n_hyp", F.col("e.n").alias("n"), F.col("e.g").alias("g")).agg(
-        F.count_if(F.col("e.is_ref") == 1).alias("r"), F.count_if(F.col("e.is_ref") == 0).alias("h")
+    side = lambda col, flag: F.transform(col, lambda t, i: F.struct(F.lit(flag).alias("is_ref"), i.alias("pos"), t.alias("t")))
+    toks = (rows if placed else spread(rows, "id")).select(
+        "id", F.size("ref").alias("n_ref"), F.size("hyp").alias("n_hyp"),
+        F.explode_outer(F.concat(side(F.col("ref"), 1), side(F.col("hyp"), 0))).alias("e"),
+    ).select("id", "n_ref", "n_hyp", "e.*")
+    # Tokens hold no white space, so a joined gram stands for its tokens.
+    ahead = W.partitionBy("id", "is_ref").orderBy("pos")
+    toks = toks.withColumns({f"t{k}": F.lead("t", k).over(ahead) for k in (1, 2, 3)})
+    joined = [F.col("t"), *[F.when(F.col(f"t{k}").isNotNull(), F.concat_ws(" ", "t", *[f"t{j}" for j in range(1, k + 1)])) for k in (1, 2, 3)]]
+    grams = toks.select("id", "n_ref", "n_hyp", "is_ref", "t", F.posexplode(F.array(*joined)).alias("n", "g"))
+    grams = grams.where(F.col("g").isNotNull() | F.col("t").isNull())  # a pair without tokens keeps its id
+    counted = grams.groupBy("id", "n_ref", "n_hyp", (F.col("n") + 1).alias("n"), "g").agg(
+        F.count_if(F.col("is_ref") == 1).alias("r"), F.count_if(F.col("is_ref") == 0).alias("h")
     )
     clipped = [F.sum(F.when(F.col("n") == k, F.least("r", "h")).otherwise(0)).alias(f"m{k}") for k in range(1, 5)]
     per_id = counted.groupBy("id", "n_ref", "n_hyp").agg(*clipped)
