@@ -46,14 +46,15 @@ def build_shifted(spark, d):
 
 @query(
     "jon4_enrich_text_len",
-    """WITH s AS (SELECT l_orderkey, arg_max(CAST(l_quantity AS INT), l_linenumber*100000000 + l_partkey*1000 + l_suppkey) AS q FROM lineitem GROUP BY ALL)
+    """WITH s AS (SELECT l_orderkey, arg_max(CAST(l_quantity AS INT), (l_linenumber*100000000 + l_partkey*1000 + l_suppkey)*100 + CAST(l_quantity AS INT)) AS q FROM lineitem GROUP BY ALL)
     SELECT o_orderkey, coalesce(q, o_custkey) AS text_len, q IS NOT NULL AS updated FROM orders LEFT JOIN s ON l_orderkey = o_orderkey""",
 )
 def enrich(spark, d):
     target = fx.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), "o_orderkey", F.col("o_custkey").cast("int").alias("text_len"))
     source = fx.table(spark, d, "lineitem").select(
         F.concat(F.lit("a/"), F.col("l_orderkey"), F.lit(".png")).alias("image"), F.col("l_quantity").cast("int").alias("text_len"),
-        (F.col("l_linenumber").cast("long") * 100000000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("pos"),
+        # The quantity makes the position total: rows that still tie carry the same value.
+        ((F.col("l_linenumber").cast("long") * 100000000 + F.col("l_partkey") * 1000 + F.col("l_suppkey")) * 100 + F.col("l_quantity").cast("int")).alias("pos"),
     )
     return O.enrich_text_len(target, source).drop("id")
 
