@@ -169,6 +169,14 @@ class GateFit:
 _CROSS = [(i, j) for i in range(3) for j in range(i, 3)]
 
 
+def _group_rows(per_group: DataFrame) -> list:
+    """One row per group on the driver; more groups than the limit are an error."""
+    got = per_group.limit(MAX_GROUPS + 1).collect()
+    if len(got) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups")
+    return got
+
+
 def _sums(rows: DataFrame, key: str, slopes: int) -> dict:
     """Per-group sums of one pass; ``rows`` carry r, pi, ll and the features."""
     gate = ["1D", "logV", "logG"][: slopes + 1]
@@ -178,10 +186,7 @@ def _sums(rows: DataFrame, key: str, slopes: int) -> dict:
         **{f"h{i}{j}": f"pi * (1 - pi) * {gate[i]} * {gate[j]}" for i, j in _CROSS if j <= slopes},
     }
     agg = [F.count("*").alias("n"), *[F.expr(f"sum({e}) AS {c}") for c, e in sums.items()]]
-    got = rows.groupBy(key).agg(*agg).limit(MAX_GROUPS + 1).collect()
-    if len(got) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups")
-    return {r[key]: r.asDict() for r in got}
+    return {r[key]: r.asDict() for r in _group_rows(rows.groupBy(key).agg(*agg))}
 
 
 def _pooled(sums: dict) -> dict:
@@ -354,9 +359,9 @@ def em_baselines(df: DataFrame, key: str = "resolution", **options) -> tuple[Gat
     """(constant-weight mixture, single Beta parameters) per group."""
     constant = em_fit(df, key, slopes=0, **options)
     y = F.col("edit_distance")
-    sums = df.groupBy(key).agg(
-        F.count("*").cast("double").alias("n"), F.sum(y).alias("y"), F.sum(y * y).alias("yy"), F.sum(F.ln(y)).alias("l"), F.sum(F.log1p(-y)).alias("l1")
-    ).limit(MAX_GROUPS).collect()
+    sums = _group_rows(
+        df.groupBy(key).agg(F.count("*").cast("double").alias("n"), F.sum(y).alias("y"), F.sum(y * y).alias("yy"), F.sum(F.ln(y)).alias("l"), F.sum(F.log1p(-y)).alias("l1"))
+    )
     return constant, {r[key]: beta_mle(r["n"], r["l"], r["l1"], beta_from_moments(r["n"], r["y"], r["yy"])) for r in sums}
 
 
@@ -373,11 +378,11 @@ def fit_w0_only(df: DataFrame, params: dict, key: str = "model", start: float =
         if not open_:
             break
         posed = e_step(with_params(rows.where(F.col(key).isin(*open_)), {m: {**params[m], "w0": state[m]["w0"]} for m in open_}, key), "y")
-        got = posed.groupBy(key).agg(
+        per_model = posed.groupBy(key).agg(
             F.sum("ll").alias("ll"), F.sum(F.col("r") - F.col("pi")).alias("g"),
             F.sum(F.col("r") * (1 - F.col("r")) - F.col("pi") * (1 - F.col("pi"))).alias("h"), F.sum(F.col("pi") * (1 - F.col("pi"))).alias("f"),
-        ).limit(MAX_GROUPS).collect()
-        for r in got:
+        )
+        for r in _group_rows(per_model):
             s = state[r[key]]
             s["lo"], s["hi"] = (s["w0"], s["hi"]) if r["g"] > 0 else (s["lo"], s["w0"])
             curve = -r["h"] if r["h"] < 0 else max(r["f"], 1e-9)

@@ -11,11 +11,27 @@ from pyspark.sql import functions as F
 SKETCH_ACCURACY = 10_000
 WHOLE_GROUP = 100_000
 RANK_BITS = 12
+HOT_SHARE = 1000
 
 
-def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Equi join on the keys; without keys the right side is a single row."""
-    return left.join(right, keys) if keys else left.join(F.broadcast(right))
+def _hot_keys(sizes: DataFrame, keys: list[str]) -> DataFrame | None:
+    """Keys that hold at least one in HOT_SHARE of all rows: by that rule at most HOT_SHARE of them."""
+    if not keys:
+        return None
+    total = sizes.agg(F.sum("n").alias("_total"))
+    return sizes.join(F.broadcast(total)).where(F.col("n") * HOT_SHARE >= F.col("_total")).select(*keys)  # total: one row
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame | None) -> DataFrame:
+    """Equi join of rows with one right row per group; without keys the right side is a single row.
+
+    Rows of hot groups never move by key: they meet their right rows by broadcast, all others by a plain join.
+    """
+    if hot is None:
+        return left.join(F.broadcast(right))
+    hot = F.broadcast(hot)  # at most HOT_SHARE rows
+    cold = left.join(hot, keys, "left_anti").join(right, keys)
+    return cold.unionByName(left.join(F.broadcast(right.join(hot, keys, "left_semi")), keys))
 
 
 def exact_quantiles(
@@ -31,25 +47,28 @@ def exact_quantiles(
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
     small = sizes.where((F.col("n") <= whole_group) & (F.col("n") > 0))
     wanted = F.array(*[F.lit(p) for p in probs.values()])
-    exact = _joined(rows, small, keys).groupBy(*keys).agg(F.max("n").alias("n"), F.percentile("_v", wanted).alias("_q"))
+    hot = _hot_keys(sizes, keys)
+    exact = _joined(rows, small, keys, hot).groupBy(*keys).agg(F.max("n").alias("n"), F.percentile("_v", wanted).alias("_q"))
     exact = exact.where(F.col("n").isNotNull()).select(*keys, "n", *[F.col("_q")[i].alias(c) for i, c in enumerate(probs)])
-    return exact.unionByName(_bracketed(rows, sizes.where(F.col("n") > whole_group), keys, probs, whole_group))
+    return exact.unionByName(_bracketed(rows, sizes.where(F.col("n") > whole_group), keys, hot, probs, whole_group))
 
 
-def _bracketed(rows: DataFrame, large: DataFrame, keys: list[str], probs: dict[str, float], whole_group: int) -> DataFrame:
+def _bracketed(
+    rows: DataFrame, large: DataFrame, keys: list[str], hot: DataFrame | None, probs: dict[str, float], whole_group: int
+) -> DataFrame:
     """Quantiles of large groups: a mergeable sketch brackets every wanted rank; the second pass folds all rows below
     the bracket into one counter on the map side and counts distinct values only inside it, so that the ordered step sees
     a sliver of the group. The bracket is wider than the guaranteed rank error of the sketch.
     """
     slack = 2.0 / SKETCH_ACCURACY + 2.0 / whole_group
     edges = [e for p in probs.values() for e in (max(0.0, p - slack), min(1.0, p + slack))]
-    rows = _joined(rows, large, keys)
+    rows = _joined(rows, large, keys, hot)
     cuts = rows.groupBy(*keys, "n").agg(F.percentile_approx("_v", edges, SKETCH_ACCURACY).alias("_cut"))
     bracket = lambda i, p: F.struct(
         F.lit(i).alias("i"), F.lit(p).alias("p"), F.col("_cut")[2 * i].alias("lo"), F.col("_cut")[2 * i + 1].alias("hi")
     )
     brackets = cuts.select(*keys, F.array(*[bracket(i, p) for i, p in enumerate(probs.values())]).alias("_b"))
-    inside = _joined(rows, brackets, keys).select(*keys, "n", "_v", F.explode(F.filter("_b", lambda b: F.col("_v") <= b["hi"])).alias("_q"))
+    inside = _joined(rows, brackets, keys, hot).select(*keys, "n", "_v", F.explode(F.filter("_b", lambda b: F.col("_v") <= b["hi"])).alias("_q"))
     counted = (
         inside.select(*keys, "n", F.col("_q.i").alias("_i"), F.col("_q.p").alias("_p"), F.when(F.col("_v") >= F.col("_q.lo"), F.col("_v")).alias("_c"))
         .groupBy(*keys, "n", "_i", "_p", "_c")
