@@ -38,7 +38,6 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
     root = os.path.join(tempfile.gettempdir(), f"pagescale-{spark.sparkContext.applicationId}")
     os.makedirs(root, exist_ok=True)
-    spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
