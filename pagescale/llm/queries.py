@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagescale.llm import curriculum, media, warc
+from pagescale.llm import curriculum, media, toxicity, warc
 from pagescale.llm.registry import query
 from pagescale.session import table
 
@@ -58,3 +58,10 @@ def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_media_columns")
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("tile")
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.train(spark, docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
