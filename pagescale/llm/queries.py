@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagescale.llm import curriculum, media, toxicity, warc
+from pagescale.llm import curriculum, language, media, toxicity, warc
+from pagescale.llm.common import fold
 from pagescale.llm.registry import query
 from pagescale.session import table
 
@@ -65,3 +66,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity.train(spark, docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op8_language_id")
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(fold(F.col("doc_id"), language.FOLDS) == language.HELD_OUT, F.lit(False))
+    predicted = language.predict(docs.select("doc_id", "text"), language.train(spark, docs))
+    return predicted.select("doc_id", held.alias("held_out"), "lang_pred", "score")

@@ -16,7 +16,7 @@ from pagescale.llm.subwords import WORD, Ragged, WordScores, buckets, sums
 FOLDS = 5
 DOCS_PER_LABEL = 1500
 MAX_CHARS = 200_000
-WINDOW = 32
+WINDOW = 8
 BITS = 17
 
 
@@ -53,12 +53,12 @@ class Model:
         return 1.0 / (1.0 + np.exp(-(self.scale * np.clip(logit, self.low, self.high) + self.shift)))
 
 
-def fit(texts: list[str], labels: list[int], prior: float, bits: int = BITS, dim: int = 8, window: int = WINDOW, epochs: int = 14, batch: int = 64, updates: int = 60, rate: float = 0.5, least_docs: int = 4, sure: float = 0.9, clean_share: int = 4, seed: int = 3) -> Model:
+def fit(texts: list[str], labels: list[int], prior: float, bits: int = BITS, dim: int = 8, window: int = WINDOW, epochs: int = 6, batch: int = 64, updates: int = 120, rate: float = 0.5, least_docs: int = 4, strong: float = 8.0, clean_share: int = 4, damp: float = 1e-6, seed: int = 3) -> Model:
     """Train embeddings and softmax together by AdaGrad on windows of words.
 
-    A label holds for a document, not for each of its windows: after the first epoch, of a toxic document only those
-    windows train that the model itself finds toxic (the highest one at least), and each epoch draws anew up to
-    `clean_share` clean windows for each toxic one. Three of ten documents are kept back
+    A label holds for a document, not for each of its windows: of a toxic document only those windows train that hold
+    an n-gram which toxic documents hold far more often (first epoch) or that the model itself finds toxic (later), the
+    highest one at least. Each epoch draws anew up to `clean_share` clean windows for each toxic one. Three of ten documents are kept back
     to calibrate a document's highest window to probabilities under `prior`, the share of toxic rows. N-grams that
     fewer than `least_docs` documents hold stay 0.
     """
@@ -67,18 +67,22 @@ def fit(texts: list[str], labels: list[int], prior: float, bits: int = BITS, dim
     docs = [np.array([number.setdefault(w, len(number)) for w in tokens(t)], dtype=np.int64) for t in texts]
     y, kept = np.array(labels), np.arange(len(texts)) % 10 < 7
     lists = [buckets(w, bits) for w in number]
-    spread = np.zeros(1 << bits, dtype=np.int64)
-    for doc in docs:
-        if doc.size:
-            spread[np.unique(np.concatenate([lists[w] for w in np.unique(doc)]))] += 1
-    common, sizes_all = spread >= least_docs, np.array([x.size for x in lists])
+    seen = np.zeros((2, 1 << bits))
+    for d in np.flatnonzero(kept):
+        if docs[d].size:
+            seen[y[d], np.unique(np.concatenate([lists[w] for w in np.unique(docs[d])]))] += 1
+    n_clean, n_toxic = max(1, (y[kept] == 0).sum()), max(1, (y[kept] == 1).sum())
+    share_all = seen.sum(0) / (n_clean + n_toxic)
+    lift = (seen[1] / n_toxic - seen[0] / n_clean) / np.sqrt(share_all * (1 - share_all) * (1 / n_toxic + 1 / n_clean) + 1e-9)
+    common, sizes_all = seen.sum(0) >= least_docs, np.array([x.size for x in lists])
+    lift_word = np.array([lift[x].max() for x in lists])
     ragged = Ragged([x[common[x]] for x in lists])
     cut = [(d, doc[i : i + window]) for d, doc in enumerate(docs) if kept[d] for i in range(0, doc.size, window)]
     owner_doc = np.array([d for d, _ in cut], dtype=np.int64)
 
     def start():
         table, out = rng.normal(0, 0.1, (1 << bits, dim)) * common[:, None], rng.normal(0, 0.3, (dim, 2))
-        return table, out, np.zeros(2), np.full(1 << bits, 1e-6), np.full((dim, 2), 1e-6), np.full(2, 1e-6)
+        return table, out, np.zeros(2), np.full(1 << bits, damp), np.full((dim, 2), 1e-6), np.full(2, 1e-6)
 
     table, out, bias, seen_table, seen_out, seen_bias = start()
 
@@ -94,16 +98,14 @@ def fit(texts: list[str], labels: list[int], prior: float, bits: int = BITS, dim
         odds = np.exp(logits - logits.max(1, keepdims=True))
         return hidden, odds / odds.sum(1, keepdims=True), (seg, sizes, place, distinct, flat, owner)
 
-    use = np.arange(len(cut))
+    first = np.array([lift_word[w].max() for _, w in cut])
     for epoch in range(epochs if len(cut) and len(set(labels)) == 2 else 0):
-        if epoch:
-            p = np.concatenate([forward(x)[1][:, 1] for x in np.array_split(np.arange(len(cut)), max(1, len(cut) // 4096))])
-            top = np.zeros(len(docs))
-            np.maximum.at(top, owner_doc, p)
-            least = top[owner_doc] if epoch < 3 else np.minimum(sure, top[owner_doc])
-            use = np.flatnonzero((y[owner_doc] == 0) | (p >= least))
-            if epoch < 3:
-                table, out, bias, seen_table, seen_out, seen_bias = start()
+        sign, sure = (first, strong) if epoch == 0 else (np.concatenate([forward(x)[1][:, 1] for x in np.array_split(np.arange(len(cut)), max(1, len(cut) // 4096))]), 0.9)
+        top = np.full(len(docs), -np.inf)
+        np.maximum.at(top, owner_doc, sign)
+        use = np.flatnonzero((y[owner_doc] == 0) | (sign >= np.minimum(sure, top[owner_doc])))
+        if epoch == 2:
+            table, out, bias, seen_table, seen_out, seen_bias = start()
         toxic, clean = use[y[owner_doc[use]] == 1], use[y[owner_doc[use]] == 0]
         drawn = np.concatenate([toxic, rng.permutation(clean)[: clean_share * toxic.size]])
         share = toxic.size / drawn.size
