@@ -119,7 +119,8 @@ def train(spark: SparkSession, docs: DataFrame, docs_per_lang: int = DOCS_PER_LA
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))
     known = docs.where(F.col("lang").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT) & (F.length("text").between(1, max_chars)))
     ids = known.select("doc_id", "lang", hash_order(F.col("doc_id"), seed).alias("_h")).withColumn("_r", rank).where(F.col("_r") <= docs_per_lang)
-    rows = docs.select("doc_id", "text").join(ids.select("doc_id", "lang", "_h"), "doc_id").select("_h", "doc_id", "lang", "text").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id", "lang", "_h")), "doc_id")  # docs_per_lang rows a language
+    rows = rows.select("_h", "doc_id", "lang", "text").collect()
     rows = sorted((r for r in rows if r.text), key=lambda r: (r._h, r.text))
     return fit([r.text for r in rows], [r.lang for r in rows])
 
