@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,17 +17,28 @@ from pyspark.sql import functions as F
 from pagescale.llm.common import fresh
 from pagescale.session import cut_lineage
 
-WORD = re.compile(r"\w+")
+OTHER = r"[^\pL\pN_]+"
 STRIDE = 32
-RANK = 64
-LEAST_COSINE = 0.25
+RANK = 128
+LEAST_COSINE = 0.45
 LEAST_MATCH, SURE_MATCH, LEAST_ANSWER = 0.75, 0.9, 0.6
 BLOCK_CHARS = 500_000
 TOKENS = 200_000
+TEXTS = 500
+COMMON = 50
+
+
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts end to end, in lower case, and the number of words of each text."""
+    words = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")), OTHER)
+    flat = words.flatten()
+    held = pc.not_equal(flat, "")
+    sizes = np.diff(np.concatenate([[0], np.cumsum(held.to_numpy(zero_copy_only=False))])[words.offsets.to_numpy() - words.offsets[0].as_py()])
+    return flat.filter(held), sizes
 
 
 def tokens(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    return split(pa.array([text], pa.string()))[0].to_pylist()
 
 
 @dataclass
@@ -58,13 +70,19 @@ def encoded(docs: DataFrame, items: Items, text_col: str = "text") -> DataFrame:
     kind = np.int16 if len(items.vocabulary) < 32_000 else np.int32
     shared = docs.sparkSession.sparkContext.broadcast(items.vocabulary)  # at most BLOCK_CHARS characters of words
 
-    @F.pandas_udf("binary")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        find = shared.value.get
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(list(shared.value), pa.large_string())
         for batch in batches:
-            yield pd.Series([np.array([find(w, -1) for w in tokens(x)], kind).tobytes() for x in batch])
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                flat, sizes = split(part.column(1))
+                numbers = pc.fill_null(pc.index_in(flat, value_set=known), -1).to_numpy().astype(kind)
+                ends = np.concatenate([[0], np.cumsum(sizes)]) * numbers.itemsize
+                data = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(numbers.tobytes())])
+                yield pa.RecordBatch.from_arrays([part.column(0), data.cast(pa.binary())], names=["doc_id", "words"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), encode(F.col(text_col)).alias("words")).where("length(words) > 0")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return texts.mapInArrow(run, "doc_id long, words binary")
 
 
 def batches_of(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[tuple[list, list[np.ndarray]]]:
@@ -73,6 +91,8 @@ def batches_of(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[tuple[
     for batch in batches:
         for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1)):
             own = np.frombuffer(data.as_buffer(), kind)
+            if not own.size:
+                continue
             ids.append(doc_id)
             words.append(own)
             n += own.size
@@ -83,24 +103,24 @@ def batches_of(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[tuple[
         yield ids, words
 
 
-def cut(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All words end to end, the block of each, the first block of each document and the number of its blocks."""
+def cut(words: list[np.ndarray], weighty: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words with a weight end to end, the block of each, the first block of each document and the number of its blocks."""
     sizes = np.array([w.size for w in words])
     blocks = -(-sizes // STRIDE)
     first = np.cumsum(blocks) - blocks
     inner = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return np.concatenate(words).astype(np.int64), np.repeat(first, sizes) + inner // STRIDE, first, blocks
+    flat = np.concatenate(words).astype(np.int64)
+    known = np.flatnonzero(weighty[flat])
+    return flat[known], (np.repeat(first, sizes) + inner // STRIDE)[known], first, blocks
 
 
 def passages(flat: np.ndarray, block: np.ndarray, blocks: np.ndarray, table: np.ndarray) -> np.ndarray:
     """The image under `table` of each passage: a block and the next one of the same document, if there is one."""
     total = int(blocks.sum())
-    known = np.flatnonzero(flat >= 0)
     z = np.zeros((total, table.shape[1]), np.float32)
-    if known.size:
-        at = block[known]
-        starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        z[at[starts]] = np.add.reduceat(table[flat[known]], starts, axis=0)
+    if flat.size:
+        starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        z[block[starts]] = np.add.reduceat(table[flat], starts, axis=0)
     follows = np.ones(total, bool)
     follows[np.cumsum(blocks) - 1] = False
     p = z.copy()
@@ -126,41 +146,52 @@ def document_counts(words: DataFrame, n_terms: int, kind: type) -> np.ndarray:
     return out
 
 
+def weights(items: Items, counts: np.ndarray, n_docs: int, common: int = COMMON, least: int = 4) -> np.ndarray:
+    """Inverse document frequencies; 0 for words in over 1 / `common` of the documents, unless an item would keep fewer than `least`."""
+    idf = np.log((1 + n_docs) / (1 + counts)) + 1e-3
+    idle = counts > n_docs / common
+    for own in items.words:
+        if (~idle[own]).sum() < least:
+            idle[own] = False
+    return np.where(idle, 0.0, idf)
+
+
 def gram_times(words: DataFrame, probe: np.ndarray, idf: np.ndarray, kind: type) -> np.ndarray:
     """(A'A) probe, where the rows of A are the TF-IDF vectors of all passages.
 
     Every task adds up one matrix of the vocabulary's size; sixteen tasks add those up, and the driver the sixteen.
     """
     shared = words.sparkSession.sparkContext.broadcast((probe * idf[:, None]).astype(np.float32))
-    shape = probe.shape
+    shape, weighty = probe.shape, np.append(idf > 0, False)  # the last place is that of other words, -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, total = shared.value, np.zeros(shape)
         for _, own in batches_of(batches, kind):
-            flat, block, _, blocks = cut(own)
+            flat, block, _, blocks = cut(own, weighty)
             p = passages(flat, block, blocks, table)
             seen = p.copy()  # a block is part of its own passage and of the one before
             last = np.cumsum(blocks) - 1
             starts_doc = np.zeros(len(p), bool)
             starts_doc[last - blocks + 1] = True
             seen[1:][~starts_doc[1:]] += p[:-1][~starts_doc[1:]]
-            held = np.flatnonzero(flat >= 0)
-            order = held[np.argsort(flat[held], kind="stable")]
+            order = np.argsort(flat, kind="stable")
             if order.size:
                 term = flat[order]
                 starts = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
                 total[term[starts]] += np.add.reduceat(seen[block[order]], starts, axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 16]), pa.array([total.tobytes()], pa.binary())], names=["slot", "part"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 16]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["slot", "part"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape)
+        total, n = np.zeros(shape), 0
         for batch in batches:
             for part in batch.column("part"):
-                total += np.frombuffer(part.as_buffer()).reshape(shape)
-        yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([total.tobytes()], pa.binary())], names=["slot", "part"])
+                total += np.frombuffer(part.as_buffer(), np.float32).reshape(shape)
+                n += 1
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["slot", "part"])
 
     parts = words.select("doc_id", "words").mapInArrow(run, "slot long, part binary").repartition(16, "slot").mapInArrow(add, "slot long, part binary")
-    return sum(np.frombuffer(r.part).reshape(shape) for r in parts.collect()) * idf[:, None]
+    return sum((np.frombuffer(r.part, np.float32).astype(float).reshape(shape) for r in parts.collect()), np.zeros(shape)) * idf[:, None]
 
 
 def latent_basis(words: DataFrame, items: Items, idf: np.ndarray, kind: type, rank: int = RANK, seed: int = 17) -> np.ndarray:
@@ -236,11 +267,12 @@ def matches(words: DataFrame, items: Items, basis: np.ndarray, idf: np.ndarray,
     queries /= np.linalg.norm(queries, axis=1, keepdims=True) + 1e-12
     patterns = [Pattern(w.size, masks_of(w), n, masks_of(w[-n:])) for w, n in zip(items.words, items.answers)]
     shared = words.sparkSession.sparkContext.broadcast((table, queries.astype(np.float32), patterns, items.ids))
+    weighty = np.append(idf > 0, False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, queries, patterns, ids = shared.value
         for docs, own in batches_of(batches, kind):
-            flat, block, first, blocks = cut(own)
+            flat, block, first, blocks = cut(own, weighty)
             p = passages(flat, block, blocks, table)
             norm = np.linalg.norm(p, axis=1)
             owner = np.repeat(np.arange(len(own)), blocks)
@@ -280,7 +312,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
         kind = np.int16 if n_terms < 32_000 else np.int32
         words = cut_lineage(encoded(docs, items, text_col), "benchmark-words")
         n_docs = words.count()
-        idf = np.log((1 + n_docs) / (1 + document_counts(words, n_terms, kind))) + 1e-3
+        idf = weights(items, document_counts(words, n_terms, kind), n_docs)
         found = matches(words, items, latent_basis(words, items, idf, kind), idf, kind)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], schema) if out is None else out

@@ -121,7 +121,10 @@ def estimated(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, words: int, text_col: str = "text") -> DataFrame:
-    """(rep, digest, items): the whole shingle sets of the nodes' rows, as sorted 64-bit numbers end to end."""
+    """(rep, digest, items): the whole shingle sets of the nodes' rows, as sorted 64-bit numbers end to end.
+
+    No filter on the sets here: the optimiser would move it, and the work, below the join to all texts.
+    """
 
     @F.pandas_udf("digest string, items binary")
     def packed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -131,7 +134,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, words: int, text_col: str = "te
             yield pd.DataFrame({"digest": [xxhash.xxh128_hexdigest(x) for x in items], "items": items})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col(text_col).alias("_t"))
-    return texts.join(nodes.select("rep").distinct(), "rep", "left_semi").select("rep", packed("_t").alias("_p")).select("rep", "_p.digest", "_p.items").where("length(items) > 0").dropDuplicates(["rep", "digest"])
+    return texts.join(nodes.select("rep").distinct(), "rep", "left_semi").select("rep", packed("_t").alias("_p")).select("rep", "_p.digest", "_p.items").dropDuplicates(["rep", "digest"])
 
 
 def verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
@@ -143,7 +146,7 @@ def verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
         for x, y in zip(a, b):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             both = np.intersect1d(x, y, assume_unique=True).size
-            out.append(100 * both >= percent * (x.size + y.size - both))
+            out.append(both > 0 and 100 * both >= percent * (x.size + y.size - both))
         return pd.Series(out, dtype=bool)
 
     out = pairs.select("a", "b").join(whole.select(F.col("rep").alias("a"), F.col("items").alias("s_a")), "a")
