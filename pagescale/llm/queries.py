@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagescale.llm import curriculum, language, latent, media, setsketch, toxicity, warc
+from pagescale.llm import curriculum, language, latent, line_templates, media, setsketch, toxicity, warc
 from pagescale.llm.common import fold
 from pagescale.llm.registry import query
 from pagescale.session import table
@@ -102,3 +102,9 @@ def op6_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = latent.contaminations(docs, table(spark, sf_dir, "benchmark")).groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.round(F.max("matched"), 6).alias("matched"))
     none = F.array().cast("array<bigint>")
     return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", none).alias("items"), F.coalesce("matched", F.lit(0.0)).alias("matched"))
+
+
+@query("op2_line_templates")
+def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_templates.drop_recurring(docs).select("doc_id", "text", "lines", "dropped")

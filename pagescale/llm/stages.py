@@ -1,18 +1,38 @@
-"""Stages of the corpus pipeline: (spark, docs, sf_dir) to a DataFrame."""
+"""Stages of the corpus pipeline: (spark, docs, sf_dir) to a DataFrame. All but the last return the columns of `docs`."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagescale.llm import curriculum
+from pagescale.llm import curriculum, latent, line_templates, setsketch, toxicity
+from pagescale.session import table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise RuntimeError("filled in below")
+    """Documents that the subword model does not find toxic."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
-drop_recurring_lines = keep_one_of_each_group = drop_contaminated = drop_toxic
+def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that recur over different documents; `n_chars` follows the text."""
+    out = line_templates.drop_recurring(docs)
+    out = out.withColumn("n_chars", F.when(F.col("dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: that with the smallest id. Five words, similarity 0.8."""
+    found = setsketch.groups(docs.select("doc_id", "text"), words=5, percent=80)
+    gone = found.where(F.col("id").isNotNull() & (F.col("id") != F.col("component"))).select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    return latent.drop_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The training order: a row for each reading of a document, with its words and position."""
     return curriculum.mix(docs)
