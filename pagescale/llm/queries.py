@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagescale.llm import curriculum, language, latent, line_templates, media, setsketch, toxicity, warc
+from pagescale.llm import curriculum, html_pages, language, latent, line_templates, media, setsketch, toxicity, warc, weak_labels
 from pagescale.llm.common import fold
 from pagescale.llm.registry import query
 from pagescale.session import table
@@ -108,3 +108,16 @@ def op6_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_templates.drop_recurring(docs).select("doc_id", "text", "lines", "dropped")
+
+
+@query("op7_main_text")
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_pages.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"), html_pages.train())
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op4_weak_label_quality")
+def op4_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scorer, _ = weak_labels.train(docs)
+    return weak_labels.score(docs, scorer).select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
