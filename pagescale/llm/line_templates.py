@@ -26,7 +26,7 @@ def line_tokens(line: Column) -> Column:
 
 def leaf_of(tokens: Column) -> Column:
     """The place of a line in the tree: its number of words and its first DEPTH words."""
-    return F.md5(F.concat_ws(" ", F.size(tokens).cast("string"), F.slice(tokens, 1, DEPTH)))
+    return F.xxhash64(F.size(tokens), F.slice(tokens, 1, DEPTH))
 
 
 def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
@@ -55,7 +55,7 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     trees = most.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", word.alias("word")))), lambda x: x["word"]).alias("template"))
     same = F.aggregate(F.zip_with("tokens", "template", lambda a, b: F.coalesce(a == b, F.lit(False)).cast("int")), F.lit(0), lambda s, x: s + x)
     fits = F.coalesce(same >= SIMILAR * F.size("tokens"), F.lit(False))
-    named = kinds.join(trees, "leaf", "left").select("leaf", "exact", F.when(fits, F.col("leaf")).otherwise(F.col("exact")).alias("template"))
+    named = kinds.join(trees, "leaf", "left").select("leaf", "exact", F.when(fits, F.col("leaf").cast("string")).otherwise(F.col("exact")).alias("template"))
     marked = cut_lineage(found.drop("tokens").join(named, ["leaf", "exact"]).drop("leaf", "exact"), "line-templates")
     spread = marked.groupBy("template").agg(F.count_distinct("_doc").alias("docs"), F.count_distinct("_sign").alias("signs"), F.min("_id").alias("first"))
     spread = spread.where((F.col("signs") >= F.greatest(F.lit(min_docs), F.ceil(min_share * F.col("docs"))))).select("template", "first")
