@@ -11,7 +11,7 @@ DEPTH = 3
 MIN_TOKENS = 5
 MIN_CHARS = 24
 MIN_DOCS = 3
-MIN_SHARE = 0.1
+MIN_SHARE = 0.2
 SIMILAR = 0.7
 CONSTANT = 0.5
 SPACE = r"[\x20\x09-\x0D]+"
@@ -35,7 +35,8 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     lines = docs.select(F.col(id_col).alias("_id"), F.md5(text).alias("_doc"), F.split(text, "\n", -1).alias("_lines")).where(text.isNotNull())
     parts = F.transform("_lines", lambda x: line_tokens(x))
     leaves = lines.select("_id", "_doc", F.transform(F.arrays_zip(F.col("_lines").alias("line"), parts.alias("tokens")), lambda x: F.struct(leaf_of(x["tokens"]).alias("leaf"), F.size(x["tokens"]).alias("n"), F.length(x["line"]).alias("chars"))).alias("_l"))
-    leaves = leaves.withColumn("_sign", F.array_min(F.transform(F.filter("_l", lambda x: x["n"] > 0), lambda x: x["leaf"])))
+    leaves = leaves.withColumn("_all", F.transform(F.filter("_l", lambda x: x["n"] > 0), lambda x: x["leaf"]))
+    leaves = leaves.withColumn("_sign", F.xxhash64(F.array_min("_all"), F.array_max("_all"), F.size("_all")))
     rows = leaves.select("_id", "_doc", "_sign", F.posexplode("_l").alias("_no", "_x")).where((F.col("_x.n") >= MIN_TOKENS) & (F.col("_x.chars") >= MIN_CHARS)).select("_id", "_doc", "_sign", "_no", F.col("_x.leaf").alias("leaf"))
     rows = cut_lineage(rows, "line-leaves")
     # a leaf can only recur where its documents have different signs, so most lines are done here, without their words
@@ -69,8 +70,9 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Lines of at least MIN_TOKENS words and MIN_CHARS characters are parsed into a tree by word count and first words.
     In a leaf, positions where one word has half of the lines are constant, the others variable; a line that has
     SIMILAR of its words from the constants belongs to the leaf's template, any other line is a template of its own.
-    A template recurs if documents of `min_docs` different signs hold it. A document's sign is the smallest leaf of its
-    lines, so copies and near copies of one document count about once: they are for near-duplicate detection. Where
+    A template recurs if documents of `min_docs` different signs hold it. A document's sign is the number of its
+    lines with their smallest and largest leaf, so copies and near copies of one document count about once: they are
+    for near-duplicate detection. Where
     the signs are under `min_share` of the different texts, the template belongs to such a group and stays.
 
     The document with the smallest id keeps its line, all others lose it; other lines, their order and line ends stay.

@@ -43,8 +43,10 @@ class Model:
     def highest(self, values: np.ndarray, window: int = WINDOW) -> float:
         """The highest logit of the windows of so many words, each half a window after the last; they cover all words."""
         n = values.size
+        if not n:
+            return self.low if np.isfinite(self.low) else self.bias
         if n <= window:
-            return self.bias + (values.mean() if n else 0.0)
+            return self.bias + values.mean()
         run = np.concatenate([[0.0], np.cumsum(values)])
         starts = np.append(np.arange(0, n - window, window // 2), n - window)
         return self.bias + float(((run[starts + window] - run[starts]) / window).max())
@@ -62,6 +64,8 @@ def fit(texts: list[str], labels: list[int], prior: float, bits: int = BITS, dim
     to calibrate a document's highest window to probabilities under `prior`, the share of toxic rows. N-grams that
     fewer than `least_docs` documents hold stay 0.
     """
+    if len(set(labels)) < 2:  # nothing to tell apart: every text has the prior
+        return Model(np.zeros(1 << bits, np.float32), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))), 1.0, 0.0)
     rng = np.random.default_rng(seed)
     number: dict[str, int] = {}
     docs = [np.array([number.setdefault(w, len(number)) for w in tokens(t)], dtype=np.int64) for t in texts]
@@ -99,7 +103,7 @@ def fit(texts: list[str], labels: list[int], prior: float, bits: int = BITS, dim
         return hidden, odds / odds.sum(1, keepdims=True), (seg, sizes, place, distinct, flat, owner)
 
     first = np.array([lift_word[w].max() for _, w in cut])
-    for epoch in range(epochs if len(cut) and len(set(labels)) == 2 else 0):
+    for epoch in range(epochs if (y[owner_doc] == 1).any() and (y[owner_doc] == 0).any() else 0):
         sign, sure = (first, strong) if epoch == 0 else (np.concatenate([forward(x)[1][:, 1] for x in np.array_split(np.arange(len(cut)), max(1, len(cut) // 4096))]), 0.9)
         top = np.full(len(docs), -np.inf)
         np.maximum.at(top, owner_doc, sign)
@@ -174,7 +178,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, docs_per_labe
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """Every row with the probability that its whole text is toxic. Null and empty texts have the score of no words."""
+    """Every row with the probability that its whole text is toxic. Null and empty texts, and those
+    without a word, score as the cleanest text does."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
