@@ -95,8 +95,9 @@ class Scorer:
             return float(1 / (1 + np.exp(-self.bias)))
         if len(cache) > CACHE:
             cache.clear()
-        for w in set(words) - cache.keys():
-            cache[w] = float(self.weights[word_features(w)].mean())
+        for w in words:
+            if w not in cache:
+                cache[w] = float(self.weights[word_features(w)].mean())
         z = self.bias + sum(cache[w] for w in words) / len(words) + self.repeat * repeats(words)
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
