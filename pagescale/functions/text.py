@@ -318,9 +318,12 @@ def block_code(page: Column, block: Column) -> Column:
 
 
 def short_number(col: Column) -> Column:
-    """A number without trailing zeros, up to six significant digits as in the published keys."""
-    plain = F.format_string("%.6f", col.cast("double"))
-    return F.regexp_replace(F.regexp_replace(plain, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    """A number with up to six significant digits and no trailing zeros, as C's ``%g`` writes it."""
+    rounded = F.format_string("%.5e", col.cast("double"))
+    power = F.regexp_extract(rounded, r"e([+-]\d+)$", 1).try_cast("int")
+    plain = F.regexp_replace(F.format_string("%.10f", rounded.try_cast("double")), r"\.?0+$", "")
+    short = F.regexp_replace(rounded, r"\.?0+e", "e")
+    return F.when(col.isNotNull(), F.when(power.between(-4, 5), plain).otherwise(short))
 
 
 def style_id(font: Column, line: Column, letter: Column) -> Column:

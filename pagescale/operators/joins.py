@@ -16,11 +16,32 @@ from pagescale.operators.filters import keep_blocks
 from pagescale.schema import assert_columns
 
 
+def _one_per_key(df: DataFrame, key: str, pos: Column | None = None, first: bool = False) -> DataFrame:
+    """One row per key, as a table of unique keys holds it: the last by ``pos`` (or the first).
+
+    ``pos`` defaults to the column of that name. Without any position, and among rows of equal position, the greatest
+    (smallest) values count, so that reruns agree.
+    """
+    values = [c for c in df.columns if c not in (key, "pos")]
+    if pos is None and "pos" in df.columns:
+        pos = F.col("pos")
+    order = F.struct(*([] if pos is None else [pos.alias("pos")]), *values)
+    pick = (F.min_by if first else F.max_by)(F.struct(*values), order)
+    return df.groupBy(key).agg(pick.alias("_v")).select(key, "_v.*")
+
+
+def _pos(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c == "pos"]
+
+
 def build_eval(images: DataFrame, gt: DataFrame, preds: DataFrame) -> DataFrame:
-    """Evaluation records of images that have both a ground truth and a prediction, matched on the file stem."""
+    """Evaluation records of images that have both a ground truth and a prediction, matched on the file stem.
+
+    Of several ground truths or predictions of one id the last counts (column ``pos`` where present).
+    """
     left = images.select(X.file_stem(F.col("image")).alias("id")).distinct()
-    truth = gt.select(X.file_stem(F.col("image")).alias("id"), F.col("gt").alias("label"), "text_token_len", "text_len")
-    answer = preds.select("id", X.md_to_text(F.col("markdown")).alias("answer"))
+    truth = _one_per_key(gt.select(X.file_stem(F.col("image")).alias("id"), F.col("gt").alias("label"), "text_token_len", "text_len", *_pos(gt)), "id")
+    answer = _one_per_key(preds.select("id", "markdown", *_pos(preds)), "id").select("id", X.md_to_text(F.col("markdown")).alias("answer"))
     return left.join(truth, "id").join(answer, "id").select("id", "label", "answer", "text_token_len", "text_len")
 
 
@@ -42,12 +63,12 @@ def _exact_or_base(left: DataFrame, right: DataFrame, value: str) -> DataFrame:
 
 
 def build_eval_shifted(images: DataFrame, gt: DataFrame, preds: DataFrame) -> DataFrame:
-    """Evaluation records of shifted images; ids fall back to the unshifted name."""
+    """Evaluation records of shifted images; ids fall back to the unshifted name. The last record of an id counts."""
     left = images.select(X.file_stem(F.col("image")).alias("id")).withColumn("base_id", X.strip_shift_suffix(F.col("id")))
-    truth = gt.select(
-        X.file_stem(F.col("image")).alias("id"), F.struct(F.col("gt").alias("label"), "text_token_len", "text_len").alias("t")
-    )
-    answer = preds.select("id", X.md_to_text(F.col("markdown")).alias("answer"))
+    truth = _one_per_key(gt.select(
+        X.file_stem(F.col("image")).alias("id"), F.struct(F.col("gt").alias("label"), "text_token_len", "text_len").alias("t"), *_pos(gt)
+    ), "id")
+    answer = _one_per_key(preds.select("id", "markdown", *_pos(preds)), "id").select("id", X.md_to_text(F.col("markdown")).alias("answer"))
     both = _exact_or_base(_exact_or_base(left, truth, "t"), answer, "answer")
     return both.where(F.col("t").isNotNull() & F.col("answer").isNotNull()).select(
         "id", "t.label", "answer", "t.text_token_len", "t.text_len"
@@ -78,26 +99,37 @@ def alias_any(df: DataFrame, *names: str) -> Column:
 def construct_features(
     density: DataFrame, meta: DataFrame, images: DataFrame, metrics: DataFrame, style: tuple[int, int, int], resolution: int
 ) -> DataFrame:
-    """Analysis rows: image size, density and lengths are required, the edit distance is optional."""
+    """Analysis rows: image size, density and lengths are required, the edit distance is optional.
+
+    Each lookup holds one record per image, the last one (column ``pos`` where present). Lengths that the density record
+    has itself come before those of the metadata, and its edit distance before that of the metrics.
+    """
     font, line, letter = style
     if font not in C.FONT_METRICS:
         raise ValueError(f"unknown font size {font}")
     glyph_w, glyph_h = C.FONT_METRICS[font]
-    d = density.select(
-        alias_any(density, "id", "image_id").alias("image_id"), alias_any(density, "patch_density", "capacity").alias("patch_density")
-    )
-    m = meta.select(
+    m = _one_per_key(meta.select(
         X.file_stem(alias_any(meta, "image", "id", "image_id")).alias("image_id"),
         alias_any(meta, "text_token_len", "token_len").alias("token_len"),
-        "text_len",
-    ).where(F.col("token_len").isNotNull() & F.col("text_len").isNotNull())
-    e = metrics.select(
-        alias_any(metrics, "id", "image_id").alias("image_id"), alias_any(metrics, "edit_dist", "edit_distance").alias("edit_distance")
-    )
+        "text_len", *_pos(meta),
+    ), "image_id")
+    e = _one_per_key(metrics.select(
+        alias_any(metrics, "id", "image_id").alias("image_id"), alias_any(metrics, "edit_dist", "edit_distance").alias("edit_distance"), *_pos(metrics)
+    ), "image_id")
+    types = dict(m.dtypes) | dict(e.dtypes)
+    own = lambda *names: alias_any(density, *names) if set(names) & set(density.columns) else F.lit(None)
+    d = _one_per_key(density.select(
+        alias_any(density, "id", "image_id").alias("image_id"), alias_any(density, "patch_density", "capacity").alias("patch_density"),
+        own("text_token_len", "token_len").cast(types["token_len"]).alias("_token_len"), own("text_len").cast(types["text_len"]).alias("_text_len"),
+        own("edit_distance", "edit_dist").cast(types["edit_distance"]).alias("_edit_distance"), *_pos(density),
+    ), "image_id")
     i = images.select(X.file_stem(F.col("image")).alias("image_id"), F.col("width").alias("image_W"), F.col("height").alias("image_H"))
+    first_of = lambda name: F.coalesce(f"_{name}", name).alias(name)
+    rows = i.join(d, "image_id").join(m, "image_id", "left").join(e, "image_id", "left").select(
+        *i.columns, "patch_density", first_of("token_len"), first_of("text_len"), first_of("edit_distance")
+    )
     return (
-        i.join(d, "image_id").join(m, "image_id").join(e, "image_id", "left")
-        .where(F.col("patch_density").isNotNull())
+        rows.where(F.col("patch_density").isNotNull() & F.col("token_len").isNotNull() & F.col("text_len").isNotNull())
         .select(
             "image_id", "patch_density",
             F.lit(font).alias("font_size"), F.lit(line).alias("line_spacing"), F.lit(letter).alias("letter_spacing"),
@@ -111,11 +143,12 @@ def construct_features(
 
 
 def density_with_metrics(images: DataFrame, meta: DataFrame, metrics: DataFrame, char_w: float, char_h: float, resolution: int) -> DataFrame:
-    """Patch density and lengths per image, with the edit distance where it was scored."""
+    """Patch density and lengths per image, with the edit distance where it was scored; the first metadata record counts."""
     i = images.select(X.file_stem(F.col("image")).alias("id"), "width", "height")
-    m = meta.select(X.file_stem(F.col("image")).alias("id"), "text_token_len", "text_len")
+    m = _one_per_key(meta.select(X.file_stem(F.col("image")).alias("id"), "text_token_len", "text_len", *_pos(meta)), "id", first=True)
+    e = _one_per_key(metrics.select("id", "edit_dist", *_pos(metrics)), "id")
     density = G.patch_density(F.col("width"), F.col("height"), F.lit(char_w), F.lit(char_h), F.lit(resolution))
-    return i.join(m, "id").join(metrics.select("id", "edit_dist"), "id", "left").select(
+    return i.join(m, "id").join(e, "id", "left").select(
         "id", density.alias("patch_density"), "text_token_len", "text_len", "edit_dist"
     )
 
@@ -142,9 +175,9 @@ def canvas_fit(images: DataFrame, canvases: DataFrame) -> DataFrame:
     """
     classed = canvases.where((F.col("canvas_w") > 0) & (F.col("canvas_h") > 0)).select("canvas_w", "canvas_h").distinct()
     classed = classed.withColumn("_k", F.floor(F.log2("canvas_w")).cast("int"))
-    asks = images.where(F.col("width") > 0).withColumn(
-        "_k", F.explode(F.sequence(F.floor(F.log2("width")).cast("int"), F.lit(20)))
-    )
+    top = classed.agg(F.max("_k").alias("_top"))  # one row
+    own = F.floor(F.log2("width")).cast("int")
+    asks = images.where(F.col("width") > 0).join(F.broadcast(top), own <= F.col("_top")).withColumn("_k", F.explode(F.sequence(own, F.col("_top")))).drop("_top")
     fits = asks.join(classed, "_k").where((F.col("canvas_w") >= F.col("width")) & (F.col("canvas_h") >= F.col("height")))
     return fits.drop("_k").withColumn("area", F.col("canvas_w").cast("long") * F.col("canvas_h")).sort(
         "id", "area", "canvas_w", "canvas_h"
@@ -270,9 +303,9 @@ def pair_before_after(base: DataFrame, shifted: DataFrame) -> DataFrame:
 
 
 def points_with_sizes(metrics: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Points with the scale of the longer side against 1024; 0 when the size is unknown."""
+    """Points with the scale of the longer side against 1024; 0 when the size is unknown. The last size of an id counts."""
     scale = F.coalesce(F.greatest("width", "height") / 1024.0, F.lit(0.0))
-    return metrics.join(sizes.select("id", "width", "height"), "id", "left").select("id", "text_len", "edit_dist", scale.alias("scale"))
+    return metrics.join(_one_per_key(sizes.select("id", "width", "height", *_pos(sizes)), "id"), "id", "left").select("id", "text_len", "edit_dist", scale.alias("scale"))
 
 
 def near_boundary_mean(points: DataFrame, bounds: DataFrame, column: str, half: float, boundary: str) -> DataFrame:

@@ -12,7 +12,6 @@ from pagescale.functions import text as X
 from pagescale.operators.quantiles import hash_rank
 
 DRAWS_PER_GROUP = 20
-TOP_K_LIMIT = 100_000
 
 
 def unit_hash(*cols: Column) -> Column:
@@ -21,18 +20,21 @@ def unit_hash(*cols: Column) -> Column:
 
 
 def sample_n(df: DataFrame, n: int, seed: int, ids: list[str]) -> DataFrame:
-    """``n`` rows without replacement, all rows if there are fewer, none for ``n <= 0``."""
+    """``n`` rows without replacement, all rows if there are fewer, none for ``n <= 0``.
+
+    Rows are taken in one hashed order whatever ``n`` is, so a larger sample holds every smaller one of the same seed.
+    """
     if n <= 0:
         return df.limit(0)
-    if n <= TOP_K_LIMIT:
-        return df.orderBy(F.xxhash64(*map(F.col, ids), F.lit(seed)), *ids).limit(n)
     return hash_rank(df, ids, seed, "_rank").where(F.col("_rank") < n).drop("_rank")
 
 
 def draw_groups(spark: SparkSession, total: int, plan: dict[int, int], seed: int) -> DataFrame:
     """Distinct sorted subsets of the positions below ``total`` as ``(k, group_no, m)``, ``plan[k]`` of each size.
 
-    Counts are capped at the number of subsets. At most 20 draws are made per wanted group; a shortfall is an error.
+    Each draw is without replacement: step j takes a position up to j, or j itself where that position is taken, which
+    makes all subsets equally likely. Counts are capped at the number of subsets. At most 20 draws are made per wanted
+    group; where they hold too few distinct subsets, that is an error.
     """
     out = None
     wanted = {}
@@ -40,9 +42,12 @@ def draw_groups(spark: SparkSession, total: int, plan: dict[int, int], seed: int
         if k > total:
             raise ValueError("the group size must not exceed the number of rows")
         wanted[k] = min(count, math.comb(total, k))
-        pick = lambda j: F.pmod(F.xxhash64("id", j, F.lit(k), F.lit(seed)), F.lit(total))  # noqa: E731, B023
-        members = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(k)), pick)))
-        draws = spark.range(DRAWS_PER_GROUP * wanted[k]).select("id", members.alias("m")).where(F.size("m") == k)
+        members = F.lit([]).cast("array<bigint>")
+        if k > 0:
+            pick = lambda j: F.pmod(F.xxhash64("id", j, F.lit(k), F.lit(seed)), j + 1)  # noqa: E731, B023
+            add = lambda m, j: F.array_append(m, F.when(F.array_contains(m, pick(j)), j).otherwise(pick(j)))  # noqa: E731, B023
+            members = F.array_sort(F.aggregate(F.sequence(F.lit(total - k).cast("long"), F.lit(total - 1).cast("long")), members, add))
+        draws = spark.range(DRAWS_PER_GROUP * wanted[k]).select("id", members.alias("m"))
         chosen = draws.groupBy("m").agg(F.min("id").alias("group_no")).orderBy("group_no").limit(wanted[k]).select(F.lit(k).alias("k"), "group_no", "m")
         out = chosen if out is None else out.unionByName(chosen)
     got = {r["k"]: r["n"] for r in out.groupBy("k").agg(F.count("*").alias("n")).collect()}  # one row per size

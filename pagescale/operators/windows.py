@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pagescale import constants as C
 from pagescale.functions.text import let
 from pagescale.operators.aggregates import bin_index, bin_quantiles
-from pagescale.operators.filters import by_resolution, resolution_policy_filter
+from pagescale.operators.filters import by_resolution, finite_positive, resolution_policy_filter
 from pagescale.operators.quantiles import exact_quantiles
 from pagescale.schema import assert_columns
 
@@ -86,7 +86,7 @@ def variance_interval(
     many values as its longest text has bins.
     """
     keys = list(keys)
-    valid = points.where(F.col("text_len").isNotNull() & F.col("edit_distance").isNotNull() & (F.col("text_len") > 0))
+    valid = finite_positive(points, "text_len", "edit_distance")
     bins = bin_quantiles(valid, keys, width=width, q=C.Q_HIGH, q_low=C.Q_LOW)
     per_group = bins.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("bin", "q_diff"))).alias("b"), F.sum("n").alias("n_points")
@@ -99,19 +99,26 @@ def variance_interval(
 
 
 def filter_by_interval(points: DataFrame, intervals: DataFrame, keys: Sequence[str] = tuple(C.GROUP_KEYS), width: int = C.BIN_WIDTH) -> DataFrame:
-    """Drop bins right of R, and inside [L, R] the points above ``q_low + scale * (q_high - q_low)`` of their bin."""
+    """Drop bins right of R, and inside [L, R] the points above ``q_low + scale * (q_high - q_low)`` of their bin.
+
+    Quantiles are those of valid points: a positive finite length and a finite distance. Groups without a finite L and R
+    stay as they are. A point without a length, or inside [L, R] without a distance (or NaN), is kept.
+    """
     keys = list(keys)
     binned = points.withColumn("_bin", bin_index("text_len", width))
-    limits = exact_quantiles(binned, [*keys, "_bin"], "edit_distance", {"_hi": C.Q_HIGH, "_lo": C.Q_LOW})
+    limits = exact_quantiles(finite_positive(binned, "text_len", "edit_distance"), [*keys, "_bin"], "edit_distance", {"_hi": C.Q_HIGH, "_lo": C.Q_LOW})
     scale = by_resolution(C.FILTER_SCALE, C.FILTER_SCALE_DEFAULT)
-    cuts = limits.join(intervals.select(*keys, "L", "R"), keys).select(
-        *keys, "_bin",
-        F.when(F.col("L").isNull() | F.col("R").isNull(), F.lit(float("inf")))
-        .when(F.col("_bin") * width > F.col("R"), F.lit(float("-inf")))
-        .when(F.col("_bin") * width >= F.col("L"), F.col("_lo") + scale * (F.col("_hi") - F.col("_lo")))
-        .otherwise(F.lit(float("inf"))).alias("_cut"),
+    number = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
+    ranges = intervals.where(number("L") & number("R")).select(*keys, "L", "R")
+    bins = binned.select(*keys, "_bin").distinct().join(ranges, keys)
+    at = F.col("_bin") * width
+    cuts = bins.join(limits, [*keys, "_bin"], "left").select(
+        *keys, "_bin", (at > F.col("R")).alias("_beyond"),
+        F.when((at >= F.col("L")) & (at <= F.col("R")), F.col("_lo") + scale * (F.col("_hi") - F.col("_lo"))).alias("_cut"),
     )
-    return binned.join(cuts, [*keys, "_bin"]).where(F.col("edit_distance") <= F.col("_cut")).select(*points.columns)
+    above = ~F.isnan("edit_distance") & (F.col("edit_distance") > F.col("_cut"))
+    kept = binned.join(cuts, [*keys, "_bin"], "left")
+    return kept.where(~F.coalesce("_beyond", F.lit(False)) & ~F.coalesce(above, F.lit(False))).select(*points.columns)
 
 
 def drop_top_n(points: DataFrame, keys: Sequence[str] = tuple(C.GROUP_KEYS), counts: dict | None = None, tie: Sequence[str] = ("image_id",)) -> DataFrame:

@@ -24,9 +24,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ocr_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document cut into blocks of 400 characters with a recognised text: misread letters, some cut short."""
     docs = documents(spark, sf_dir).select("doc_id", "lang", "source", X.normalize_ws(F.col("text")).alias("t"))
-    starts = F.sequence(F.lit(0), F.floor((F.length("t") - 1) / BLOCK).cast("int"))
-    cut = docs.where(F.length("t") > 0).select("doc_id", "lang", "source", "t", F.explode(starts).alias("block"))
-    g = cut.select("doc_id", "lang", "source", "block", F.substr("t", F.col("block") * BLOCK + 1, F.lit(BLOCK)).alias("ground_truth"))
+    pieces = F.regexp_extract_all("t", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))  # whole pieces leave the row, never the text
+    g = docs.select("doc_id", "lang", "source", F.posexplode(pieces).alias("block", "ground_truth"))
     share = F.when((F.col("doc_id") * 31 + F.col("block") * 7) % 5 == 0, 40 + (F.col("doc_id") + F.col("block") * 7) % 41).otherwise(100)
     seen = F.substring("ground_truth", F.lit(1), F.floor(F.length("ground_truth") * share / 100).cast("int"))
     return g.select(

@@ -13,7 +13,7 @@ from pagescale.functions import text as X
 from pagescale.operators import filters as O
 from pagescale.plans import fixtures as fx
 from pagescale.plans.catalog import query, r6
-from pagescale.session import scratch_path, table
+from pagescale.session import cut_lineage, scratch_path, table
 from pagescale.sources import files, sinks
 
 
@@ -158,8 +158,8 @@ def records(spark, d):
 def metric_tree(spark, d):
     root = scratch_path(spark, "tree")
     langs = table(spark, d, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id")).alias("id"), "lang")
-    rows = fx.metric_records(spark, d).join(langs, "id").persist()
-    for lang in ("en", "de", "fr", "es"):  # the four languages of the corpus
+    rows = cut_lineage(fx.metric_records(spark, d).join(langs, "id"), "tree-rows")
+    for lang in sorted(r.lang for r in langs.where(F.col("lang").isNotNull()).select("lang").distinct().collect()):
         for res in C.RESOLUTIONS:
             part = rows.where((F.col("lang") == lang) & (F.col("resolution") == res)).drop("lang", "resolution")
             part.write.json(f"{root}/{lang}_square/{res}")

@@ -191,3 +191,45 @@ def test_nearest_by_key_against_loop(spark):
     for w in want:
         n = min((abs(t - w), t) for t, _ in hist)[1]
         assert got[w] == (n, min(x for t, x in hist if t == n))
+
+
+def test_canvases_of_any_width(spark):
+    images = spark.createDataFrame([("a", 100, 100), ("wide", 5_000_000, 10)], "id string, width int, height int")
+    canvases = spark.createDataFrame([(200, 200), (3_000_000, 200)], "canvas_w int, canvas_h int")
+    assert {(r.id, r.canvas_w) for r in J.canvas_fit(images, canvases).collect()} == {("a", 200), ("a", 3_000_000)}
+
+
+def test_last_record_of_an_id_counts(spark):
+    images = spark.createDataFrame([("x/p1.png", 100, 200)], "image string, width int, height int")
+    gt = spark.createDataFrame([("p1.png", "new", 2, 20, 1), ("p1.png", "old", 1, 10, 0)], "image string, gt string, text_token_len int, text_len int, pos int")
+    preds = spark.createDataFrame([("p1", "seen", 0), ("p1", "seen last", 1)], "id string, markdown string, pos int")
+    for build in (J.build_eval, J.build_eval_shifted):
+        assert [(r.label, r.answer, r.text_len) for r in build(images, gt, preds).collect()] == [("new", "seen last", 20)]
+    metrics = spark.createDataFrame([("p1", 0.5, 1), ("p1", 0.9, 0)], "id string, edit_dist double, pos int")
+    got = J.density_with_metrics(images, gt, metrics, 14.0, 32.0, 1024).collect()
+    assert [(r.text_len, r.edit_dist) for r in got] == [(10, 0.5)]
+    sizes = spark.createDataFrame([("p1", 1024, 10, 0), ("p1", 2048, 10, 1)], "id string, width int, height int, pos int")
+    points = metrics.where("pos = 1").selectExpr("id", "3 as text_len", "edit_dist")
+    assert [r.scale for r in J.points_with_sizes(points, sizes).collect()] == [2.0]
+
+
+def test_density_records_own_values_come_first(spark):
+    images = spark.createDataFrame([("p1.png", 100, 200), ("p2.png", 100, 200)], "image string, width int, height int")
+    density = spark.createDataFrame([("p1", 0.5, 7, 70, 0.25), ("p2", 0.5, None, None, None)], "id string, patch_density double, token_len int, text_len int, edit_distance double")
+    meta = spark.createDataFrame([("p2.png", 3, 30)], "image string, text_token_len int, text_len int")
+    metrics = spark.createDataFrame([("p1", 0.9), ("p2", 0.75)], "id string, edit_dist double")
+    got = J.construct_features(density, meta, images, metrics, (28, 6, 0), 1024).collect()
+    assert {(r.image_id, r.token_len, r.text_len, r.edit_distance) for r in got} == {("p1", 7, 70, 0.25), ("p2", 3, 30, 0.75)}
+
+
+def test_draws_are_subsets_and_never_lost(spark):
+    got = P.draw_groups(spark, 10, {10: 1, 9: 3, 2: 20}, 42).collect()
+    assert [r.m for r in got if r.k == 10] == [list(range(10))]
+    assert len([r for r in got if r.k == 9]) == 3 and len({tuple(r.m) for r in got if r.k == 2}) == 20
+    assert all(len(set(r.m)) == r.k and r.m == sorted(r.m) and 0 <= r.m[0] and r.m[-1] < 10 for r in got)
+
+
+def test_samples_of_one_seed_are_nested(spark):
+    df = spark.range(1000).select(F.col("id").alias("key"))
+    ids = lambda n: {r.key for r in P.sample_n(df, n, 42, ["key"]).collect()}
+    assert ids(10) < ids(400) < ids(999) and len(ids(400)) == 400

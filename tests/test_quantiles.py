@@ -123,3 +123,26 @@ def test_trim_drops_the_sparse_share(spark):
     dk = np.array([np.sort(np.hypot(*(pts - p).T))[10] for p in pts])
     want = {f"i{i}" for i in np.flatnonzero(dk <= np.quantile(dk, 0.95))} | {f"s{i}" for i in range(9)}
     assert kept == want
+
+
+def test_interval_filter_keeps_rows_without_a_distance(spark):
+    from pagescale.operators.windows import filter_by_interval
+
+    nan = float("nan")
+    rows = [("a", t, d) for t, d in [(10, 0.1), (110, 0.2), (110, nan), (110, None), (110, 0.9), (None, 0.5), (310, nan), (310, 0.1)]]
+    rows += [("b", 10, 0.5), ("b", 10, nan), ("b", 310, None)]
+    points = spark.createDataFrame(rows, "g string, text_len int, edit_distance double").selectExpr("*", "1280 as resolution")
+    bounds = spark.createDataFrame([("a", 1280, 100.0, 200.0), ("b", 1280, None, 200.0)], "g string, resolution int, L double, R double")
+    got = [(r.g, r.text_len, str(r.edit_distance)) for r in filter_by_interval(points, bounds, ["g", "resolution"], 100).collect()]
+    assert sum(g == "b" for g, *_ in got) == 3
+    assert not any(g == "a" and t == 310 for g, t, _ in got) and ("a", None, "0.5") in got
+    assert {d for g, t, d in got if (g, t) == ("a", 110)} >= {"0.2", "nan", "None"} and ("a", 110, "0.9") not in got
+
+
+def test_interval_ignores_values_that_are_not_finite(spark):
+    from pagescale.operators.windows import variance_interval
+
+    rows = [(t * 10, (t % 7) * 0.1) for t in range(1, 60)]
+    odd = [(55, float("nan")), (155, float("inf")), (255, None)]
+    ask = lambda x: variance_interval(spark.createDataFrame(x, "text_len int, edit_distance double").selectExpr("*", "'a' as g"), ["g"], 100).collect()
+    assert ask(rows) == ask(rows + odd)

@@ -161,3 +161,9 @@ def test_repeated_ngrams_rule(spark):
 
 def test_constants_are_consistent():
     assert set(C.DROP_TOP) == set(C.ERROR_CAP) == set(C.RESOLUTIONS)
+
+
+def test_short_number_is_percent_g(spark):
+    values = [0.0, 28.0, -1.5, 0.1, 1234567.0, 0.00001234, 0.000123456789, 999999.5, 123456.0, 1e100, 100000.0, 2.5e-7]
+    rows = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").select("v", X.short_number(F.col("v")).alias("s")).collect()
+    assert {r.v: r.s for r in rows} == {v: "%g" % v for v in values} | {None: None}
