@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,10 +72,15 @@ def chapter_id(col: Column) -> Column:
     return F.when(col.rlike("(?i)^[IVXLCDM]+$"), roman_to_int(col).cast("string")).otherwise(col)
 
 
+def _without_groups(pattern: str) -> str:
+    """The pattern with plain groups that capture nothing; escaped brackets and those in character classes stay."""
+    return re.sub(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\((?!\?)", lambda m: "(?:" if m[0] == "(" else m[0], pattern, flags=re.DOTALL)
+
+
 def marked_sections(text: Column, marker: str) -> Column:
     """``array<struct<mark, body>>`` for each match of ``marker`` (one capture group); body runs to the next match."""
     flags, body = ("(?i)", marker[4:]) if marker.startswith("(?i)") else ("", marker)
-    tail = r"((?s:.*?))(?=" + body.replace("(", "(?:").replace("(?:?", "(?") + r"|\z)"
+    tail = r"((?s:.*?))(?=" + _without_groups(body) + r"|\z)"
     pattern = F.lit(f"(?m){flags}{body}{tail}")
     return F.arrays_zip(
         F.regexp_extract_all(text, pattern, F.lit(1)).alias("mark"),
@@ -92,7 +99,7 @@ def split_chapters(text: Column, marker: str = C.CHAPTER_MARKER) -> Column:
 
 def split_headed_chapters(text: Column, marker: str = C.HEADED_MARKER) -> Column:
     """Bodies after a whole-line marker and its heading lines (blank or without lower-case letters)."""
-    inner = marker.replace("(", "(?:")
+    inner = _without_groups(marker)
     line = rf"^[^\S\n]*{inner}[^\S\n]*$"
     heading = r"(?-i:[^\p{Ll}\n]*(?:\n|\z))*+"
     pattern = rf"(?im){line}(?:\n|\z){heading}((?s:.*?))(?={line}|\z)"

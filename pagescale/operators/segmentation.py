@@ -109,18 +109,14 @@ def segment_combinations(df: DataFrame, segments: str = "segments", k: int = 5)
     )
 
 
-def page_concat(df: DataFrame, pages_per_part: int = 1000) -> DataFrame:
-    """Pages of a document joined in order with a page-break line.
+def page_concat(df: DataFrame) -> DataFrame:
+    """Pages with the page-break line that ends each, in reading order; pages without content are left out.
 
-    Each output row holds at most ``pages_per_part`` pages; ``part`` numbers the rows of a document, which read one after
-    the other give the whole text.
+    The text of a document is its pieces one after the other. They stay one row per page in a range-partitioned order, so
+    that a document with very many pages still spreads.
     """
     piece = F.concat(F.col("content"), F.lit("\n" + C.PAGE_BREAK + "\n"))
-    return df.groupBy("doc_id", F.floor(F.col("page") / pages_per_part).alias("part")).agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("page", piece.alias("p")))), lambda s: s["p"]), ""
-        ).alias("contents")
-    )
+    return df.where(F.col("content").isNotNull()).select("doc_id", "page", piece.alias("piece")).sort("doc_id", "page")
 
 
 def repeated_ngrams(df: DataFrame, n: int, window: int, whitelist: tuple[str, ...] = (), key: str = "doc_id") -> DataFrame:

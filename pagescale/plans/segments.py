@@ -214,8 +214,8 @@ def wrap(spark, d):
 
 @query(
     "seg17_page_concat",
-    """SELECT conv_id AS doc_id, CAST(turn//4 AS BIGINT) AS part, string_agg(text||chr(10)||chr(10)||'<--- Page Split --->'||chr(10), '' ORDER BY turn) AS contents FROM conversations GROUP BY ALL""",
+    """SELECT conv_id AS doc_id, turn AS page, text||chr(10)||chr(10)||'<--- Page Split --->'||chr(10) AS piece FROM conversations WHERE text IS NOT NULL""",
 )
 def concat_pages(spark, d):
     pages = fx.table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.col("text").alias("content"))
-    return O.page_concat(pages, pages_per_part=4)
+    return O.page_concat(pages)

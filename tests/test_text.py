@@ -167,3 +167,11 @@ def test_short_number_is_percent_g(spark):
     values = [0.0, 28.0, -1.5, 0.1, 1234567.0, 0.00001234, 0.000123456789, 999999.5, 123456.0, 1e100, 100000.0, 2.5e-7]
     rows = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").select("v", X.short_number(F.col("v")).alias("s")).collect()
     assert {r.v: r.s for r in rows} == {v: "%g" % v for v in values} | {None: None}
+
+
+def test_markers_may_hold_escaped_brackets(spark):
+    df = spark.createDataFrame([("(1) one\n(2) two (x)\n",)], "t string")
+    got = df.select(X.marked_sections(F.col("t"), r"^\((\d+)\)").alias("s")).first().s
+    assert [(r["mark"], r["body"].strip()) for r in got] == [("1", "one"), ("2", "two (x)")]
+    got = df.select(X.marked_sections(F.col("t"), r"^[(](\d+)[)]").alias("s")).first().s
+    assert [r["mark"] for r in got] == ["1", "2"]
