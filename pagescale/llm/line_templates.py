@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagescale.session import cut_lineage
+from pagescale.session import cut_lineage, spread
 
 DEPTH = 3
 MIN_TOKENS = 5
 MIN_CHARS = 24
 MIN_DOCS = 3
-MIN_SHARE = 0.2
+COPY = 0.8
+SHINGLE = 5
 SIMILAR = 0.7
 CONSTANT = 0.5
 SPACE = r"[\x20\x09-\x0D]+"
@@ -29,23 +30,52 @@ def leaf_of(tokens: Column) -> Column:
     return F.xxhash64(F.size(tokens), F.slice(tokens, 1, DEPTH))
 
 
-def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+def words_of(text: Column) -> Column:
+    """Words between ASCII white space, in lower case."""
+    return F.filter(F.split(F.lower(text), SPACE), lambda x: x != "")
+
+
+def runs(words: Column, n: int) -> Column:
+    """The different runs of n words, as hashes; a shorter list is one run."""
+    # through a list of one, so that the words are made once and not for every run
+    of = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, n)))
+    return F.array_distinct(F.get(F.transform(F.array(words), of), F.lit(0)))
+
+
+def copies(lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(_doc, _top): the pairs of texts where the first is a near copy of the second.
+
+    It is one if they have COPY of their runs of SHINGLE words in common, and no line of the first is its own: every
+    line of at least MIN_TOKENS words has half of its word pairs in the second. An edited line has, a new line has not.
+    """
+    asked = pairs.select(F.explode(F.array("_doc", "_top")).alias("_d")).distinct()
+    texts = lines.join(asked, F.col("_doc") == F.col("_d"), "left_semi").groupBy("_doc").agg(F.first("_lines").alias("_lines"))
+    texts = cut_lineage(spread(texts, "_doc").withColumn("_runs", runs(words_of(F.concat_ws("\n", "_lines")), SHINGLE)), "line-texts")
+    near = pairs.join(texts.select("_doc", F.col("_runs").alias("_a")), "_doc").join(texts.select(F.col("_doc").alias("_top"), F.col("_runs").alias("_b")), "_top")
+    near = near.withColumn("_both", F.size(F.array_intersect("_a", "_b"))).where(F.col("_both") >= COPY * (F.size("_a") + F.size("_b") - F.col("_both"))).select("_doc", "_top")
+    near = near.join(texts.select("_doc", F.col("_lines").alias("_a")), "_doc").join(texts.select(F.col("_doc").alias("_top"), F.col("_lines").alias("_b")), "_top")
+    left = F.filter(F.transform(F.array_except("_a", "_b"), words_of), lambda x: F.size(x) >= MIN_TOKENS)
+    own = lambda h: F.exists(F.transform(left, lambda x: runs(x, 2)), lambda x: 2 * F.size(F.array_intersect(x, h)) < F.size(x))
+    return near.where(~F.exists(F.array(runs(words_of(F.concat_ws("\n", "_b")), 2)), own)).select("_doc", "_top")
+
+
+def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """(_id, _doc, numbers): by document and hash of its text, the numbers of the lines to drop."""
     text = F.col(text_col)
     lines = docs.select(F.col(id_col).alias("_id"), F.md5(text).alias("_doc"), F.split(text, "\n", -1).alias("_lines")).where(text.isNotNull())
     parts = F.transform("_lines", lambda x: line_tokens(x))
     leaves = lines.select("_id", "_doc", F.transform(F.arrays_zip(F.col("_lines").alias("line"), parts.alias("tokens")), lambda x: F.struct(leaf_of(x["tokens"]).alias("leaf"), F.size(x["tokens"]).alias("n"), F.length(x["line"]).alias("chars"))).alias("_l"))
-    leaves = leaves.withColumn("_all", F.transform(F.filter("_l", lambda x: x["n"] > 0), lambda x: x["leaf"]))
-    leaves = leaves.withColumn("_sign", F.xxhash64(F.array_min("_all"), F.array_max("_all"), F.size("_all")))
-    rows = leaves.select("_id", "_doc", "_sign", F.posexplode("_l").alias("_no", "_x")).where((F.col("_x.n") >= MIN_TOKENS) & (F.col("_x.chars") >= MIN_CHARS)).select("_id", "_doc", "_sign", "_no", F.col("_x.leaf").alias("leaf"))
+    leaves = leaves.withColumn("_size", F.aggregate("_l", F.lit(0), lambda s, x: s + x["n"])).withColumn("_mark", F.xxhash64("_doc"))
+    keys = ["_id", "_doc", "_mark", "_size"]
+    rows = leaves.select(*keys, F.posexplode("_l").alias("_no", "_x")).where((F.col("_x.n") >= MIN_TOKENS) & (F.col("_x.chars") >= MIN_CHARS)).select(*keys, "_no", F.col("_x.leaf").alias("leaf"))
     rows = cut_lineage(rows, "line-leaves")
-    # a leaf can only recur where its documents have different signs, so most lines are done here, without their words
-    many = rows.groupBy("leaf").agg(F.min("_sign").alias("low"), F.max("_sign").alias("high")).where("low < high").select("leaf")
-    asked = rows.join(many, "leaf").groupBy("_id", "_doc").agg(F.first("_sign").alias("_sign"), F.collect_set("_no").alias("_nos"))
+    # a leaf can only recur where it has different texts, so most lines are done here, without their words
+    many = rows.groupBy("leaf").agg(F.min("_mark").alias("low"), F.max("_mark").alias("high")).where("low < high").select("leaf")
+    asked = rows.join(many, "leaf").groupBy("_id", "_doc").agg(F.first("_mark").alias("_mark"), F.first("_size").alias("_size"), F.collect_set("_no").alias("_nos"))
     asked = asked.withColumnRenamed("_id", "_i").withColumnRenamed("_doc", "_d")
     found = lines.join(asked, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_doc") == F.col("_d")))
-    found = found.select("_id", "_doc", "_sign", F.explode(F.transform("_nos", lambda i: F.struct(i.alias("no"), line_tokens(F.get(F.col("_lines"), i)).alias("tokens")))).alias("_x"))
-    found = found.select("_id", "_doc", "_sign", F.col("_x.no").alias("_no"), F.col("_x.tokens").alias("tokens"))
+    found = found.select(*keys, F.explode(F.transform("_nos", lambda i: F.struct(i.alias("no"), line_tokens(F.get(F.col("_lines"), i)).alias("tokens")))).alias("_x"))
+    found = found.select(*keys, F.col("_x.no").alias("_no"), F.col("_x.tokens").alias("tokens"))
     found = cut_lineage(found.withColumn("leaf", leaf_of(F.col("tokens"))).withColumn("exact", F.md5(F.concat_ws(" ", "tokens"))), "line-words")
     kinds = cut_lineage(found.groupBy("leaf", "exact").agg(F.count("*").alias("w"), F.first("tokens").alias("tokens")), "line-kinds")
     several = kinds.groupBy("leaf").agg(F.min("exact").alias("low"), F.max("exact").alias("high"), F.sum("w").alias("total")).where("low < high").select("leaf", "total")
@@ -56,32 +86,39 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     trees = most.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", word.alias("word")))), lambda x: x["word"]).alias("template"))
     same = F.aggregate(F.zip_with("tokens", "template", lambda a, b: F.coalesce(a == b, F.lit(False)).cast("int")), F.lit(0), lambda s, x: s + x)
     fits = F.coalesce(same >= SIMILAR * F.size("tokens"), F.lit(False))
-    named = kinds.join(trees, "leaf", "left").select("leaf", "exact", F.when(fits, F.col("leaf").cast("string")).otherwise(F.col("exact")).alias("template"))
-    marked = cut_lineage(found.drop("tokens").join(named, ["leaf", "exact"]).drop("leaf", "exact"), "line-templates")
-    spread = marked.groupBy("template").agg(F.count_distinct("_doc").alias("docs"), F.count_distinct("_sign").alias("signs"), F.min("_id").alias("first"))
-    spread = spread.where((F.col("signs") >= F.greatest(F.lit(min_docs), F.ceil(min_share * F.col("docs"))))).select("template", "first")
-    gone = marked.join(spread, "template").where(~F.col("_id").eqNullSafe(F.col("first")))
-    return gone.groupBy("_id", "_doc").agg(F.collect_set("_no").alias("numbers"))
+    own = F.struct(F.col("exact").alias("template"), F.lit(min_docs).alias("least"))
+    shared = F.struct(F.col("leaf").cast("string").alias("template"), F.lit(min_docs).alias("least"))
+    named = kinds.join(trees, "leaf", "left").select("leaf", "exact", F.when(fits, F.array(shared)).otherwise(F.array(own)).alias("_t"))
+    marked = found.drop("tokens").join(named, ["leaf", "exact"]).drop("leaf", "exact").select(*keys, "_no", F.explode("_t").alias("_t")).select(*keys, "_no", "_t.*")
+    marked = cut_lineage(marked, "line-templates")
+    top = F.min(F.when(F.col("_id").isNotNull(), F.struct("_id", "_doc", "_size")))
+    held = marked.groupBy("template").agg(F.count_distinct("_mark").alias("docs"), F.max("least").alias("least"), top.alias("top")).where("docs >= least")
+    held = held.select("template", F.col("top._id").alias("first"), F.col("top._doc").alias("_top"), F.col("top._size").alias("_top_size"))
+    others = marked.join(held, "template").where(~F.col("_id").eqNullSafe(F.col("first")) & (F.col("_doc") != F.col("_top")))
+    others = cut_lineage(others.select("template", "least", *keys, "_no", "_top", "_top_size"), "line-others")
+    alike = F.least("_size", "_top_size") >= COPY * F.greatest("_size", "_top_size")
+    others = others.join(copies(lines, others.where(alike).select("_doc", "_top").distinct()), ["_doc", "_top"], "left_anti")
+    enough = others.groupBy("template", "least").agg(F.count_distinct("_mark").alias("docs")).where("docs + 1 >= least").select("template")
+    return others.join(enough, "template").groupBy("_id", "_doc").agg(F.collect_set("_no").alias("numbers"))
 
 
-def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """Every row, its text without recurring lines; `lines` and `dropped` count them (columns of these names are replaced).
 
     Lines of at least MIN_TOKENS words and MIN_CHARS characters are parsed into a tree by word count and first words.
     In a leaf, positions where one word has half of the lines are constant, the others variable; a line that has
     SIMILAR of its words from the constants belongs to the leaf's template, any other line is a template of its own.
-    A template recurs if documents of `min_docs` different signs hold it. A document's sign is the number of its
-    lines with their smallest and largest leaf, so copies and near copies of one document count about once: they are
-    for near-duplicate detection. Where
-    the signs are under `min_share` of the different texts, the template belongs to such a group and stays.
+    The document with the smallest id keeps its line. Copies and near copies of it (`copies`) are for near-duplicate
+    detection: they keep the line and do not count. All others lose it if they and the first are `min_docs` different
+    texts.
 
-    The document with the smallest id keeps its line, all others lose it; other lines, their order and line ends stay.
+    Other lines, their order and line ends stay.
     Null texts stay null, with 0 lines. Rows without an id lose recurring lines. Repeated rows are treated alike. A
     table without rows stays empty. All work is done in DataFrame functions; only lines in leaves of several documents
     are read by word.
     """
     own = [c for c in docs.columns if c.lower() not in ("lines", "dropped", "_i", "_d", "numbers")]
-    found = recurring(docs, id_col, text_col, min_docs, min_share).withColumnRenamed("_id", "_i").withColumnRenamed("_doc", "_d")
+    found = recurring(docs, id_col, text_col, min_docs).withColumnRenamed("_id", "_i").withColumnRenamed("_doc", "_d")
     out = docs.select(*[F.col(f"`{c}`") for c in own]).join(found, F.col(id_col).eqNullSafe(F.col("_i")) & (F.md5(F.col(text_col)) == F.col("_d")), "left")
     parts = F.split(F.col(text_col), "\n", -1)
     kept = F.concat_ws("\n", F.filter(parts, lambda x, i: ~F.array_contains(F.col("numbers"), i)))

@@ -160,6 +160,21 @@ def test_recurring_lines_go_but_for_the_first(spark):
     assert line_templates.drop_recurring(made(spark, [])).count() == 0
 
 
+def test_boilerplate_goes_from_documents_of_equal_shape(spark):
+    r = random.Random(5)
+    line = lambda n: " ".join("".join(r.choices("abcdefghijklmnop", k=6)) for _ in range(n))
+    block, small, text = [line(12) for _ in range(20)], [line(12) for _ in range(10)], [line(20) for _ in range(20)]
+    own = {i: [line(12), line(12)] for i in range(30)}
+    rows = [(i, "\n".join([own[i][0], *block, own[i][1]]), "s") for i in range(30)]
+    rows += [(100 + i, "\n".join([*small, line(12)]), "s") for i in range(3)]
+    near = {i: [*text[:i], text[i].replace(text[i].split()[1], "edited"), *text[i + 1 :]] for i in range(6)}
+    rows += [(200 + i, "\n".join(near[i]), "s") for i in range(6)]
+    got = {x.doc_id: x for x in line_templates.drop_recurring(made(spark, rows)).collect()}
+    assert got[0].dropped == 0 and all(got[i].text == "\n".join(own[i]) for i in range(1, 30))
+    assert [got[100 + i].dropped for i in range(3)] == [0, 10, 10]
+    assert all(got[200 + i].dropped == 0 for i in range(6))  # near copies stay
+
+
 def test_main_text_on_given_pages_and_odd_html(spark):
     model = html_pages.train()
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
