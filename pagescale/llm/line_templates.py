@@ -11,6 +11,7 @@ DEPTH = 3
 MIN_TOKENS = 5
 MIN_CHARS = 24
 MIN_DOCS = 3
+LONG_TOKENS = 50
 COPY = 0.8
 SHINGLE = 5
 SIMILAR = 0.7
@@ -86,9 +87,11 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     trees = most.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", word.alias("word")))), lambda x: x["word"]).alias("template"))
     same = F.aggregate(F.zip_with("tokens", "template", lambda a, b: F.coalesce(a == b, F.lit(False)).cast("int")), F.lit(0), lambda s, x: s + x)
     fits = F.coalesce(same >= SIMILAR * F.size("tokens"), F.lit(False))
-    own = F.struct(F.col("exact").alias("template"), F.lit(min_docs).alias("least"))
+    # a long line is a template of its own, too
+    long = F.size("tokens") >= LONG_TOKENS
+    own = F.struct(F.col("exact").alias("template"), F.when(long, 2).otherwise(F.lit(min_docs)).alias("least"))
     shared = F.struct(F.col("leaf").cast("string").alias("template"), F.lit(min_docs).alias("least"))
-    named = kinds.join(trees, "leaf", "left").select("leaf", "exact", F.when(fits, F.array(shared)).otherwise(F.array(own)).alias("_t"))
+    named = kinds.join(trees, "leaf", "left").select("leaf", "exact", F.when(fits & long, F.array(shared, own)).when(fits, F.array(shared)).otherwise(F.array(own)).alias("_t"))
     marked = found.drop("tokens").join(named, ["leaf", "exact"]).drop("leaf", "exact").select(*keys, "_no", F.explode("_t").alias("_t")).select(*keys, "_no", "_t.*")
     marked = cut_lineage(marked, "line-templates")
     top = F.min(F.when(F.col("_id").isNotNull(), F.struct("_id", "_doc", "_size")))
@@ -110,7 +113,7 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     SIMILAR of its words from the constants belongs to the leaf's template, any other line is a template of its own.
     The document with the smallest id keeps its line. Copies and near copies of it (`copies`) are for near-duplicate
     detection: they keep the line and do not count. All others lose it if they and the first are `min_docs` different
-    texts.
+    texts; for a line of LONG_TOKENS words that is repeated word by word, two are enough.
 
     Other lines, their order and line ends stay.
     Null texts stay null, with 0 lines. Rows without an id lose recurring lines. Repeated rows are treated alike. A

@@ -175,6 +175,15 @@ def test_boilerplate_goes_from_documents_of_equal_shape(spark):
     assert all(got[200 + i].dropped == 0 for i in range(6))  # near copies stay
 
 
+def test_long_lines_go_from_the_second_of_two_documents(spark):
+    r = random.Random(6)
+    line = lambda n: " ".join("".join(r.choices("abcdefghijklmnop", k=6)) for _ in range(n))
+    long, short = line(60), line(10)
+    rows = [(i, "\n".join([line(30), long, line(30), short]), "s") for i in range(2)]
+    got = {x.doc_id: x for x in line_templates.drop_recurring(made(spark, rows)).collect()}
+    assert got[0].dropped == 0 and got[1].text == rows[1][1].replace(long + "\n", "") and got[1].dropped == 1
+
+
 def test_main_text_on_given_pages_and_odd_html(spark):
     model = html_pages.train()
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
