@@ -19,13 +19,13 @@ from pagescale.llm import crf
 BITS = 14
 PAGES = 500
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|iframe|svg|canvas|object)\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<[!?][^>]*(?:>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|template|iframe|svg)(?=[\s/>])[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 # Elements by their role in the page.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br object canvas noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Kinds of names in class, id and role attributes, by how their parts begin.
@@ -163,7 +163,20 @@ def extract(page: str | None, model: Model) -> str:
         return ""
     scores = np.array([model.emit[numbers(features(b, found[i - 1] if i else None))].mean(0) for i, b in enumerate(found)])
     path = crf.viterbi(scores, model.start, model.trans)
-    return " ".join(b.text for b, y in zip(found, path) if y)
+    return " ".join(found[i].text for i in range(len(found)) if path[i] and not fallback(found[i]) or fallback(found[i]) and beside_content(found, path, i))
+
+
+def fallback(block: Block) -> bool:
+    """Whether the block lies in a noscript element: part of the text, or a notice about scripts."""
+    return any(t == "noscript" for t, _ in block.path)
+
+
+def beside_content(found: list[Block], path: np.ndarray, i: int) -> bool:
+    """Whether the next block before or after, both in the body itself, is content and has the noscript element's parent."""
+    parent = found[i].path[: next(k for k, (t, _) in enumerate(found[i].path) if t == "noscript")]
+    near = [next((j for j in side if not fallback(found[j])), None) for side in (range(i - 1, -1, -1), range(i + 1, len(found)))]
+    held = [j is not None and bool(path[j]) and found[j].path[: len(parent)] == parent and len(found[j].path) <= len(parent) + 1 for j in near]
+    return any(held) if any(t not in ("html", "body") for t, _ in parent) else all(held)
 
 
 class Generator:

@@ -202,6 +202,21 @@ def test_main_text_on_given_pages_and_odd_html(spark):
     assert right / total > 0.97 and text == ""
 
 
+def test_main_text_keeps_what_follows_custom_elements_and_fallback_content():
+    model = html_pages.train()
+    for tag in ("svg-icon", "object-viewer", "template-part", "script-loader", "style-guide", "iframe-box"):
+        page = f"<nav><a href='/'>Home</a></nav><article><h1>A title</h1><p>The first part is told here.</p><{tag} name='x'></{tag}><p>The second part follows, and it ends.</p></article>"
+        assert html_pages.extract(page, model) == "A title The first part is told here. The second part follows, and it ends.", tag
+    for tag in ("object", "noscript", "canvas"):
+        page = f"<article><h1>A title</h1><p>The first part is told here.</p><{tag}><p>A part held by another element.</p></{tag}><p>The second part follows.</p></article>"
+        assert html_pages.extract(page, model) == "A title The first part is told here. A part held by another element. The second part follows.", tag
+    page = "<body><noscript>Please enable scripts to view this page.</noscript><article><h1>A title</h1><p>The first part <object>with an insert</object> is told here.</p></article><noscript><p>You need scripts for this page.</p></noscript></body>"
+    assert html_pages.extract(page, model) == "A title The first part with an insert is told here."
+    for tag in ("script", "style", "template", "svg", "SCRIPT"):
+        page = f"<article><p>The first part is told here.</p><{tag} a=b>x < y {{}}</{tag}><p>The second part follows.</p></article>"
+        assert html_pages.extract(page, model) == "The first part is told here. The second part follows.", tag
+
+
 def test_forward_backward_and_viterbi_by_enumeration():
     rng = np.random.default_rng(2)
     scores, start, trans = rng.normal(size=(4, 3)), rng.normal(size=3), rng.normal(size=(3, 3))
