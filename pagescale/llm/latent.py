@@ -20,7 +20,8 @@ from pagescale.session import cut_lineage
 OTHER = r"[^\pL\pN_]+"
 STRIDE = 32
 RANK = 128
-LEAST_COSINE = 0.45
+LEAST_COSINE = 0.25
+GRAM = 3
 LEAST_MATCH, SURE_MATCH, LEAST_ANSWER = 0.75, 0.9, 0.6
 BLOCK_CHARS = 500_000
 TOKENS = 200_000
@@ -260,33 +261,88 @@ class Pattern:
         return best
 
 
+def item_grams(items: Items) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length (GRAM, or that of a shorter item): the runs of words of the items as sorted numbers, and the item of each."""
+    out: dict[int, tuple[list, list]] = {}
+    for i, own in enumerate(items.words):
+        n = min(GRAM, own.size)
+        keys = np.unique(gram_keys(own, n, len(items.vocabulary))[1])
+        held = out.setdefault(n, ([], []))
+        held[0].append(keys)
+        held[1].append(np.full(keys.size, i))
+    order = {n: np.argsort(np.concatenate(k), kind="stable") for n, (k, _) in out.items()}
+    return {n: (np.concatenate(k)[order[n]], np.concatenate(i)[order[n]]) for n, (k, i) in out.items()}
+
+
+def gram_keys(flat: np.ndarray, n: int, n_terms: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where n known words follow one another, and their number; -1 is an unknown word."""
+    size = max(0, flat.size - n + 1)
+    keys, known = np.zeros(size, np.int64), np.ones(size, bool)
+    for k in range(n):
+        part = flat[k : k + size].astype(np.int64)
+        keys, known = keys * n_terms + part, known & (part >= 0)
+    at = np.flatnonzero(known)
+    return at, keys[at]
+
+
+def shared_grams(own: list[np.ndarray], grams: dict[int, tuple[np.ndarray, np.ndarray]], n_terms: int, first: np.ndarray) -> np.ndarray:
+    """(passage, item) pairs that have a run of words in common, whatever their cosine; each pair once."""
+    flat = np.concatenate([np.append(w, -1) for w in own])  # -1: no run crosses documents
+    sizes = np.array([w.size + 1 for w in own])
+    doc = np.repeat(np.arange(len(own)), sizes)
+    inner = np.arange(flat.size) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    found = [np.zeros((0, 2), np.int64)]
+    for n, (keys, item) in grams.items():
+        at, own_keys = gram_keys(flat, n, n_terms)
+        low, high = np.searchsorted(keys, own_keys, "left"), np.searchsorted(keys, own_keys, "right")
+        hit = np.flatnonzero(high > low)
+        times = (high - low)[hit]
+        place = np.repeat(at[hit], times)
+        which = item[np.repeat(low[hit], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+        found.append(np.stack([first[doc[place]] + inner[place] // STRIDE, which], 1))
+    return np.unique(np.concatenate(found), axis=0)
+
+
 def matches(words: DataFrame, items: Items, basis: np.ndarray, idf: np.ndarray, kind: type, least_cosine: float = LEAST_COSINE) -> DataFrame:
-    """(doc_id, item_id, matched, answered) of the documents with a passage near an item that also passes the checks."""
+    """(doc_id, item_id, matched, answered) of the documents with a passage near an item that also passes the checks.
+
+    A passage is near if its cosine is high enough or if it has a run of GRAM words in common with the item.
+    """
     table = (basis * idf[:, None]).astype(np.float32)
     queries = np.stack([table[own].sum(0) for own in items.words]) if items.ids else np.zeros((0, table.shape[1]), np.float32)
     queries /= np.linalg.norm(queries, axis=1, keepdims=True) + 1e-12
     patterns = [Pattern(w.size, masks_of(w), n, masks_of(w[-n:])) for w, n in zip(items.words, items.answers)]
-    shared = words.sparkSession.sparkContext.broadcast((table, queries.astype(np.float32), patterns, items.ids))
+    shared = words.sparkSession.sparkContext.broadcast((table, queries.astype(np.float32), patterns, items.ids, item_grams(items)))
+    n_terms = len(items.vocabulary)
     weighty = np.append(idf > 0, False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, queries, patterns, ids = shared.value
+        table, queries, patterns, ids, grams = shared.value
         for docs, own in batches_of(batches, kind):
             flat, block, first, blocks = cut(own, weighty)
             p = passages(flat, block, blocks, table)
             norm = np.linalg.norm(p, axis=1)
             owner = np.repeat(np.arange(len(own)), blocks)
             found: dict[tuple[int, int], tuple[float, float]] = {}
+            def check(i: int, q: int) -> None:
+                doc = int(owner[i])
+                if found.get((doc, q), (0.0, 0.0))[0] == 1.0:
+                    return
+                place = int(i - first[doc]) * STRIDE
+                best = patterns[q].best(own[doc], place, place + 2 * STRIDE)
+                if best[0] >= SURE_MATCH or (best[0] >= LEAST_MATCH and best[1] >= LEAST_ANSWER):
+                    found[doc, q] = max(best, found.get((doc, q), best))
+
+            shared_runs = shared_grams(own, grams, n_terms, first)
+            done = set()
+            for i, q in shared_runs.tolist():
+                done.add((i, q))
+                check(i, q)
             for at in range(0, len(p), 8192):
                 near = p[at : at + 8192] @ queries.T >= least_cosine * (norm[at : at + 8192, None] + 1e-9)
-                for i, q in zip(*np.nonzero(near & (norm[at : at + 8192, None] > 0))):
-                    doc = int(owner[at + i])
-                    if found.get((doc, q), (0.0, 0.0))[0] == 1.0:
-                        continue
-                    place = int(at + i - first[doc]) * STRIDE
-                    best = patterns[q].best(own[doc], place, place + 2 * STRIDE)
-                    if best[0] >= SURE_MATCH or (best[0] >= LEAST_MATCH and best[1] >= LEAST_ANSWER):
-                        found[doc, q] = max(best, found.get((doc, q), best))
+                for i, q in zip(*(x.tolist() for x in np.nonzero(near & (norm[at : at + 8192, None] > 0)))):
+                    if (at + i, q) not in done:
+                        check(at + i, q)
             if found:
                 rows = [(docs[d], ids[q], m, a) for (d, q), (m, a) in found.items()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["doc_id", "item_id", "matched", "answered"])

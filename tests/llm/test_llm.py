@@ -142,6 +142,21 @@ def test_decontamination(spark):
     assert latent.contaminations(made(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_short_items_of_a_large_benchmark(spark):
+    r = random.Random(9)
+    names = ["".join(r.choices("abcdefghijklmnop", k=5)) for _ in range(3000)]
+    text = lambda n: " ".join(names[min(2999, int(r.paretovariate(0.6)))] for _ in range(n))
+    docs = [text(200) for _ in range(300)]
+    rows, want = [], set()
+    for i in range(900):
+        doc, n = i % 300, r.randint(8, 15)
+        start = r.randint(0, 200 - n)
+        rows.append((i, " ".join(docs[doc].split()[start : start + n])))
+        want.add((doc, i))
+    found = latent.contaminations(made(spark, [(i, t, "s") for i, t in enumerate(docs)]), spark.createDataFrame(rows, "item_id long, text string"))
+    assert not want - {(x.doc_id, x.item_id) for x in found.collect()}
+
+
 def test_common_length():
     a, b = np.array([1, 2, 3, 2, 4]), [2, 9, 3, 4, 2]
     assert latent.common_length(latent.masks_of(a), 5, b) == 3
