@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SCRATCH: set[str] = set()
+
 
 def local_session(app: str = "pagescale", cores: str = "8", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and the benchmark; cluster jobs bring their own session."""
@@ -43,7 +45,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    last = f"{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.add(last)
+    return f"{shared_dir(spark).rstrip('/')}/{last}"
 
 
 def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
@@ -53,6 +57,25 @@ def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a step written by `cut_lineage`, once everything that reads it is written itself. Other tables stay."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        discard_path(spark, path)
+
+
+def discard_path(spark: SparkSession, path: str) -> None:
+    """Delete a path that `scratch_path` gave; any other path stays."""
+    if path.rsplit("/", 1)[-1] in _SCRATCH:
+        found = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
+def scratch_names() -> set[str]:
+    """The last parts of all scratch paths of this process."""
+    return set(_SCRATCH)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash rows over the configured number of shuffle partitions before costly row-local work.
 
