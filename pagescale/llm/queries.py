@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagescale.llm import curriculum, html_pages, language, latent, line_templates, media, setsketch, toxicity, warc, weak_labels
+from pagescale.llm import curriculum, html_pages, language, latent, line_templates, media, setsketch, topk_search, toxicity, warc, weak_labels
 from pagescale.llm.common import fold
 from pagescale.llm.registry import query
 from pagescale.session import table
@@ -121,3 +121,18 @@ def op4_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scorer, _ = weak_labels.train(docs)
     return weak_labels.score(docs, scorer).select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+TOPK_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS u FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.u, c.u) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query("op11_threshold_top_k", TOPK_SQL)
+def op11_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", every=50, k=5)
