@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,3 +31,16 @@ def fresh(df: DataFrame, name: str) -> str:
 def hash_order(column: Column, seed: int) -> Column:
     """Hex digits that order rows by chance, the same in every run and engine."""
     return F.md5(F.concat_ws("/", F.lit(str(seed)), F.coalesce(column.cast("string"), F.lit("null"))))
+
+
+def word_slices(data: bytes, size: int = 2 << 20) -> Iterator[list[bytes]]:
+    """The words between white space, those of about `size` bytes at a time; no word is cut."""
+    at = 0
+    while at < len(data):
+        end = at + size
+        if end < len(data):
+            cut = data.rfind(b" ", at, end)
+            end = cut if cut > at else data.find(b" ", end)
+            end = len(data) if end < 0 else end
+        yield data[at:end].split()
+        at = end

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagescale.llm import curriculum, html_pages, language, latent, line_templates, media, setsketch, topk_search, toxicity, warc, weak_labels
+from pagescale.llm import collocations, curriculum, dual_tree, html_pages, language, latent, line_templates, media, setsketch, topk_search, toxicity, warc, weak_labels
 from pagescale.llm.common import fold
 from pagescale.llm.registry import query
 from pagescale.session import table
@@ -136,3 +136,48 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 @query("op11_threshold_top_k", TOPK_SQL)
 def op11_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", every=50, k=5)
+
+
+PHRASE_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+u AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w WHERE len(ws) > 0),
+g AS (SELECT lang, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS g FROM u, (VALUES (1), (2), (3)) v(k) WHERE i + k - 1 <= len(ws)),
+c AS (SELECT lang, k, g, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM c WHERE k = 1 GROUP BY lang),
+x AS (SELECT lang, k, g, f AS a, string_split(g, ' ') AS ws FROM c WHERE k > 1 AND f >= 10),
+s AS (SELECT lang, array_to_string(list_slice(ws, i, i + 1), ' ') AS g, max(a) AS most FROM x, (VALUES (1), (2)) v(i) WHERE k = 3 GROUP BY ALL),
+y AS (SELECT x.*, array_to_string(list_slice(ws, 1, j), ' ') AS lg, array_to_string(list_slice(ws, j + 1, k), ' ') AS rg, j
+      FROM x LEFT JOIN s USING (lang, g), (VALUES (1), (2)) v(j) WHERE j < k AND (k = 3 OR most IS NULL OR 100 * most < 50 * a)),
+z AS (SELECT y.lang, y.g AS phrase, a, cl.f AS l, cr.f AS r, CAST((1000000::HUGEINT * a * a) // (cl.f::HUGEINT * cr.f) AS BIGINT) AS score, j
+      FROM y JOIN c cl ON cl.lang = y.lang AND cl.g = lg JOIN c cr ON cr.lang = y.lang AND cr.g = rg),
+b AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM o JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op12_phrase_collocations", PHRASE_SQL)
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+RANKED_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+d AS (SELECT doc_id, len(ws) AS n, ws FROM t WHERE len(ws) > 0),
+s AS (SELECT count(*) AS nd, sum(n) AS nl FROM d),
+q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS w FROM benchmark),
+o AS (SELECT doc_id, n, unnest(ws) AS w FROM d),
+f AS (SELECT doc_id, n, w, count(*) AS tf FROM o WHERE w IN (SELECT w FROM q) GROUP BY ALL),
+g AS (SELECT w, CAST(floor(1000 * ln((2 * max(nd) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS weight FROM f, s GROUP BY w),
+p AS (SELECT doc_id, f.w, CAST(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nd) // nl))) AS BIGINT) AS impact FROM f JOIN g ON f.w = g.w, s),
+r AS (SELECT item_id, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM q JOIN p ON q.w = p.w GROUP BY item_id, doc_id HAVING sum(impact) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM r QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50
+"""
+
+
+@query("op13_dual_tree_search", RANKED_SQL)
+def op13_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
