@@ -2,104 +2,106 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SKETCH_ACCURACY = 10_000
-WHOLE_GROUP = 100_000
-RANK_BITS = 12
-HOT_SHARE = 1000
+from pagescale.functions.text import let
+from pagescale.session import cut_lineage, discard
 
+DIGIT = 16
+SLICE_DIGITS = 6
 
-def _hot_keys(sizes: DataFrame, keys: list[str]) -> DataFrame | None:
-    """Keys that hold at least one in HOT_SHARE of all rows: by that rule at most HOT_SHARE of them."""
-    if not keys:
-        return None
-    total = sizes.agg(F.sum("n").alias("_total"))
-    return sizes.join(F.broadcast(total)).where(F.col("n") * HOT_SHARE >= F.col("_total")).select(*keys)  # total: one row
 
+def order_key(value: Column) -> Column:
+    """A 64-bit number that orders as the doubles do: exponent and mantissa in one, negative below zero.
 
-def _joined(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame | None) -> DataFrame:
-    """Equi join of rows with one right row per group; without keys the right side is a single row.
-
-    Rows of hot groups never move by key: they meet their right rows by broadcast, all others by a plain join.
+    Both zeros are 0 and NaN is above infinity. Powers of two are exact, so every step is.
     """
-    if hot is None:
-        return left.join(F.broadcast(right))
-    hot = F.broadcast(hot)  # at most HOT_SHARE rows
-    cold = left.join(hot, keys, "left_anti").join(right, keys)
-    return cold.unionByName(left.join(F.broadcast(right.join(hot, keys, "left_semi")), keys))
-
-
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], whole_group: int = WHOLE_GROUP
-) -> DataFrame:
+    size = F.abs(value)
+    near = F.greatest(F.least(F.floor(F.log2(size)), F.lit(1023)), F.lit(-1022))
+    two = lambda e: F.pow(F.lit(2.0), e.cast("double"))
+    # the logarithm may be off by one next to a power of two
+    power = let(near, lambda e: F.when(two(e) > size, e - 1).when((e < 1023) & (two(e + 1) <= size), e + 1).otherwise(e))
+    normal = let(power, lambda e: F.shiftleft((e + 1023).cast("long"), 52) + ((size / two(e) - 1.0) * float(2**52)).cast("long"))
+    tiny = (size * float(2.0**537) * float(2.0**537)).cast("long")
+    infinite = 0x7FF << 52
+    bits = F.when(F.isnan(value), infinite + 1).when(size == float("inf"), infinite).when(size < 2.0**-1022, tiny).otherwise(normal)
+    return F.when(value < 0, -bits).otherwise(bits)
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], digit: int = DIGIT) -> DataFrame:
     """One row per group with ``n`` and one exact quantile column per entry of ``probs``; NULL values are ignored.
 
-    Groups of at most ``whole_group`` rows take the built-in exact percentile, whose state they bound. Larger groups are
-    bracketed first: see :func:`_bracketed`.
-    """
-    keys = list(keys)
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    small = sizes.where((F.col("n") <= whole_group) & (F.col("n") > 0))
-    wanted = F.array(*[F.lit(p) for p in probs.values()])
-    hot = _hot_keys(sizes, keys)
-    exact = _joined(rows, small, keys, hot).groupBy(*keys).agg(F.max("n").alias("n"), F.percentile("_v", wanted).alias("_q"))
-    exact = exact.where(F.col("n").isNotNull()).select(*keys, "n", *[F.col("_q")[i].alias(c) for i, c in enumerate(probs)])
-    return exact.unionByName(_bracketed(rows, sizes.where(F.col("n") > whole_group), keys, hot, probs, whole_group))
+    Radix selection, the same for groups of any size. Values become 64-bit numbers in their order. A pass counts, for
+    every bucket of the next ``digit`` bits, its rows with the least and greatest value; that folds in every task, so no
+    row moves. A wanted rank lies in one bucket: it is found there if it is the first or last or all values are equal,
+    else the next pass counts the rows of that bucket alone. Buckets of a group are at most 2**digit. Rows meet the open
+    buckets by a join on group and bucket, which Spark turns into a broadcast where that table is below its threshold.
 
-
-def _bracketed(
-    rows: DataFrame, large: DataFrame, keys: list[str], hot: DataFrame | None, probs: dict[str, float], whole_group: int
-) -> DataFrame:
-    """Quantiles of large groups: a mergeable sketch brackets every wanted rank; the second pass folds all rows below
-    the bracket into one counter on the map side and counts distinct values only inside it, so that the ordered step sees
-    a sliver of the group. The bracket is wider than the guaranteed rank error of the sketch.
+    The rows are written once, narrow, and read once a pass, 64 / ``digit`` times at most; passes end when all ranks are
+    found. NaN counts as the greatest value.
     """
-    slack = 2.0 / SKETCH_ACCURACY + 2.0 / whole_group
-    edges = [e for p in probs.values() for e in (max(0.0, p - slack), min(1.0, p + slack))]
-    rows = _joined(rows, large, keys, hot)
-    cuts = rows.groupBy(*keys, "n").agg(F.percentile_approx("_v", edges, SKETCH_ACCURACY).alias("_cut"))
-    bracket = lambda i, p: F.struct(
-        F.lit(i).alias("i"), F.lit(p).alias("p"), F.col("_cut")[2 * i].alias("lo"), F.col("_cut")[2 * i + 1].alias("hi")
-    )
-    brackets = cuts.select(*keys, F.array(*[bracket(i, p) for i, p in enumerate(probs.values())]).alias("_b"))
-    inside = _joined(rows, brackets, keys, hot).select(*keys, "n", "_v", F.explode(F.filter("_b", lambda b: F.col("_v") <= b["hi"])).alias("_q"))
-    counted = (
-        inside.select(*keys, "n", F.col("_q.i").alias("_i"), F.col("_q.p").alias("_p"), F.when(F.col("_v") >= F.col("_q.lo"), F.col("_v")).alias("_c"))
-        .groupBy(*keys, "n", "_i", "_p", "_c")
-        .agg(F.count("*").alias("_k"))
-    )
-    order = W.partitionBy(*keys, "_i").orderBy(F.col("_c").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
-    ranked = counted.withColumn("_end", F.sum("_k").over(order))
-    at = (F.col("n") - 1) * F.col("_p")
-    holds = lambda r: (F.col("_end") > r) & (F.col("_end") - F.col("_k") <= r)
-    picked = ranked.groupBy(*keys, "n", "_i", "_p").agg(
-        F.max(F.when(holds(F.floor(at)), F.col("_c"))).alias("_lo"), F.max(F.when(holds(F.ceil(at)), F.col("_c"))).alias("_hi")
-    )
-    value_at = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (at - F.floor(at))
-    return picked.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("_i") == i, value_at)).alias(name) for i, name in enumerate(probs)])
-
-
-def hash_rank(df: DataFrame, ids: Sequence[str], seed: int = 0, name: str = "rank", bits: int = RANK_BITS) -> DataFrame:
+    names, keys = list(keys), list(keys) or ["_all"]
+    frame = df if names else df.withColumn("_all", F.lit(0))
+    rows = frame.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    rows = cut_lineage(rows.withColumn("_key", order_key(F.col("_v"))), "ranks-rows")
+    counts = [F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    at = lambda p: (F.col("n") - 1) * F.lit(float(p))
+    wanted = [F.struct(F.lit(i).alias("i"), F.lit(up).alias("up"), (F.ceil if up else F.floor)(at(p)).cast("long").alias("rank")) for i, p in enumerate(probs.values()) for up in (False, True)]
+    found, open_, shift = None, None, 64
+    while open_ is None or not open_.isEmpty():
+        before, shift = shift, max(0, shift - digit)
+        bucket = F.shiftright("_key", shift).alias("_b")
+        if open_ is None:
+            group, asked = keys, rows.groupBy(*keys, bucket).agg(*counts)
+        else:
+            group = [*keys, "_in"]
+            places = open_.select(*[F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)], F.col("_b").alias("_place")).distinct()
+            met = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{j}")) for j, k in enumerate(keys)])
+            asked = rows.join(places, met & (F.shiftright("_key", before) == F.col("_place")))
+            asked = asked.groupBy(*keys, F.col("_place").alias("_in"), bucket).agg(*counts)
+        part = W.partitionBy(*group)  # buckets, not rows
+        asked = asked.withColumn("_end", F.sum("_c").over(part.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)))
+        if open_ is None:
+            asked = asked.withColumn("n", F.sum("_c").over(part)).withColumn("_w", F.array(*wanted))
+        else:
+            ranks = open_.groupBy(*[F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)], F.col("_b").alias("_place"), "n").agg(F.collect_list(F.struct("i", "up", "rank")).alias("_w"))
+            asked = asked.join(ranks, met & (F.col("_in") == F.col("_place")))
+        here = F.filter("_w", lambda w: (w["rank"] >= F.col("_end") - F.col("_c")) & (w["rank"] < F.col("_end")))
+        hit = asked.select(*keys, "n", "_b", "_c", "_lo", "_hi", (F.col("_end") - F.col("_c")).alias("_start"), F.explode(here).alias("w"))
+        hit = hit.select(*keys, "n", "_b", "_c", "_lo", "_hi", "w.i", "w.up", (F.col("w.rank") - F.col("_start")).alias("rank"))
+        known = F.when((F.col("rank") == 0) | (F.col("_lo") == F.col("_hi")), F.col("_lo")).when(F.col("rank") == F.col("_c") - 1, F.col("_hi"))
+        step = cut_lineage(hit.withColumn("_is", known), "ranks-found")
+        done = step.where("_is IS NOT NULL").select(*keys, "n", "i", "up", "_is")
+        found = done if found is None else found.unionByName(done)
+        open_ = step.where("_is IS NULL")
+    discard(rows)
+    end = lambda i, up: F.max(F.when((F.col("i") == i) & (F.col("up") == up), F.col("_is")))
+    ends = [end(i, up).alias(f"_{'hi' if up else 'lo'}{i}") for i in range(len(probs)) for up in (False, True)]
+    whole = found.groupBy(*keys, "n").agg(*ends)
+    between = lambda i, p: F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (at(p) - F.floor(at(p)))
+    # equal ends are the answer; the difference of two infinities is not a number
+    return whole.select(*names, "n", *[F.when(F.col(f"_lo{i}") == F.col(f"_hi{i}"), F.col(f"_lo{i}")).otherwise(between(i, p)).alias(c) for i, (c, p) in enumerate(probs.items())])
+
+
+def hash_rank(df: DataFrame, ids: Sequence[str], seed: int = 0, name: str = "rank") -> DataFrame:
     """Adds the 0-based position of each row in the pseudo-random order of its hashed id (ids must be unique).
 
-    The leading bits of the hash cut the rows into 2**bits even slices; only the slice counts are summed globally.
+    The order is that of the MD5 digits of seed and ids, which every engine has. Six digits cut the rows into 16 million
+    even slices, so that slices stay small at any size; a slice's place comes from the counts of the slices before it,
+    added up within and then over the 4,096 values of the first three digits. Rows move once, by slice.
     """
-    hashed = df.withColumn("_h", F.xxhash64(*[F.col(c) for c in ids], F.lit(seed))).withColumn(
-        "_s", F.expr(f"shiftrightunsigned(_h, {64 - bits})")
-    )
-    counts = hashed.groupBy("_s").agg(F.count("*").alias("_n"))
-    before = W.orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select("_s", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = W.partitionBy("_s").orderBy(F.expr("shiftrightunsigned(_h, 1)"), "_h", *ids)
-    return (
-        hashed.withColumn("_r", F.row_number().over(inside))
-        .join(F.broadcast(offsets), "_s")  # at most 2**bits rows
-        .withColumn(name, F.col("_before") + F.col("_r") - 1)
-        .drop("_h", "_s", "_r", "_before")
-    )
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ids]
+    hashed = df.withColumn("_h", F.md5(F.concat_ws("/", F.lit(str(seed)), *parts))).withColumn("_s", F.substring("_h", 1, SLICE_DIGITS))
+    counts = hashed.groupBy("_s").agg(F.count("*").alias("_n")).withColumn("_top", F.substring("_s", 1, SLICE_DIGITS // 2))
+    earlier = lambda part, order: F.coalesce(F.sum("_n").over(part.orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    tops = counts.groupBy("_top").agg(F.sum("_n").alias("_n"))
+    tops = tops.select("_top", earlier(W.partitionBy(F.lit(0)), "_top").alias("_first"))  # at most 4,096 rows
+    inner = counts.select("_s", "_top", earlier(W.partitionBy("_top"), "_s").alias("_inner"))
+    starts = inner.join(F.broadcast(tops), "_top").select("_s", (F.col("_first") + F.col("_inner")).alias("_before"))
+    ranked = hashed.withColumn("_r", F.row_number().over(W.partitionBy("_s").orderBy("_h", *ids)))
+    return ranked.join(starts, "_s").withColumn(name, F.col("_before") + F.col("_r") - 1).drop("_h", "_s", "_r", "_before")

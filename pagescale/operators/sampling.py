@@ -9,14 +9,27 @@ from pyspark.sql import functions as F
 
 from pagescale import constants as C
 from pagescale.functions import text as X
+from pagescale.functions.text import let
 from pagescale.operators.quantiles import hash_rank
 
-DRAWS_PER_GROUP = 20
+ROUNDS = 4
+LARGEST = 1 << 62
 
 
-def unit_hash(*cols: Column) -> Column:
-    """A pseudo-random number in [0, 1) from the hashed columns."""
-    return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(2**53))
+def digest(*cols: Column | str | int) -> Column:
+    """Hex digits that order rows by chance, the same in every run and every engine that has MD5."""
+    text = lambda c: F.lit(str(c)) if isinstance(c, int) else F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("null"))
+    return F.md5(F.concat_ws("/", *map(text, cols)))
+
+
+def chance(*cols: Column | str | int) -> Column:
+    """A pseudo-random whole number below 2**60."""
+    return F.conv(F.substring(digest(*cols), 1, 15), 16, 10).cast("long")
+
+
+def unit_hash(*cols: Column | str | int) -> Column:
+    """A pseudo-random number in [0, 1): 52 bits, so that it is exact."""
+    return F.conv(F.substring(digest(*cols), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def sample_n(df: DataFrame, n: int, seed: int, ids: list[str]) -> DataFrame:
@@ -29,31 +42,87 @@ def sample_n(df: DataFrame, n: int, seed: int, ids: list[str]) -> DataFrame:
     return hash_rank(df, ids, seed, "_rank").where(F.col("_rank") < n).drop("_rank")
 
 
+def div(a: Column, b: Column | int) -> Column:
+    return F.call_function("div", a, b if isinstance(b, Column) else F.lit(b).cast("long"))
+
+
+def permuted(i: Column, size: int, *key: Column | int) -> Column:
+    """A keyed permutation of the numbers below ``size``.
+
+    The number is written with two digits, a high one of about the root of the size; rounds add to one digit a hash of the
+    other, which can be undone. What the two digits do not reach keeps its place. At last all numbers are turned by a key.
+    """
+    length = len(str(size))
+    high = 10 ** ((length + 1) // 2) if length > 1 else 1
+    low = size // high
+    left, right = div(i, low), i % low
+    for r in range(1, ROUNDS + 1):
+        if r % 2:
+            left = (left + chance(*key, r, right) % high) % high
+        else:
+            right = (right + chance(*key, r, left) % low) % low
+    mixed = F.when(i < high * low, left * low + right).otherwise(i)
+    return (mixed + chance(*key, 0) % size) % size
+
+
+def choose(n: Column, k: Column) -> Column:
+    """The number of subsets of k out of n; no step exceeds k times the result."""
+    return F.aggregate(F.sequence(F.lit(1).cast("long"), k), F.lit(1).cast("long"), lambda v, i: div(v * (n - k + i), i))
+
+
+def unranked(number: Column, n: int, k: int) -> Column:
+    """The subset of k of the numbers below n that has this number in the combinatorial number system, greatest first.
+
+    The greatest member is the largest c with at most ``number`` subsets of k below it; what is left numbers the rest.
+    """
+    bits = F.array(*[F.lit(1 << b).cast("long") for b in reversed(range(max(1, n.bit_length())))])
+
+    def add(state: Column, j: Column) -> Column:
+        larger = lambda c, b: F.when(c + b < n, F.when(choose(c + b, j) <= state["x"], c + b).otherwise(c)).otherwise(c)
+        member = F.aggregate(bits, j - 1, larger)
+        return let(member, lambda c: F.struct((state["x"] - choose(c, j)).alias("x"), F.array_append(state["m"], c).alias("m")))
+
+    start = F.struct(number.cast("long").alias("x"), F.array().cast("array<bigint>").alias("m"))
+    return F.aggregate(F.sequence(F.lit(k).cast("long"), F.lit(1).cast("long"), F.lit(-1).cast("long")), start, add, lambda s: s["m"])
+
+
+def classes(total: int, k: int) -> list[tuple[int, int]]:
+    """(positions, members) of the residue classes that a group of k takes its members from.
+
+    One class, unless its subsets cannot be numbered in 64 bits; then as few as that takes, with members dealt evenly.
+    """
+    for s in range(1, max(k, 1) + 1):
+        parts = [((total - q + s - 1) // s, (k - q + s - 1) // s) for q in range(s)]
+        if all(math.comb(n, m) * max(m, 1) < LARGEST for n, m in parts):
+            return parts
+    raise ValueError("there are more rows than 64-bit numbers")
+
+
 def draw_groups(spark: SparkSession, total: int, plan: dict[int, int], seed: int) -> DataFrame:
     """Distinct sorted subsets of the positions below ``total`` as ``(k, group_no, m)``, ``plan[k]`` of each size.
 
-    Each draw is without replacement: step j takes a position up to j, or j itself where that position is taken, which
-    makes all subsets equally likely. Counts are capped at the number of subsets. At most 20 draws are made per wanted
-    group; where they hold too few distinct subsets, that is an error.
+    Draw number g takes the subset whose number is the g-th of a keyed permutation of all subset numbers, so draws differ
+    by construction and every count up to the number of subsets is met. Where there are more subsets than 64-bit numbers,
+    the positions fall into residue classes and a group has a subset of each: positions stand for rows in hashed order, so
+    all groups of rows are still equally likely; the number is then one with a digit for each class.
     """
     out = None
-    wanted = {}
     for k, count in plan.items():
         if k > total:
             raise ValueError("the group size must not exceed the number of rows")
-        wanted[k] = min(count, math.comb(total, k))
-        members = F.lit([]).cast("array<bigint>")
-        if k > 0:
-            pick = lambda j: F.pmod(F.xxhash64("id", j, F.lit(k), F.lit(seed)), j + 1)  # noqa: E731, B023
-            add = lambda m, j: F.array_append(m, F.when(F.array_contains(m, pick(j)), j).otherwise(pick(j)))  # noqa: E731, B023
-            members = F.array_sort(F.aggregate(F.sequence(F.lit(total - k).cast("long"), F.lit(total - 1).cast("long")), members, add))
-        draws = spark.range(DRAWS_PER_GROUP * wanted[k]).select("id", members.alias("m"))
-        chosen = draws.groupBy("m").agg(F.min("id").alias("group_no")).orderBy("group_no").limit(wanted[k]).select(F.lit(k).alias("k"), "group_no", "m")
-        out = chosen if out is None else out.unionByName(chosen)
-    got = {r["k"]: r["n"] for r in out.groupBy("k").agg(F.count("*").alias("n")).collect()}  # one row per size
-    short = [k for k, n in wanted.items() if got.get(k, 0) < n]
-    if short:
-        raise RuntimeError(f"could not draw enough distinct groups of size {short}")
+        parts = classes(total, k)
+        sizes = [math.comb(n, m) for n, m in parts]
+        rest, members, known = F.col("id"), [], []
+        for q, ((n, m), size) in enumerate(zip(parts, sizes, strict=True)):
+            # later digits are turned by the earlier ones, so that they vary from the first draw on
+            digit = rest % size if not known else (rest + chance(seed, k, -1, *known) % size) % size
+            rest = div(rest, size)
+            known.append(digit)
+            if m:
+                members.append(F.transform(unranked(permuted(digit, size, seed, k, 100 + q), n, m), lambda c: c * len(parts) + q))  # noqa: B023
+        m = F.array_sort(F.concat(*members)) if members else F.array().cast("array<bigint>")
+        draws = spark.range(min(count, math.prod(sizes))).select(F.lit(k).alias("k"), F.col("id").alias("group_no"), m.alias("m"))
+        out = draws if out is None else out.unionByName(draws)
     return out
 
 
@@ -63,16 +132,19 @@ def sample_groups(df: DataFrame, ids: list[str], plan: dict[int, int], seed: int
     Draws pick positions in the hashed order of the rows, so the rows are numbered once and joined once for all sizes.
     """
     chosen = draw_groups(df.sparkSession, df.count(), plan, seed)
-    numbered = hash_rank(df, ids, seed, "_pos").select("_pos", *ids)
+    numbered = hash_rank(df.select(*ids), ids, seed, "_pos")
     flat = chosen.select("k", "group_no", F.posexplode("m").alias("member_no", "_pos"))
     return flat.join(numbered, "_pos").drop("_pos")
 
 
 def build_groups(blocks: DataFrame, plan: dict[int, int], seed: int, prefix: str = "group") -> DataFrame:
-    """Block groups of every planned size with their joined text; blocks need ``page_id, block_no, text``."""
-    chosen = draw_groups(blocks.sparkSession, blocks.count(), plan, seed)
-    numbered = hash_rank(blocks.select("page_id", "block_no", "text"), ["page_id", "block_no"], seed, "_pos")
-    flat = chosen.select("k", "group_no", F.posexplode("m").alias("member_no", "_pos")).join(numbered, "_pos")
+    """Block groups of every planned size with their joined text; blocks need ``page_id, block_no, text``.
+
+    Only ids are numbered; the texts of the chosen blocks join afterwards.
+    """
+    keys = ["page_id", "block_no"]
+    members = sample_groups(blocks.select(*keys), keys, plan, seed)
+    flat = members.join(blocks.select(*keys, "text"), keys)
     code = X.block_code(F.col("page_id"), F.col("block_no"))
     item = F.array_sort(F.collect_list(F.struct("member_no", code.alias("code"), "text")))  # k members
     rows = flat.groupBy("k", "group_no").agg(item.alias("g")).select(
@@ -83,7 +155,7 @@ def build_groups(blocks: DataFrame, plan: dict[int, int], seed: int, prefix: str
 
 def pick_per_record(df: DataFrame, sizes: list[int], seed: int, blocks: str = "blocks", key: str = "page_id") -> DataFrame:
     """Per page and size: that many blocks in hashed order, joined by a blank line; skipped when one is blank or missing."""
-    tagged = F.transform(F.col(blocks), lambda b, i: F.struct(F.xxhash64(F.col(key), i, F.col("size"), F.lit(seed)).alias("h"), i.alias("i"), X.strip(b).alias("t")))
+    tagged = F.transform(F.col(blocks), lambda b, i: F.struct(digest(seed, key, "size", i).alias("h"), i.alias("i"), X.strip(b).alias("t")))
     sized = df.select("*", F.explode(F.array(*map(F.lit, sizes))).alias("size")).where(F.size(blocks) >= F.col("size"))
     picked = sized.withColumn("_p", F.slice(F.array_sort(tagged), F.lit(1), F.col("size"))).where(~F.exists("_p", lambda p: p["t"] == ""))
     return picked.select(
@@ -140,9 +212,9 @@ def train_test_split(df: DataFrame, frac: float, seed: int, ids: list[str], excl
         raise ValueError("the test share lies in [0, 1)")
     flag = F.lit(False) if exclude is None else F.coalesce(exclude, F.lit(False))
     eligible = df.where(~flag)
-    ranked = hash_rank(eligible, ids, seed, "_rank")
-    train = int(eligible.count() * (1.0 - frac))
-    marked = ranked.withColumn("split", F.when(F.col("_rank") < train, "train").otherwise("test")).drop("_rank")
+    size = eligible.agg(F.floor(F.count("*") * (1.0 - frac)).alias("_train"))
+    ranked = hash_rank(eligible, ids, seed, "_rank").join(F.broadcast(size))  # one row
+    marked = ranked.withColumn("split", F.when(F.col("_rank") < F.col("_train"), "train").otherwise("test")).drop("_rank", "_train")
     return marked if exclude is None else marked.unionByName(df.where(flag).withColumn("split", F.lit("excluded")))
 
 
@@ -152,7 +224,7 @@ def sample_frac_by(df: DataFrame, column: str, fractions: dict, seed: int, ids:
     for key, f in fractions.items():
         cond = F.col(column) == key
         share = F.when(cond, F.lit(float(f))) if share is None else share.when(cond, F.lit(float(f)))
-    return df.where(unit_hash(*map(F.col, ids), F.lit(seed)) < share.otherwise(F.lit(0.0)))
+    return df.where(unit_hash(seed, *ids) < share.otherwise(F.lit(0.0)))
 
 
 def cumulative_pages(pages: DataFrame) -> DataFrame:

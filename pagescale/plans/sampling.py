@@ -10,6 +10,8 @@ from pagescale.operators import sampling as O
 from pagescale.operators.filters import keep_blocks
 from pagescale.plans import fixtures as fx
 from pagescale.plans.catalog import query, r6
+from pagescale.plans.draws import draws
+from pagescale.plans.segments import SEGMENT, WORDS, chunk_sql
 
 
 def _blocks(spark, d):
@@ -19,19 +21,39 @@ def _blocks(spark, d):
     return long.select("page_id", (F.col("b") + 1).alias("block_no"), "text")
 
 
-@query("smp1_sample_n")
+@query("smp1_sample_n", """SELECT doc_id, lang, n_chars FROM (SELECT *, row_number() OVER (ORDER BY md5('42/'||doc_id), doc_id) AS rn, count(*) OVER () AS n FROM documents)
+    WHERE rn <= greatest(1, n//10)""")
 def sample_n(spark, d):
     docs = fx.table(spark, d, "documents").select("doc_id", "lang", "n_chars")
     return O.sample_n(docs, max(1, docs.count() // 10), 42, ["doc_id"])
 
 
-@query("smp2_sample_groups")
+@query(
+    "smp2_sample_groups",
+    f"""WITH {draws("count(*) FROM documents", {3: ("(SELECT count(*)//5 FROM documents)", 1)}, 42)},
+    pos AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42/'||doc_id), doc_id)-1 AS pos FROM documents),
+    flat AS (SELECT k, group_no, unnest(m) AS pos, generate_subscripts(m, 1)-1 AS member_no FROM drawn)
+    SELECT k, group_no, CAST(member_no AS INT) AS member_no, doc_id FROM flat JOIN pos USING (pos)""",
+)
 def sample_groups(spark, d):
     docs = fx.table(spark, d, "documents").select("doc_id")
     return O.sample_groups(docs, ["doc_id"], {3: docs.count() // 5}, 42)
 
 
-@query("smp4_build_groups")
+GROUPS = {k: (f"(SELECT count(*)//{share} FROM documents)", s) for k, share, s in ((1, 10, 1), (2, 10, 1), (3, 20, 1), (5, 20, 1), (10, 20, 2))}
+
+
+@query(
+    "smp4_build_groups",
+    f"""WITH RECURSIVE cut AS ({chunk_sql("length(t)", "=", 4)}),
+    blk AS (SELECT CAST(doc_id AS VARCHAR) AS page_id, block+1 AS block_no, text FROM cut WHERE text <> ''),
+    {draws("count(*) FROM blk", GROUPS, 42)},
+    pos AS (SELECT *, row_number() OVER (ORDER BY md5('42/'||page_id||'/'||block_no), page_id, block_no)-1 AS pos FROM blk),
+    flat AS (SELECT k, group_no, unnest(m) AS pos, generate_subscripts(m, 1) AS member_no FROM drawn),
+    item AS (SELECT k, group_no, member_no, 'C'||page_id||'B'||block_no AS code, text FROM flat JOIN pos USING (pos))
+    SELECT k, group_no, 'group_'||k||'_'||string_agg(code, '' ORDER BY member_no) AS image, string_agg(code, ',' ORDER BY member_no) AS blocks, string_agg(text, ' ' ORDER BY member_no) AS gt
+    FROM item GROUP BY k, group_no""",
+)
 def build_groups(spark, d):
     blocks = _blocks(spark, d)
     n = fx.table(spark, d, "documents").count()
@@ -40,7 +62,13 @@ def build_groups(spark, d):
     return out.select("k", "group_no", "image", F.array_join("blocks", ",").alias("blocks"), "gt")
 
 
-@query("smp5_pick_per_record")
+@query(
+    "smp5_pick_per_record",
+    f"""WITH b AS (SELECT CAST(doc_id AS VARCHAR) AS page_id, i, text FROM ({' UNION ALL '.join(f'SELECT doc_id, {i} AS i, {SEGMENT(i, 4)} AS text FROM ({WORDS})' for i in range(4))})),
+    r AS (SELECT page_id, size, i, text, row_number() OVER (PARTITION BY page_id, size ORDER BY md5(concat_ws('/', 42, page_id, size, i)), i) AS rn FROM b, (VALUES (1), (2), (3)) s(size))
+    SELECT page_id, size, string_agg(CAST(i+1 AS VARCHAR), ',' ORDER BY rn) AS block_nos, string_agg(text, chr(10)||chr(10) ORDER BY rn) AS gt
+    FROM r WHERE rn <= size GROUP BY page_id, size HAVING min(length(text)) > 0""",
+)
 def pick(spark, d):
     df = fx.documents(spark, d).select(F.col("doc_id").cast("string").alias("page_id"), X.equal_word_segments(F.col("text"), 4).alias("blocks"))
     return O.pick_per_record(df, [1, 2, 3], 42).withColumn("block_nos", F.array_join(F.transform("block_nos", lambda i: i.cast("string")), ","))
@@ -108,7 +136,12 @@ def split(spark, d):
     return out.groupBy("split").agg(F.count("*").alias("n"))
 
 
-@query("smp13_sample_frac_by")
+@query(
+    "smp13_sample_frac_by",
+    """SELECT resolution, count(*) AS n, round(avg(edit_distance)+1e-9, 6) AS mean_ed FROM analysis_points
+    WHERE ('0x'||substr(md5(concat_ws('/', 42, image_id, resolution, font_size, line_spacing, letter_spacing)), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE
+      < CASE resolution WHEN 512 THEN 0.5::DOUBLE WHEN 640 THEN 0.25::DOUBLE WHEN 1024 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END GROUP BY resolution""",
+)
 def sample_by(spark, d):
     pts = fx.analysis_points(spark, d)
     ids = ["image_id", "resolution", "font_size", "line_spacing", "letter_spacing"]

@@ -100,7 +100,7 @@ def sentences(spark, d):
     return fx.documents(spark, d).select("doc_id", F.posexplode(parts).alias("pos", "s"))
 
 
-def _chunk_sql(measure: str, forced: str, n: int) -> str:
+def chunk_sql(measure: str, forced: str, n: int) -> str:
     """Greedy chunking as a recursive walk over the sentences of every document."""
     return f"""WITH RECURSIVE s AS (SELECT doc_id, {SENTENCES.format(NORM)} AS l FROM documents),
     e AS (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS pos, len(l) AS m FROM s),
@@ -116,12 +116,12 @@ def _chunk_sql(measure: str, forced: str, n: int) -> str:
     SELECT k.doc_id, CAST(k.block AS INT) AS block, coalesce(g.text, '') AS text FROM k LEFT JOIN g USING (doc_id, block)"""
 
 
-@query("seg8_chunk_by_chars", _chunk_sql("length(t)", "=", 4))
+@query("seg8_chunk_by_chars", chunk_sql("length(t)", "=", 4))
 def by_chars(spark, d):
     return fx.documents(spark, d).select("doc_id", F.posexplode(X.chunk_by_chars(X.split_sentences(X.normalize_ws(F.col("text"))), 4)).alias("block", "text"))
 
 
-@query("seg9_chunk_by_words", _chunk_sql(f"len({word_list('t')})", "<=", 6))
+@query("seg9_chunk_by_words", chunk_sql(f"len({word_list('t')})", "<=", 6))
 def by_words(spark, d):
     return fx.documents(spark, d).select("doc_id", F.posexplode(X.chunk_by_words(X.split_sentences(X.normalize_ws(F.col("text"))), 6)).alias("block", "text"))
 

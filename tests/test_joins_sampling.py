@@ -1,7 +1,9 @@
 """Joins, layout merging, sampling and geometry on hand-made rows."""
 
+import itertools
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -229,6 +231,24 @@ def test_draws_are_subsets_and_never_lost(spark):
     assert all(len(set(r.m)) == r.k and r.m == sorted(r.m) and 0 <= r.m[0] and r.m[-1] < 10 for r in got)
 
 
+def test_subsets_are_numbered_without_gaps(spark):
+    for n, k in ((7, 3), (6, 6), (5, 1), (9, 2), (4, 0)):
+        got = P.draw_groups(spark, n, {k: 10_000}, 1).collect()
+        assert sorted(tuple(r.m) for r in got) == sorted(itertools.combinations(range(n), k))
+    # too many subsets for 64-bit numbers: members come from residue classes
+    assert len(P.classes(40_000, 10)) > 1
+    got = [tuple(r.m) for r in P.draw_groups(spark, 40_000, {10: 500}, 3).collect()]
+    assert len(set(got)) == 500 and all(len(set(m)) == 10 and list(m) == sorted(m) and 0 <= m[0] and m[-1] < 40_000 for m in got)
+    counts = np.bincount(np.array(got).ravel() * 8 // 40_000, minlength=8)
+    assert counts.min() > 500 and counts.max() < 750  # spread evenly over the positions
+
+
+def test_permutation_of_numbers(spark):
+    for size in (1, 2, 9, 10, 97, 1000, 4099):
+        got = [r.x for r in spark.range(size).select(P.permuted(F.col("id"), size, 5).alias("x")).collect()]
+        assert sorted(got) == list(range(size))
+
+
 def test_samples_of_one_seed_are_nested(spark):
     df = spark.range(1000).select(F.col("id").alias("key"))
     ids = lambda n: {r.key for r in P.sample_n(df, n, 42, ["key"]).collect()}

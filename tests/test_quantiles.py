@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pagescale.operators import windows as W
 from pagescale.operators.neighbours import kth_neighbour, trim_sparse
-from pagescale.operators.quantiles import exact_quantiles, hash_rank
+from pagescale.operators.quantiles import exact_quantiles, hash_rank, order_key
 
 
 def test_quantiles_small_and_large_groups(spark):
@@ -17,19 +17,45 @@ def test_quantiles_small_and_large_groups(spark):
     rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("tiny", None)]
     df = spark.createDataFrame(rows, "g string, v double")
     probs = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.9, "e": 0.999, "f": 1.0}
-    for whole in (100_000, 300):  # the lower limit sends the larger groups through the bracketed path
-        got = {r.g: r for r in exact_quantiles(df, ["g"], "v", probs, whole_group=whole).collect()}
+    for digit in (16, 5):  # short digits take more passes
+        got = {r.g: r for r in exact_quantiles(df, ["g"], "v", probs, digit=digit).collect()}
         assert set(got) == set(groups)
         for k, vs in groups.items():
             assert got[k].n == len(vs)
             for name, p in probs.items():
-                assert got[k][name] == pytest.approx(np.quantile(vs, p), abs=1e-12), (k, name, whole)
+                assert got[k][name] == pytest.approx(np.quantile(vs, p), abs=1e-12), (k, name, digit)
     allv = np.concatenate(list(groups.values()))
-    for whole in (100_000, 300):
-        row = exact_quantiles(df, [], "v", {"m": 0.3}, whole_group=whole).collect()
+    for digit in (16, 5):
+        row = exact_quantiles(df, [], "v", {"m": 0.3}, digit=digit).collect()
         assert len(row) == 1 and row[0].m == pytest.approx(np.quantile(allv, 0.3), abs=1e-12)
 
 
+def test_order_key_orders_all_doubles(spark):
+    rng = np.random.default_rng(3)
+    edge = [0.0, -0.0, 1.0, 2.0, 5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, float("inf"), 0.1, 4503599627370497.5]
+    edge += [float(np.nextafter(x, y)) for x in (1.0, 2.0, 8.0, 1024.0, 2.0**-7, 2.0**600) for y in (0, np.inf)]
+    values = sorted([*edge, *(-x for x in edge), *(rng.normal(size=300) * 10.0 ** rng.integers(-300, 300, 300))])
+    got = [r.k for r in spark.createDataFrame([(float(v),) for v in values], "v double").select(order_key(F.col("v")).alias("k"), "v").sort("v").collect()]
+    bits = lambda v: int(np.float64(abs(v)).view(np.int64)) * (-1 if v < 0 else 1)
+    assert got == [bits(v) for v in values]
+    nan = spark.createDataFrame([(float("nan"),)], "v double").select(order_key(F.col("v")).alias("k")).first().k
+    assert nan > max(got)
+
+
+def test_quantiles_of_odd_values_and_keys(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(None, 1, x) for x in (3.0, 1.0, None)] + [("a", None, x) for x in (nan, 1.0, 2.0)] + [("a", 2, x) for x in (-inf, inf, inf, inf)] + [("b", 1, None), ("z", 0, -0.0), ("z", 0, 0.0)]
+    rows += [("near", 1, 1.0 + i * 2.0**-52) for i in range(40)] + [("neg", 1, -float(i)) for i in range(100)]
+    out = exact_quantiles(spark.createDataFrame(rows, "g string, h int, v double"), ["g", "h"], "v", {"lo": 0.0, "mid": 0.5, "p": 0.3, "hi": 1.0})
+    got = {(r.g, r.h): r for r in out.collect()}
+    assert set(got) == {(None, 1), ("a", None), ("a", 2), ("z", 0), ("near", 1), ("neg", 1)}
+    assert (got[None, 1].mid, got[None, 1].n) == (2.0, 2) and got["a", None].lo == 1.0 and got["a", None].mid == 2.0 and np.isnan(got["a", None].hi)
+    assert got["a", 2].lo == -inf and got["a", 2].mid == got["a", 2].hi == inf and got["z", 0].mid == 0.0
+    near, neg = [r[2] for r in rows if r[0] == "near"], [r[2] for r in rows if r[0] == "neg"]
+    assert got["near", 1].p == pytest.approx(np.quantile(near, 0.3), abs=2.0**-52) and got["neg", 1].p == pytest.approx(np.quantile(neg, 0.3))
+    assert exact_quantiles(spark.createDataFrame([], "v double"), [], "v", {"q": 0.5}).count() == 0
+
+
 def test_hash_rank_is_a_permutation(spark):
     df = spark.range(5000)
     a = {r.id: r["rank"] for r in hash_rank(df, ["id"], 3).collect()}
