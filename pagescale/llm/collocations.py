@@ -22,7 +22,7 @@ from pagescale.llm.quotient_filter import Filter, mixed, restored
 from pagescale.session import cut_lineage, discard
 
 HELD_WORDS = 1 << 18
-HELD_KEYS = 1 << 19
+HELD_KEYS = 1 << 18
 BUCKET_WORDS = 1 << 19
 MARK_BITS = 27
 HOT_SHARE = 1000
