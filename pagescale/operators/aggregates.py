@@ -34,7 +34,11 @@ def bin_quantiles(
 ) -> DataFrame:
     """High and low quantile of ``y`` per length bin; bins between a group's first and last bin exist, empty ones as 0."""
     binned = df.select(*keys, bin_index(x, width).alias("bin"), y)
-    stats = exact_quantiles(binned, [*keys, "bin"], y, {"q_high": q, "q_low": q_low})
+    return fill_bins(exact_quantiles(binned, [*keys, "bin"], y, {"q_high": q, "q_low": q_low}), keys, width)
+
+
+def fill_bins(stats: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
+    """The bins between a group's first and last one, with zeros where ``stats`` has none."""
     spans = stats.groupBy(*keys).agg(F.min("bin").alias("_lo"), F.max("bin").alias("_hi"))
     grid = spans.select(*keys, F.explode(F.sequence("_lo", "_hi")).alias("bin"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)

@@ -14,6 +14,10 @@ from pagescale.functions import geometry as G
 from pagescale.functions import text as X
 from pagescale.operators.filters import keep_blocks
 from pagescale.schema import assert_columns
+from pagescale.session import cut_lineage, discard, meet
+
+CANVAS_BLOCK = 64
+MOST_BLOCKS = 4096
 
 
 def _one_per_key(df: DataFrame, key: str, pos: Column | None = None, first: bool = False) -> DataFrame:
@@ -168,20 +172,26 @@ def selected_with_gt(ids: DataFrame, gt: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def canvas_fit(images: DataFrame, canvases: DataFrame) -> DataFrame:
-    """Every canvas an image fits on, numbered by (area, width, height) per image.
+    """Every canvas an image fits on, with its area.
 
-    The size condition becomes an equality on the power-of-two class of the canvas width: an image asks for its own and
-    all larger classes, the exact comparison follows. Each canvas therefore meets only images of at most its class.
+    A dominance join on a block skyline. Canvases are range-sorted by width and height into blocks of about CANVAS_BLOCK
+    that carry their greatest width and height, at most MOST_BLOCKS of them; an image meets only the blocks whose corner
+    holds it. A block is met by the number of its canvases, not by a class that all images might share, and no row of
+    the result is sorted. Sizes that are NULL or not positive fit nothing.
     """
-    classed = canvases.where((F.col("canvas_w") > 0) & (F.col("canvas_h") > 0)).select("canvas_w", "canvas_h").distinct()
-    classed = classed.withColumn("_k", F.floor(F.log2("canvas_w")).cast("int"))
-    top = classed.agg(F.max("_k").alias("_top"))  # one row
-    own = F.floor(F.log2("width")).cast("int")
-    asks = images.where(F.col("width") > 0).join(F.broadcast(top), own <= F.col("_top")).withColumn("_k", F.explode(F.sequence(own, F.col("_top")))).drop("_top")
-    fits = asks.join(classed, "_k").where((F.col("canvas_w") >= F.col("width")) & (F.col("canvas_h") >= F.col("height")))
-    return fits.drop("_k").withColumn("area", F.col("canvas_w").cast("long") * F.col("canvas_h")).sort(
-        "id", "area", "canvas_w", "canvas_h"
-    )
+    usable = canvases.where((F.col("canvas_w") > 0) & (F.col("canvas_h") > 0)).select("canvas_w", "canvas_h").distinct()
+    usable = cut_lineage(usable, "canvases")
+    n_blocks = max(1, min(MOST_BLOCKS, -(-usable.count() // CANVAS_BLOCK)))
+    blocks = usable.repartitionByRange(n_blocks, "canvas_w", "canvas_h").withColumn("_block", F.spark_partition_id())
+    blocks = cut_lineage(blocks, "canvas-blocks")
+    discard(usable)
+    corner = blocks.groupBy("_block").agg(F.max("canvas_w").alias("w"), F.max("canvas_h").alias("h"))
+    skyline = cut_lineage(corner.agg(F.collect_list(F.struct("_block", "w", "h")).alias("_skyline")), "skyline")  # one row of at most MOST_BLOCKS corners
+    holds = F.filter("_skyline", lambda c: (c["w"] >= F.col("width")) & (c["h"] >= F.col("height")))
+    visits = images.where((F.col("width") > 0) & (F.col("height") > 0)).join(F.broadcast(skyline))
+    visits = visits.withColumn("_block", F.explode(F.transform(holds, lambda c: c["_block"]))).drop("_skyline")
+    fits = visits.join(blocks, "_block").where((F.col("canvas_w") >= F.col("width")) & (F.col("canvas_h") >= F.col("height")))
+    return fits.drop("_block").withColumn("area", F.col("canvas_w").cast("long") * F.col("canvas_h"))
 
 
 def fits_fixed_canvas(images: DataFrame, side: int = 3584) -> DataFrame:
@@ -309,13 +319,22 @@ def points_with_sizes(metrics: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def near_boundary_mean(points: DataFrame, bounds: DataFrame, column: str, half: float, boundary: str) -> DataFrame:
-    """Mean of a column over points whose length lies within ``half`` of their group's boundary."""
+    """Mean of a column over points whose length lies within ``half`` of their group's boundary.
+
+    A banded join: lengths fall into bands as wide as the range around a boundary, so a boundary is copied to the one or
+    two bands that its range touches, and points meet it by group and band. A group's points therefore lie under as many
+    keys as its lengths have bands, and those of other bands meet nothing. Boundaries that are not finite have no points.
+    """
     finite = bounds.where(F.col(boundary).isNotNull() & ~F.isnan(boundary) & (F.abs(boundary) < float("inf")))
-    joined = points.join(finite.select(*C.GROUP_KEYS, F.col(boundary).alias("_at")), C.GROUP_KEYS)
+    wide = max(2.0 * half, 1.0)
+    band = lambda c: F.floor(c / wide)
+    at = finite.select(*C.GROUP_KEYS, F.col(boundary).alias("_at"))
+    at = at.withColumn("_band", F.explode(F.sequence(band(F.col("_at") - half), band(F.col("_at") + half))))
+    joined = meet(points.withColumn("_band", band(F.col("text_len"))), at, [*C.GROUP_KEYS, "_band"])
     near = joined.where(F.col("text_len").between(F.col("_at") - half, F.col("_at") + half))
     return near.groupBy(*C.GROUP_KEYS).agg(F.avg(column).alias(f"{column}_near"), F.count("*").alias("n_near"))
 
 
 def with_fitted(points: DataFrame, fits: DataFrame, columns: list[str]) -> DataFrame:
     """Points with fitted values of their group; groups without a fit drop out."""
-    return points.join(fits.select(*C.GROUP_KEYS, *columns), C.GROUP_KEYS)
+    return meet(points, fits.select(*C.GROUP_KEYS, *columns), C.GROUP_KEYS)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pagescale import constants as C
 from pagescale.operators.quantiles import exact_quantiles
-from pagescale.session import cut_lineage
+from pagescale.session import cut_lineage, meet
 
 LEAF = 8
 STEP = 2
@@ -111,5 +111,5 @@ def trim_sparse(
     for share, name in column.items():
         mine = [r for r, s in shares.items() if s == share]
         pick = F.when(F.col("resolution").isin(*mine), F.col(name)).otherwise(pick)
-    joined = measured.join(cuts.select(*keys, pick.alias("_cut")), keys, "left")
+    joined = meet(measured, cuts.select(*keys, pick.alias("_cut")), keys, "left")
     return joined.where(F.col("dk").isNull() | F.col("_cut").isNull() | (F.col("dk") <= F.col("_cut"))).drop("dk", "_cut")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pagescale.functions.text import let
 from pagescale.session import cut_lineage, discard
 
-DIGIT = 16
+DIGIT = 22
 SLICE_DIGITS = 6
 
 
@@ -48,44 +48,60 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     names, keys = list(keys), list(keys) or ["_all"]
     frame = df if names else df.withColumn("_all", F.lit(0))
     rows = frame.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    rows = cut_lineage(rows.withColumn("_key", order_key(F.col("_v"))), "ranks-rows")
-    counts = [F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    rows = cut_lineage(rows, "ranks-rows")
+    keyed = rows.withColumn("_key", order_key(F.col("_v")))  # from the written column, not from what made it
     at = lambda p: (F.col("n") - 1) * F.lit(float(p))
-    wanted = [F.struct(F.lit(i).alias("i"), F.lit(up).alias("up"), (F.ceil if up else F.floor)(at(p)).cast("long").alias("rank")) for i, p in enumerate(probs.values()) for up in (False, True)]
-    found, open_, shift = None, None, 64
-    while open_ is None or not open_.isEmpty():
+    ranks = [f(at(p)).cast("long") for p in probs.values() for f in (F.floor, F.ceil)]
+    shift = max(0, 64 - digit)
+    counted = _buckets(keyed, keys, shift).withColumn("n", F.sum("_c").over(W.partitionBy(*keys)))
+    first = [x for i, rank in enumerate(ranks) for x in _found(i, rank)]
+    base = cut_lineage(counted.groupBy(*keys, "n").agg(*first), "ranks-found")
+    later, open_ = None, _still_open(base, keys, len(ranks))
+    while shift and not open_.isEmpty():
         before, shift = shift, max(0, shift - digit)
-        bucket = F.shiftright("_key", shift).alias("_b")
-        if open_ is None:
-            group, asked = keys, rows.groupBy(*keys, bucket).agg(*counts)
-        else:
-            group = [*keys, "_in"]
-            places = open_.select(*[F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)], F.col("_b").alias("_place")).distinct()
-            met = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{j}")) for j, k in enumerate(keys)])
-            asked = rows.join(places, met & (F.shiftright("_key", before) == F.col("_place")))
-            asked = asked.groupBy(*keys, F.col("_place").alias("_in"), bucket).agg(*counts)
-        part = W.partitionBy(*group)  # buckets, not rows
-        asked = asked.withColumn("_end", F.sum("_c").over(part.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)))
-        if open_ is None:
-            asked = asked.withColumn("n", F.sum("_c").over(part)).withColumn("_w", F.array(*wanted))
-        else:
-            ranks = open_.groupBy(*[F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)], F.col("_b").alias("_place"), "n").agg(F.collect_list(F.struct("i", "up", "rank")).alias("_w"))
-            asked = asked.join(ranks, met & (F.col("_in") == F.col("_place")))
-        here = F.filter("_w", lambda w: (w["rank"] >= F.col("_end") - F.col("_c")) & (w["rank"] < F.col("_end")))
-        hit = asked.select(*keys, "n", "_b", "_c", "_lo", "_hi", (F.col("_end") - F.col("_c")).alias("_start"), F.explode(here).alias("w"))
-        hit = hit.select(*keys, "n", "_b", "_c", "_lo", "_hi", "w.i", "w.up", (F.col("w.rank") - F.col("_start")).alias("rank"))
-        known = F.when((F.col("rank") == 0) | (F.col("_lo") == F.col("_hi")), F.col("_lo")).when(F.col("rank") == F.col("_c") - 1, F.col("_hi"))
-        step = cut_lineage(hit.withColumn("_is", known), "ranks-found")
-        done = step.where("_is IS NOT NULL").select(*keys, "n", "i", "up", "_is")
-        found = done if found is None else found.unionByName(done)
-        open_ = step.where("_is IS NULL")
+        places, met = _aliased(open_.select(*keys, "_place").distinct(), keys)
+        inside = keyed.join(places, met & (F.shiftright("_key", before) == F.col("_place")))
+        counted = _buckets(inside, [*keys, "_place"], shift)
+        asked, met = _aliased(open_.withColumnRenamed("_place", "_asked"), keys)
+        step = counted.join(asked, met & (F.col("_place") == F.col("_asked"))).groupBy(*keys, "_i").agg(*_found(0, F.col("_rank")))
+        step = cut_lineage(step, "ranks-found")
+        done = step.where("_v0 IS NOT NULL").select(*keys, "_i", "_v0")
+        later = done if later is None else later.unionByName(done)
+        open_ = step.where("_v0 IS NULL").select(*keys, "_i", F.col("_b0").alias("_place"), F.col("_r0").alias("_rank"))
     discard(rows)
-    end = lambda i, up: F.max(F.when((F.col("i") == i) & (F.col("up") == up), F.col("_is")))
-    ends = [end(i, up).alias(f"_{'hi' if up else 'lo'}{i}") for i in range(len(probs)) for up in (False, True)]
-    whole = found.groupBy(*keys, "n").agg(*ends)
-    between = lambda i, p: F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (at(p) - F.floor(at(p)))
+    if later is not None:
+        more, met = _aliased(later.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, F.col("_v0"))).alias(f"_w{i}") for i in range(len(ranks))]), keys)
+        base = base.join(more, met, "left").withColumns({f"_v{i}": F.coalesce(f"_v{i}", f"_w{i}") for i in range(len(ranks))})
+    lo, hi = lambda i: F.col(f"_v{2 * i}"), lambda i: F.col(f"_v{2 * i + 1}")
+    between = lambda i, p: lo(i) + (hi(i) - lo(i)) * (at(p) - F.floor(at(p)))
     # equal ends are the answer; the difference of two infinities is not a number
-    return whole.select(*names, "n", *[F.when(F.col(f"_lo{i}") == F.col(f"_hi{i}"), F.col(f"_lo{i}")).otherwise(between(i, p)).alias(c) for i, (c, p) in enumerate(probs.items())])
+    return base.select(*names, "n", *[F.when(lo(i) == hi(i), lo(i)).otherwise(between(i, p)).alias(c) for i, (c, p) in enumerate(probs.items())])
+
+
+def _buckets(rows: DataFrame, group: list[str], shift: int) -> DataFrame:
+    """Rows, least and greatest value of every bucket, and the rows of its group up to its end."""
+    out = rows.groupBy(*group, F.shiftright("_key", shift).alias("_b")).agg(F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    return out.withColumn("_end", F.sum("_c").over(W.partitionBy(*group).orderBy("_b").rowsBetween(W.unboundedPreceding, 0)))  # buckets, not rows
+
+
+def _found(i: int, rank: Column) -> list[Column]:
+    """Aggregates over a group's buckets: the value at a rank, or else the bucket that holds it and the rank inside."""
+    inside = rank - (F.col("_end") - F.col("_c"))
+    here = (inside >= 0) & (inside < F.col("_c"))
+    known = F.when((inside == 0) | (F.col("_lo") == F.col("_hi")), F.col("_lo")).when(inside == F.col("_c") - 1, F.col("_hi"))
+    return [F.max(F.when(here, known)).alias(f"_v{i}"), F.max(F.when(here, F.col("_b"))).alias(f"_b{i}"), F.max(F.when(here, inside)).alias(f"_r{i}")]
+
+
+def _still_open(base: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """(keys, _i, _place, _rank) of the ranks without a value."""
+    ranks = F.array(*[F.struct(F.lit(i).alias("_i"), F.col(f"_v{i}").alias("_v"), F.col(f"_b{i}").alias("_place"), F.col(f"_r{i}").alias("_rank")) for i in range(n)])
+    return base.select(*keys, F.inline(F.filter(ranks, lambda x: x["_v"].isNull()))).drop("_v")
+
+
+def _aliased(df: DataFrame, keys: list[str]) -> tuple[DataFrame, Column]:
+    """The table with other names for the keys, and the condition that they equal those of another table, NULL included."""
+    met = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{j}")) for j, k in enumerate(keys)])
+    return df.withColumnsRenamed({k: f"_k{j}" for j, k in enumerate(keys)}), met
 
 
 def hash_rank(df: DataFrame, ids: Sequence[str], seed: int = 0, name: str = "rank") -> DataFrame:

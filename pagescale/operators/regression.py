@@ -16,6 +16,7 @@ from pagescale.functions import text as X
 from pagescale.functions.solve import least_squares, newton_step
 from pagescale.operators.filters import by_resolution
 from pagescale.operators.quantiles import exact_quantiles
+from pagescale.session import cut_lineage, meet
 
 FLAT = 1e-12
 FEATURES = [*C.STYLE_KEYS, "r"]
@@ -83,7 +84,7 @@ def fit_hinge(logged: DataFrame, keys: Sequence[str], knots: Sequence[float] = (
     used = logged.where(F.col("x").isNotNull())
     cuts = exact_quantiles(used, keys, "x", {f"q{i}": q for i, q in enumerate(knots)})
     grid = cuts.select(*keys, F.posexplode(F.array(*[F.col(f"q{i}") for i in range(len(knots))])).alias("knot", "xb"))
-    rows = used.select(*keys, "x", "y").join(grid, keys).withColumn("h", F.greatest(F.col("x") - F.col("xb"), F.lit(0.0)))
+    rows = meet(used.select(*keys, "x", "y"), grid, keys).withColumn("h", F.greatest(F.col("x") - F.col("xb"), F.lit(0.0)))
     s = rows.groupBy(*keys, "knot", "xb").agg(
         F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("h").alias("mh"), F.avg("y").alias("my"),
         F.var_pop("x").alias("xx"), F.var_pop("h").alias("hh"), F.var_pop("y").alias("yy"),
@@ -132,12 +133,14 @@ def fit_consensus(
     lines = t.withColumn("b", slope).where(F.col("b").isNotNull()).withColumn("a", (F.col("sy") - F.col("b") * F.col("sx")) / F.col("n"))
     packed = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("trial", "a", "b"))).alias("lines"))  # `trials` lines
     near = lambda a, b: F.abs(F.col("y") - a - b * F.col("x")) <= residual
-    votes = used.join(packed, keys).select(*keys, "x", "y", F.explode("lines").alias("l"))
-    scored = votes.groupBy(*keys, F.col("l.trial").alias("trial"), F.col("l.a").alias("a"), F.col("l.b").alias("b")).agg(
-        F.count_if(near(F.col("l.a"), F.col("l.b"))).alias("n_in")
-    )
-    best = scored.groupBy(*keys).agg(F.max_by(F.struct("a", "b", "n_in"), F.struct("n_in", -F.col("trial"))).alias("w"))
-    marked = used.join(best, keys).withColumn("_in", near(F.col("w.a"), F.col("w.b")) & (F.col("w.n_in") >= 2))
+    # the state of a group is one count for every line; a point is read once and makes no rows
+    line = lambda t: F.get("lines", F.lit(t))
+    packed = cut_lineage(packed, "lines")
+    counts = used.join(packed, keys).groupBy(*keys).agg(*[F.count_if(near(line(t)["a"], line(t)["b"])).alias(f"_n{t}") for t in range(trials)])
+    votes = counts.select(*keys, F.array(*[f"_n{t}" for t in range(trials)]).alias("n_in")).join(packed, keys)
+    scored = F.transform(F.arrays_zip("lines", "n_in"), lambda x: F.struct(x["n_in"].alias("n_in"), (-x["lines"]["trial"]).alias("first"), x["lines"]["a"].alias("a"), x["lines"]["b"].alias("b")))
+    best = votes.select(*keys, F.array_max(F.filter(scored, lambda x: x["a"].isNotNull())).alias("w"))
+    marked = meet(used, best, keys).withColumn("_in", near(F.col("w.a"), F.col("w.b")) & (F.col("w.n_in") >= 2))
     xi, yi = F.when(F.col("_in"), F.col("x")), F.when(F.col("_in"), F.col("y"))
     stats = marked.withColumn("xi", xi).withColumn("yi", yi).groupBy(*keys).agg(
         F.regr_slope("yi", "xi").alias("bi"), F.regr_intercept("yi", "xi").alias("ai"), F.regr_slope("y", "x").alias("b0"),
@@ -296,7 +299,7 @@ def fit_global_power(points: DataFrame, eps: float = 1e-6) -> tuple[dict, DataFr
 
 def predict_power(points: DataFrame, fit: dict, cs: DataFrame) -> DataFrame:
     """Adds the predicted error; styles without a fitted C take the median."""
-    joined = points.join(cs.select(*C.STYLE_KEYS, "c_style"), C.STYLE_KEYS, "left")
+    joined = meet(points, cs.select(*C.STYLE_KEYS, "c_style"), C.STYLE_KEYS, "left")
     log_r = F.ln(F.col("resolution").cast("double"))
     theta = F.lit(fit["theta_a"]) + F.lit(fit["theta_b"]) * log_r
     excess = F.greatest(F.col("text_len") - F.col("L0"), F.lit(0.0))

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from pagescale import constants as C
 from pagescale.functions.text import let
-from pagescale.operators.aggregates import bin_index, bin_quantiles
+from pagescale.operators.aggregates import bin_index, fill_bins
 from pagescale.operators.filters import by_resolution, finite_positive, resolution_policy_filter
 from pagescale.operators.quantiles import exact_quantiles
 from pagescale.schema import assert_columns
+from pagescale.session import cut_lineage
 
 
 def rolling_centered(bins: DataFrame, keys: Sequence[str], column: str, size: int = 5) -> DataFrame:
@@ -78,16 +79,15 @@ def _interval(iqr: Column, first_bin: Column, width: int, left: float, right: fl
 
 def variance_interval(
     points: DataFrame, keys: Sequence[str] = tuple(C.GROUP_KEYS), width: int = C.BIN_WIDTH, left: float = C.LEFT_THRESHOLD,
-    right: float = C.RIGHT_THRESHOLD, rearm: float = C.REARM_THRESHOLD,
+    right: float = C.RIGHT_THRESHOLD, rearm: float = C.REARM_THRESHOLD, limits: DataFrame | None = None,
 ) -> DataFrame:
     """(L, R) of the high-variance interval per group, NULL with fewer than ten valid points.
 
     The points of a group are reduced to one spread per length bin before anything is gathered; a group then holds as
-    many values as its longest text has bins.
+    many values as its longest text has bins. ``limits`` are the points' ``bin_limits``, where they are known already.
     """
     keys = list(keys)
-    valid = finite_positive(points, "text_len", "edit_distance")
-    bins = bin_quantiles(valid, keys, width=width, q=C.Q_HIGH, q_low=C.Q_LOW)
+    bins = fill_bins(bin_limits(points, keys, width) if limits is None else limits, keys, width)
     per_group = bins.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("bin", "q_diff"))).alias("b"), F.sum("n").alias("n_points")
     )
@@ -98,7 +98,15 @@ def variance_interval(
     return points.select(*keys).distinct().join(located, keys, "left")
 
 
-def filter_by_interval(points: DataFrame, intervals: DataFrame, keys: Sequence[str] = tuple(C.GROUP_KEYS), width: int = C.BIN_WIDTH) -> DataFrame:
+def bin_limits(points: DataFrame, keys: Sequence[str] = tuple(C.GROUP_KEYS), width: int = C.BIN_WIDTH) -> DataFrame:
+    """High and low quantile of the distance in every length bin that holds valid points: a positive finite length and a finite distance."""
+    binned = finite_positive(points, "text_len", "edit_distance").select(*keys, bin_index("text_len", width).alias("bin"), "edit_distance")
+    return exact_quantiles(binned, [*keys, "bin"], "edit_distance", {"q_high": C.Q_HIGH, "q_low": C.Q_LOW})
+
+
+def filter_by_interval(
+    points: DataFrame, intervals: DataFrame, keys: Sequence[str] = tuple(C.GROUP_KEYS), width: int = C.BIN_WIDTH, limits: DataFrame | None = None
+) -> DataFrame:
     """Drop bins right of R, and inside [L, R] the points above ``q_low + scale * (q_high - q_low)`` of their bin.
 
     Quantiles are those of valid points: a positive finite length and a finite distance. Groups without a finite L and R
@@ -106,7 +114,8 @@ def filter_by_interval(points: DataFrame, intervals: DataFrame, keys: Sequence[s
     """
     keys = list(keys)
     binned = points.withColumn("_bin", bin_index("text_len", width))
-    limits = exact_quantiles(finite_positive(binned, "text_len", "edit_distance"), [*keys, "_bin"], "edit_distance", {"_hi": C.Q_HIGH, "_lo": C.Q_LOW})
+    limits = bin_limits(points, keys, width) if limits is None else limits
+    limits = limits.select(*keys, F.col("bin").alias("_bin"), F.col("q_high").alias("_hi"), F.col("q_low").alias("_lo"))
     scale = by_resolution(C.FILTER_SCALE, C.FILTER_SCALE_DEFAULT)
     number = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
     ranges = intervals.where(number("L") & number("R")).select(*keys, "L", "R")
@@ -116,6 +125,7 @@ def filter_by_interval(points: DataFrame, intervals: DataFrame, keys: Sequence[s
         *keys, "_bin", (at > F.col("R")).alias("_beyond"),
         F.when((at >= F.col("L")) & (at <= F.col("R")), F.col("_lo") + scale * (F.col("_hi") - F.col("_lo"))).alias("_cut"),
     )
+    cuts = cut_lineage(cuts, "bin-cuts")  # one row a bin: its size decides how the points meet it
     above = ~F.isnan("edit_distance") & (F.col("edit_distance") > F.col("_cut"))
     kept = binned.join(cuts, [*keys, "_bin"], "left")
     return kept.where(~F.coalesce("_beyond", F.lit(False)) & ~F.coalesce(above, F.lit(False))).select(*points.columns)
@@ -133,6 +143,7 @@ def drop_top_n(points: DataFrame, keys: Sequence[str] = tuple(C.GROUP_KEYS), cou
     order = F.struct("edit_distance", *tie)
     worst = points.select(*keys, order.alias("_o")).withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("_o"))))
     cut = worst.where(F.col("_rn") <= max(counts.values(), default=0)).where(F.col("_rn") <= n).groupBy(*keys).agg(F.min("_o").alias("_cut"))
+    cut = cut_lineage(cut, "worst-cuts")  # one row a group: its size decides how the points meet it
     joined = points.join(cut, keys, "left")
     return joined.where(F.col("_cut").isNull() | (order < F.col("_cut"))).select(*points.columns)
 
@@ -140,8 +151,9 @@ def drop_top_n(points: DataFrame, keys: Sequence[str] = tuple(C.GROUP_KEYS), cou
 def preprocess(points: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cleaned rows of all groups, interval table): detect, filter by bins, drop the worst, cap by resolution."""
     assert_columns(points, ["edit_distance", "text_len", *C.GROUP_KEYS])
-    intervals = variance_interval(points)
-    kept = resolution_policy_filter(drop_top_n(filter_by_interval(points, intervals)))
+    limits = bin_limits(points)
+    intervals = variance_interval(points, limits=limits)
+    kept = resolution_policy_filter(drop_top_n(filter_by_interval(points, intervals, limits=limits)))
     return kept, intervals
 
 

@@ -57,6 +57,15 @@ def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def meet(rows: DataFrame, groups: DataFrame, keys: list[str] | tuple[str, ...], how: str = "inner") -> DataFrame:
+    """Rows with the row of their group. The group table is written first, so that its size is known when the join is planned.
+
+    Below the session's broadcast threshold no row moves, however many rows a group has. Above it the join shuffles, and
+    the adaptive planner splits what a hot group makes too large.
+    """
+    return rows.join(cut_lineage(groups, "groups"), list(keys), how)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a step written by `cut_lineage`, once everything that reads it is written itself. Other tables stay."""
     spark = df.sparkSession
