@@ -59,7 +59,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str | None = "text",
     Empty and null texts have size 0 and are never taken; a null source is a source of its own; repeated rows count
     each for itself; rows with equal ids follow their size (equal rows are interchangeable); an empty table stays empty.
     """
-    own = [c for c in docs.columns if c.lower() not in {"source_size", "target", "taken", "passes", "before", "slope", "_key", "_bucket", "_start"} | ({"size"} if text_col else set())]
+    own = [c for c in docs.columns if c.lower() not in {"source_size", "target", "taken", "passes", "before", "slope", "_key", "_bucket", "_start", "_inside"} | ({"size"} if text_col else set())]
     size = n_words(F.col(text_col)) if text_col else F.col("size").cast("long")
     digits = max(1, math.ceil(math.log(max(1, docs.count() / ROWS_PER_BUCKET), 16)))
     keyed = docs.select(*own, size.alias("size")) if text_col else docs.select(*own)
@@ -67,10 +67,12 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str | None = "text",
     sums = cut_lineage(keyed.groupBy("source", "_bucket").agg(F.sum("size").alias("size")), "mix-sums")
     starts = sums.withColumn("_start", F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumnRenamed("source", "_source").withColumnRenamed("_bucket", "_b").drop("size")
     aims = targets(sums, weights, slopes, max_passes)
-    starts = starts.join(aims, F.col("_source").eqNullSafe(aims["source"])).drop("source")
-    joined = keyed.join(starts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_b"))).drop("_source", "_b")
+    # one row a source and bucket, written so that its size is known: rows then move once, for the window
+    starts = cut_lineage(starts.join(aims, F.col("_source").eqNullSafe(aims["source"])).drop("source"), "mix-starts")
     within = Window.partitionBy("source", "_bucket").orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    joined = joined.withColumn("before", F.col("_start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+    inside = keyed.withColumn("_inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    joined = inside.join(starts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_b"))).drop("_source", "_b")
+    joined = joined.withColumn("before", F.col("_start") + F.col("_inside")).drop("_inside")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     joined = joined.withColumn("_whole", whole).withColumn("_rest", F.floor(F.col("target") - F.col("_whole") * F.col("source_size")).cast("long"))
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("before")))

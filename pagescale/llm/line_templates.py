@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagescale.session import cut_lineage, spread
+from pagescale.session import cut_lineage, discard, spread
 
 DEPTH = 3
 MIN_TOKENS = 5
@@ -61,23 +61,24 @@ def copies(lines: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """(_id, _doc, numbers): by document and hash of its text, the numbers of the lines to drop."""
+    """(_id, _doc, numbers): by document and 64-bit hash of its text, the numbers of the lines to drop."""
     text = F.col(text_col)
-    lines = docs.select(F.col(id_col).alias("_id"), F.md5(text).alias("_doc"), F.split(text, "\n", -1).alias("_lines")).where(text.isNotNull())
+    lines = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_doc"), F.split(text, "\n", -1).alias("_lines")).where(text.isNotNull())
     parts = F.transform("_lines", lambda x: line_tokens(x))
     leaves = lines.select("_id", "_doc", F.transform(F.arrays_zip(F.col("_lines").alias("line"), parts.alias("tokens")), lambda x: F.struct(leaf_of(x["tokens"]).alias("leaf"), F.size(x["tokens"]).alias("n"), F.length(x["line"]).alias("chars"))).alias("_l"))
-    leaves = leaves.withColumn("_size", F.aggregate("_l", F.lit(0), lambda s, x: s + x["n"])).withColumn("_mark", F.xxhash64("_doc"))
-    keys = ["_id", "_doc", "_mark", "_size"]
+    leaves = leaves.withColumn("_size", F.aggregate("_l", F.lit(0), lambda s, x: s + x["n"]))
+    keys = ["_id", "_doc", "_size"]
     rows = leaves.select(*keys, F.posexplode("_l").alias("_no", "_x")).where((F.col("_x.n") >= MIN_TOKENS) & (F.col("_x.chars") >= MIN_CHARS)).select(*keys, "_no", F.col("_x.leaf").alias("leaf"))
     rows = cut_lineage(rows, "line-leaves")
     # a leaf can only recur where it has different texts, so most lines are done here, without their words
-    many = rows.groupBy("leaf").agg(F.min("_mark").alias("low"), F.max("_mark").alias("high")).where("low < high").select("leaf")
-    asked = rows.join(many, "leaf").groupBy("_id", "_doc").agg(F.first("_mark").alias("_mark"), F.first("_size").alias("_size"), F.collect_set("_no").alias("_nos"))
+    many = rows.groupBy("leaf").agg(F.min("_doc").alias("low"), F.max("_doc").alias("high")).where("low < high").select("leaf")
+    asked = rows.join(many, "leaf").groupBy("_id", "_doc").agg(F.first("_size").alias("_size"), F.collect_set("_no").alias("_nos"))
     asked = asked.withColumnRenamed("_id", "_i").withColumnRenamed("_doc", "_d")
     found = lines.join(asked, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_doc") == F.col("_d")))
     found = found.select(*keys, F.explode(F.transform("_nos", lambda i: F.struct(i.alias("no"), line_tokens(F.get(F.col("_lines"), i)).alias("tokens")))).alias("_x"))
     found = found.select(*keys, F.col("_x.no").alias("_no"), F.col("_x.tokens").alias("tokens"))
-    found = cut_lineage(found.withColumn("leaf", leaf_of(F.col("tokens"))).withColumn("exact", F.md5(F.concat_ws(" ", "tokens"))), "line-words")
+    found = cut_lineage(found.withColumn("leaf", leaf_of(F.col("tokens"))).withColumn("exact", F.xxhash64("tokens")), "line-words")
+    discard(rows)
     kinds = cut_lineage(found.groupBy("leaf", "exact").agg(F.count("*").alias("w"), F.first("tokens").alias("tokens")), "line-kinds")
     several = kinds.groupBy("leaf").agg(F.min("exact").alias("low"), F.max("exact").alias("high"), F.sum("w").alias("total")).where("low < high").select("leaf", "total")
     words = kinds.join(several, "leaf").select("leaf", "total", "w", F.posexplode("tokens").alias("pos", "token"))
@@ -89,19 +90,22 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     fits = F.coalesce(same >= SIMILAR * F.size("tokens"), F.lit(False))
     # a long line is a template of its own, too
     long = F.size("tokens") >= LONG_TOKENS
-    own = F.struct(F.col("exact").alias("template"), F.when(long, 2).otherwise(F.lit(min_docs)).alias("least"))
-    shared = F.struct(F.col("leaf").cast("string").alias("template"), F.lit(min_docs).alias("least"))
+    own = F.struct(F.xxhash64(F.lit("own"), "exact").alias("template"), F.when(long, 2).otherwise(F.lit(min_docs)).alias("least"))
+    shared = F.struct(F.col("leaf").alias("template"), F.lit(min_docs).alias("least"))
     named = kinds.join(trees, "leaf", "left").select("leaf", "exact", F.when(fits & long, F.array(shared, own)).when(fits, F.array(shared)).otherwise(F.array(own)).alias("_t"))
     marked = found.drop("tokens").join(named, ["leaf", "exact"]).drop("leaf", "exact").select(*keys, "_no", F.explode("_t").alias("_t")).select(*keys, "_no", "_t.*")
     marked = cut_lineage(marked, "line-templates")
+    discard(found)
+    discard(kinds)
     top = F.min(F.when(F.col("_id").isNotNull(), F.struct("_id", "_doc", "_size")))
-    held = marked.groupBy("template").agg(F.count_distinct("_mark").alias("docs"), F.max("least").alias("least"), top.alias("top")).where("docs >= least")
+    held = marked.groupBy("template").agg(F.count_distinct("_doc").alias("docs"), F.max("least").alias("least"), top.alias("top")).where("docs >= least")
     held = held.select("template", F.col("top._id").alias("first"), F.col("top._doc").alias("_top"), F.col("top._size").alias("_top_size"))
     others = marked.join(held, "template").where(~F.col("_id").eqNullSafe(F.col("first")) & (F.col("_doc") != F.col("_top")))
     others = cut_lineage(others.select("template", "least", *keys, "_no", "_top", "_top_size"), "line-others")
+    discard(marked)
     alike = F.least("_size", "_top_size") >= COPY * F.greatest("_size", "_top_size")
     others = others.join(copies(lines, others.where(alike).select("_doc", "_top").distinct()), ["_doc", "_top"], "left_anti")
-    enough = others.groupBy("template", "least").agg(F.count_distinct("_mark").alias("docs")).where("docs + 1 >= least").select("template")
+    enough = others.groupBy("template", "least").agg(F.count_distinct("_doc").alias("docs")).where("docs + 1 >= least").select("template")
     return others.join(enough, "template").groupBy("_id", "_doc").agg(F.collect_set("_no").alias("numbers"))
 
 
@@ -122,7 +126,7 @@ def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     own = [c for c in docs.columns if c.lower() not in ("lines", "dropped", "_i", "_d", "numbers")]
     found = recurring(docs, id_col, text_col, min_docs).withColumnRenamed("_id", "_i").withColumnRenamed("_doc", "_d")
-    out = docs.select(*[F.col(f"`{c}`") for c in own]).join(found, F.col(id_col).eqNullSafe(F.col("_i")) & (F.md5(F.col(text_col)) == F.col("_d")), "left")
+    out = docs.select(*[F.col(f"`{c}`") for c in own]).join(found, F.col(id_col).eqNullSafe(F.col("_i")) & (F.xxhash64(F.col(text_col)) == F.col("_d")), "left")
     parts = F.split(F.col(text_col), "\n", -1)
     kept = F.concat_ws("\n", F.filter(parts, lambda x, i: ~F.array_contains(F.col("numbers"), i)))
     text = F.when(F.col("numbers").isNull(), F.col(text_col)).otherwise(kept).alias(text_col)

@@ -23,6 +23,20 @@ BITS = 15
 USUAL = frozenset(".,;:!?'\"()”“’…-")
 
 
+class Signs(dict):
+    """Word to three bits: ends in an unusual symbol, in a doubled one, stands in capitals. Forgets all when it holds too many."""
+
+    def __missing__(self, w: str) -> int:
+        if len(self) > CACHE:
+            self.clear()
+        symbol = not w[-1].isalnum()
+        self[w] = bits = (symbol and w[-1] not in USUAL) + 2 * (symbol and len(w) > 1 and w[-1] == w[-2]) + 4 * (len(w) > 2 and w.isupper())
+        return bits
+
+
+SIGNS = Signs()
+
+
 def labels_of(text: str | None) -> tuple[int, ...]:
     """The votes of all labellers on a whole text: 1 (good), -1 (bad) or 0 (does not know).
 
@@ -33,9 +47,8 @@ def labels_of(text: str | None) -> tuple[int, ...]:
     words = text.split()
     n = max(1, len(words))
     vote = lambda good, bad: -1 if bad else 1 if good else 0
-    odd = sum(w[-1] not in USUAL and not w[-1].isalnum() for w in words) / n
-    double = sum(len(w) > 1 and w[-1] == w[-2] and not w[-1].isalnum() for w in words) / n
-    loud = sum(len(w) > 2 and w.isupper() for w in words) / n
+    signs = bytes(map(SIGNS.__getitem__, words))
+    odd, double, loud = (sum(signs.count(b) for b in range(8) if b & bit) / n for bit in (1, 2, 4))
     again = repeats(words)
     lines = [x for x in text.split("\n") if len(x.split()) > 2]
     repeated = 1 - len(set(lines)) / max(1, len(lines))
@@ -89,22 +102,36 @@ class Scorer:
     bias: float
     repeat: float
 
-    def score(self, text: str | None, cache: dict[str, float]) -> float:
+    def score(self, text: str | None, cache: Weights) -> float:
         words = (text or "").split()
         if not words:
             return float(1 / (1 + np.exp(-self.bias)))
-        if len(cache) > CACHE:
-            cache.clear()
-        for w in words:
-            if w not in cache:
-                cache[w] = float(self.weights[word_features(w)].mean())
-        z = self.bias + sum(cache[w] for w in words) / len(words) + self.repeat * repeats(words)
+        z = self.bias + sum(map(cache.__getitem__, words)) / len(words) + self.repeat * repeats(words)
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+class Weights(dict):
+    """Word to its mean weight under a scorer; forgets all when it holds too many."""
+
+    def __init__(self, scorer: Scorer):
+        super().__init__()
+        self.weights = scorer.weights
+
+    def __missing__(self, w: str) -> float:
+        if len(self) > CACHE:
+            self.clear()
+        self[w] = weight = float(self.weights[word_features(w)].mean())
+        return weight
+
+
 def repeats(words: list[str]) -> float:
     """Share of words that repeat one of the eight before them; it does not depend on the text's length."""
-    return sum(w in words[max(0, i - 8) : i] for i, w in enumerate(words)) / max(1, len(words))
+    last: dict[str, int] = {}
+    found = 0
+    for i, w in enumerate(words):
+        found += i - last.get(w, -9) <= 8
+        last[w] = i
+    return found / max(1, len(words))
 
 
 def fit(texts: list[str], good: list[float], steps: int = 100, rate: float = 0.3, ridge: float = 1e-5) -> Scorer:
@@ -145,7 +172,7 @@ def score(docs: DataFrame, scorer: Scorer, text_col: str = "text", out_col: str
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        cache: dict[str, float] = {}
+        cache = Weights(shared.value)
         for batch in batches:
             yield pd.Series([shared.value.score(x, cache) for x in batch], dtype="float64")
 
