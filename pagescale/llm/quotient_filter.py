@@ -77,8 +77,10 @@ class Filter:
 
     def buckets(self, bits: int) -> Iterator[tuple[int, Filter]]:
         """The filter cut by the leading bits of the quotient; only buckets that hold something."""
+        if not len(self):
+            return
         of = (self.keys[0] >> np.uint64(64 - bits)).astype(np.int64)
-        starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else []
+        starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
         for a, b in zip(starts, [*starts[1:], len(of)], strict=True):
             yield int(of[a]), Filter([k[a:b] for k in self.keys], self.counts[a:b])
 
