@@ -75,3 +75,19 @@ GROUNDING_TAG = r"(?s)<\|ref\|>(.*?)<\|/ref\|><\|det\|>(.*?)<\|/det\|>"
 IMAGE_TAG = r"(?s)<\|ref\|>image<\|/ref\|><\|det\|>.*?<\|/det\|>"
 END_TOKEN = "<｜end▁of▁sentence｜>"
 PAGE_BREAK = "\n<--- Page Split --->"
+
+# Roman numerals.
+ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
+
+# Markdown images and links, marks at the start of a line, and code fences.
+MD_IMAGE = r"!\[[^\]]*\]\([^)]+\)"
+MD_LINK = r"\[([^\]]+)\]\([^)]+\)"
+MD_MARKS = r"^[#>*\-\d.)(]+\s*"
+FENCE_START = r"\A```[a-zA-Z]*\n"
+FENCE_END = r"\n```\z"
+
+# White space at the ends, runs of it, line ends, and the gap after a sentence.
+EDGE_SPACE = r"(?U)\A\s+|\s+\z"
+SPACES = r"(?U)\s+"
+LINE_END = r"\r\n|\n|\r"
+SENTENCE_END = r"(?U)(?<=[.!?])\s+"

@@ -9,13 +9,40 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-GLYPHS = "map(20, 10.0369D, 28, 14.0533D, 36, 18.0624D)"
-HEIGHTS = "map(20, 19D, 28, 26D, 36, 33D)"
+from pagescale import constants as C
 
-# name -> (arguments, result type, body)
+def quoted(pattern: str) -> str:
+    """A pattern as a SQL string."""
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def strip_of(t: str) -> str:
+    return f"regexp_replace({t}, {quoted(C.EDGE_SPACE)}, '')"
+
+
+def replaced(t: str, pattern: str, by: str) -> str:
+    return f"regexp_replace({t}, {quoted(pattern)}, '{by}')"
+
+
+def short_of(x: str) -> str:
+    """A number as C's ``%g`` writes it, like the column function."""
+    digits = f"format_string('%.5e', CAST({x} AS DOUBLE))"
+    power = f"try_cast(regexp_extract({digits}, 'e([+-]\\\\d+)$', 1) AS INT)"
+    plain = replaced(f"format_string('%.10f', try_cast({digits} AS DOUBLE))", r"\.?0+$", "")
+    return f"CASE WHEN {power} BETWEEN -4 AND 5 THEN {plain} ELSE {replaced(digits, chr(92) + '.?0+e', 'e')} END"
+
+
+def map_of(values: dict) -> str:
+    return f"map({', '.join(f'{k!r}, {v!r}' + ('D' if isinstance(v, float) else '') for k, v in values.items())})"
+
+
+GLYPHS, HEIGHTS = (map_of({font: size[i] for font, size in C.FONT_METRICS.items()}) for i in (0, 1))
+MD_LINES = f"split({replaced(replaced('t', C.MD_IMAGE, ' '), C.MD_LINK, '$1')}, {quoted(C.LINE_END)})"
+
+# name -> (arguments, result type, body); patterns and tables are those of the column functions
 SQL_FUNCTIONS = {
-    "normalize_ws": ("t STRING", "STRING", r"trim(regexp_replace(t, '(?U)\\s+', ' '))"),
-    "split_sentences": ("t STRING", "ARRAY<STRING>", r"filter(split(t, '(?U)(?<=[.!?])\\s+'), s -> trim(s) <> '')"),
+    "normalize_ws": ("t STRING", "STRING", f"trim({replaced('t', C.SPACES, ' ')})"),
+    "split_sentences": ("t STRING", "ARRAY<STRING>", f"filter(transform(split(t, {quoted(C.SENTENCE_END)}), s -> {strip_of('s')}), s -> s <> '')"),
     "ocr_edit_dist": (
         "p STRING, g STRING", "DOUBLE",
         "CASE WHEN greatest(length(p), length(g)) = 0 THEN 0D ELSE levenshtein(p, g) / greatest(length(p), length(g)) END",
@@ -23,21 +50,16 @@ SQL_FUNCTIONS = {
     "has_cjk": ("t STRING", "BOOLEAN", "coalesce(t rlike '[一-龥]', false)"),
     "file_stem": ("p STRING", "STRING", r"regexp_replace(regexp_extract(p, '([^/]*)/*\\z', 1), '(?s)(.)\\.[^.]*\\z', '$1')"),
     "strip_shift_suffix": ("i STRING", "STRING", r"regexp_replace(i, '^(.+)_\\d+_\\d+$', '$1')"),
-    "strip_fences": (
-        "t STRING", "STRING",
-        r"trim(regexp_replace(regexp_replace(trim(t), '\\A```[a-zA-Z]*\\n', ''), '\\n```\\z', ''))",
-    ),
+    "strip_fences": ("t STRING", "STRING", strip_of(replaced(replaced(strip_of("t"), C.FENCE_START, ""), C.FENCE_END, ""))),
     "md_to_text": (
         "t STRING", "STRING",
-        r"trim(array_join(transform(filter(split(regexp_replace(regexp_replace(t, '!\\[[^\\]]*\\]\\([^)]+\\)', ' '), "
-        r"'\\[([^\\]]+)\\]\\([^)]+\\)', '$1'), '\\r\\n|\\n|\\r'), x -> trim(x) <> ''), "
-        r"x -> regexp_replace(trim(x), '^[#>*\\-\\d.)(]+\\s*', '')), ' '))",
+        strip_of(f"array_join(transform(filter(transform({MD_LINES}, x -> {strip_of('x')}), x -> x <> ''), x -> {replaced('x', C.MD_MARKS, '')}), ' ')"),
     ),
     "roman_to_int": (
         "r STRING", "INT",
-        "aggregate(reverse(transform(sequence(1, length(r)), i -> element_at(map('I',1,'V',5,'X',10,'L',50,'C',100,'D',500,'M',1000), "
+        f"CASE WHEN length(r) > 0 THEN aggregate(reverse(transform(sequence(1, length(r)), i -> element_at({map_of(C.ROMAN)}, "
         "upper(substr(r, i, 1))))), named_struct('t', 0, 'm', 0), "
-        "(a, v) -> named_struct('t', CASE WHEN v < a.m THEN a.t - v ELSE a.t + v END, 'm', greatest(a.m, v)), a -> a.t)",
+        "(a, v) -> named_struct('t', CASE WHEN v < a.m THEN a.t - v ELSE a.t + v END, 'm', greatest(a.m, v)), a -> a.t) END",
     ),
     "patch_density": (
         "w DOUBLE, h DOUBLE, cw DOUBLE, ch DOUBLE, r DOUBLE", "DOUBLE",
@@ -50,7 +72,8 @@ SQL_FUNCTIONS = {
         f"((element_at({GLYPHS}, font) + letter) * (element_at({HEIGHTS}, font) + line))",
     ),
     "group_id": (
-        "r INT, f INT, l INT, c INT", "STRING", "concat('R=', r, '|fs=', f, '|ls=', l, '|cs=', c)",
+        "r DOUBLE, f DOUBLE, l DOUBLE, c DOUBLE", "STRING",
+        f"concat('R=', CAST(CAST(r AS INT) AS STRING), '|fs=', {short_of('f')}, '|ls=', {short_of('l')}, '|cs=', {short_of('c')})",
     ),
     "tile_grid": ("w INT, h INT", "STRUCT<cols INT, rows INT>", None),
     "image_tokens": ("w INT, h INT", "INT", None),
@@ -58,7 +81,6 @@ SQL_FUNCTIONS = {
 
 
 def _tile_body() -> str:
-    from pagescale import constants as C
     from pagescale.functions.geometry import _tile_shapes
 
     shapes = ", ".join(f"named_struct('cols', {i}, 'rows', {j})" for i, j in _tile_shapes(C.MIN_TILES, C.MAX_TILES))
@@ -84,6 +106,36 @@ def register_functions(spark: SparkSession) -> list[str]:
     return list(SQL_FUNCTIONS)
 
 
+# name -> (arguments, columns, query): segmenters that give a row for each part, called with LATERAL
+TABLE_FUNCTIONS = {
+    "sentence_table": (
+        "t STRING", "pos INT, part STRING",
+        "SELECT pos, part FROM (SELECT posexplode(a) AS (pos, part) FROM (SELECT split_sentences(normalize_ws(t)) AS a))",
+    ),
+    "block_table": (
+        "t STRING, k INT", "pos INT, part STRING",
+        "SELECT pos, part FROM (SELECT posexplode(transform(sequence(0, k - 1), i -> array_join(slice(w, i * div0 + least(i, extra) + 1, "
+        "div0 + CASE WHEN i < extra THEN 1 ELSE 0 END), ' '))) AS (pos, part) FROM (SELECT w, CAST(size(w) div k AS INT) AS div0, CAST(size(w) % k AS INT) AS extra "
+        f"FROM (SELECT filter(split(t, {quoted(C.SPACES)}), x -> x <> '') AS w)))",
+    ),
+    "chapter_table": (
+        "t STRING, marker STRING", "pos INT, chapter_id STRING, body STRING",
+        "SELECT pos, s.mark AS chapter_id, s.body FROM (SELECT posexplode(filter(transform(arrays_zip("
+        "regexp_extract_all(t, concat('(?m)', marker, '((?s:.*?))(?=', regexp_replace(marker, '\\\\((?![?])', '(?:'), '|\\\\z)'), 1), "
+        "regexp_extract_all(t, concat('(?m)', marker, '((?s:.*?))(?=', regexp_replace(marker, '\\\\((?![?])', '(?:'), '|\\\\z)'), 2)), "
+        f"x -> named_struct('mark', trim(x['0']), 'body', {strip_of(chr(120) + '[' + chr(39) + '1' + chr(39) + ']')})), x -> x.body <> '')) AS (pos, s))",
+    ),
+}
+
+
+def register_tables(spark: SparkSession) -> list[str]:
+    """Create the session's table functions (and the scalar ones that they use) and return their names."""
+    register_functions(spark)
+    for name, (args, columns, query) in TABLE_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS TABLE({columns}) RETURN {query}")
+    return list(TABLE_FUNCTIONS)
+
+
 def token_counter(count: Callable[[str], int]) -> Callable[[Column], Column]:
     """Wrap a user's tokenizer as an Arrow-batched column function; equal texts of a batch are counted once."""
 

@@ -26,24 +26,24 @@ def let(value: Column, body) -> Column:
 
 def strip(col: Column) -> Column:
     """Trim any Unicode white space at both ends."""
-    return F.regexp_replace(col, r"(?U)\A\s+|\s+\z", "")
+    return F.regexp_replace(col, C.EDGE_SPACE, "")
 
 
 def normalize_ws(col: Column) -> Column:
-    return F.trim(F.regexp_replace(col, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(col, C.SPACES, " "))
 
 
 def lines(col: Column) -> Column:
-    return F.split(col, r"\r\n|\n|\r")
+    return F.split(col, C.LINE_END)
 
 
 def words(col: Column) -> Column:
-    return F.filter(F.split(col, r"(?U)\s+"), lambda w: w != "")
+    return F.filter(F.split(col, C.SPACES), lambda w: w != "")
 
 
 def split_sentences(col: Column) -> Column:
     """Cut after ``.``, ``!`` or ``?`` followed by white space; blanks are dropped."""
-    return F.filter(F.transform(F.split(col, r"(?U)(?<=[.!?])\s+"), strip), lambda s: s != "")
+    return F.filter(F.transform(F.split(col, C.SENTENCE_END), strip), lambda s: s != "")
 
 
 def remove_bom(col: Column) -> Column:
@@ -56,9 +56,7 @@ def remove_bom(col: Column) -> Column:
 def roman_to_int(col: Column) -> Column:
     """Subtractive Roman numerals of any case; the caller decides which ids are numerals."""
     letters = F.transform(F.sequence(F.lit(1), F.length(col)), lambda i: F.upper(F.substr(col, i, F.lit(1))))
-    value = lambda ch: F.element_at(
-        F.create_map(*[F.lit(x) for kv in zip("IVXLCDM", (1, 5, 10, 50, 100, 500, 1000)) for x in kv]), ch
-    )
+    value = lambda ch: F.element_at(F.create_map(*[F.lit(x) for kv in C.ROMAN.items() for x in kv]), ch)
     zero = F.struct(F.lit(0).alias("total"), F.lit(0).alias("largest"))
     step = lambda acc, ch: F.struct(
         F.when(value(ch) < acc["largest"], acc["total"] - value(ch)).otherwise(acc["total"] + value(ch)).alias("total"),
@@ -232,10 +230,10 @@ def wrap_lines(col: Column, width: Column | int) -> Column:
 
 def md_to_text(col: Column) -> Column:
     """Plain text of Markdown: images out, links unwrapped, list and heading marks cut, lines joined."""
-    no_images = F.regexp_replace(col, r"!\[[^\]]*\]\([^)]+\)", " ")
-    no_links = F.regexp_replace(no_images, r"\[([^\]]+)\]\([^)]+\)", "$1")
+    no_images = F.regexp_replace(col, C.MD_IMAGE, " ")
+    no_links = F.regexp_replace(no_images, C.MD_LINK, "$1")
     kept = F.filter(F.transform(lines(no_links), strip), lambda x: x != "")
-    return strip(F.array_join(F.transform(kept, lambda x: F.regexp_replace(x, r"^[#>*\-\d.)(]+\s*", "")), " "))
+    return strip(F.array_join(F.transform(kept, lambda x: F.regexp_replace(x, C.MD_MARKS, "")), " "))
 
 
 def strip_grounding(col: Column, tagged_only: bool = True, drop_center: bool = False, math_ops: bool = True) -> Column:
@@ -289,8 +287,8 @@ def clean_formula(col: Column) -> Column:
 
 
 def strip_fences(col: Column) -> Column:
-    body = F.regexp_replace(strip(col), r"\A```[a-zA-Z]*\n", "")
-    return strip(F.regexp_replace(body, r"\n```\z", ""))
+    body = F.regexp_replace(strip(col), C.FENCE_START, "")
+    return strip(F.regexp_replace(body, C.FENCE_END, ""))
 
 
 def normalize_finish(col: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from pagescale import constants as C
 from pagescale.functions import text as X
+from pagescale.functions.special import log_survival
 from pagescale.functions.solve import least_squares, newton_step
 from pagescale.operators.filters import by_resolution
 from pagescale.operators.quantiles import exact_quantiles
@@ -160,18 +161,6 @@ def fit_consensus(
 # --- censored threshold regression --------------------------------------------------------------------------------
 
 
-@F.pandas_udf(T.DoubleType())
-def log_survival(z: pd.Series) -> pd.Series:
-    """ln P(Z > z) of the standard normal law; the tail uses its asymptotic series."""
-    v = z.to_numpy(dtype=float)
-    out = np.empty_like(v)
-    far = v > 30.0
-    out[~far] = [math.log(0.5 * math.erfc(t / math.sqrt(2.0))) for t in v[~far]]
-    t = v[far]
-    out[far] = -0.5 * t * t - np.log(t) - 0.5 * math.log(2 * math.pi) + np.log1p(-1 / t**2 + 3 / t**4)
-    return pd.Series(out)
-
-
 def _moments(df: DataFrame, features: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     row = df.agg(*[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_pop(f).alias(f"s_{f}") for f in features]).first()
     mean = np.array([row[f"m_{f}"] for f in features], dtype=float)
@@ -217,7 +206,7 @@ def fit_censored(df: DataFrame, features: Sequence[str], y: str, censored: str,
         sigma = math.exp(t[-1])
         z = (F.col("_t") - sum(float(b) * c for b, c in zip(t[:p], cols))) / sigma
         base = rows.withColumn("_z", z)
-        base = base.withColumn("_ls", F.when(F.col("_cens"), log_survival("_z")))
+        base = base.withColumn("_ls", F.when(F.col("_cens"), log_survival(F.col("_z"))))
         hazard = F.exp(-0.5 * F.col("_z") * F.col("_z") - 0.5 * math.log(2 * math.pi) - F.col("_ls"))
         base = base.withColumn("_h", F.when(F.col("_cens"), hazard))
         d1 = F.when(F.col("_cens"), -F.col("_h")).otherwise(-F.col("_z"))

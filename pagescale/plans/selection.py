@@ -12,7 +12,8 @@ from pagescale import schema as S
 from pagescale.functions import text as X
 from pagescale.operators import filters as O
 from pagescale.plans import fixtures as fx
-from pagescale.plans.catalog import query, r6
+from pagescale.plans import segments as _segments  # noqa: F401  its SQL is used below
+from pagescale.plans.catalog import ORACLES, query, r6
 from pagescale.session import cut_lineage, scratch_path, table
 from pagescale.sources import files, sinks
 
@@ -282,8 +283,10 @@ def set_ops(spark, d):
 
 @query(
     "udf1_registered_functions",
-    """SELECT doc_id, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS norm_len, round(256.0::DOUBLE/(14.0533::DOUBLE*(512.0::DOUBLE/(n_chars+300))*26*(512.0::DOUBLE/(n_chars+400))), 6) AS density,
-    'R=512|fs=28|ls=6|cs=0' AS gid FROM documents""",
+    r"""SELECT doc_id, length(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS norm_len, round(256.0::DOUBLE/(14.0533::DOUBLE*(512.0::DOUBLE/(n_chars+300))*26*(512.0::DOUBLE/(n_chars+400))), 6) AS density,
+    'R=512|fs=28.5|ls=1.23457e+06|cs=-1' AS gid, levenshtein(md5(text), md5(lang))/32.0::DOUBLE AS dist, doc_id%7=0 AS cjk, 'doc_'||doc_id||'.x' AS stem, 'doc_'||doc_id AS base, lang||'  x' AS fenced,
+    source||' l' AS plain, CASE doc_id%3 WHEN 0 THEN 14 WHEN 1 THEN 9 ELSE 1994 END AS roman, 64.0::DOUBLE AS tokens, round(n_chars*26.0::DOUBLE/32, 6) AS ink, 2 AS cols, 1 AS n_rows, CASE WHEN doc_id%2=0 THEN 483 ELSE 273 END AS image_tokens,
+    3 AS n_sentences FROM documents""",
 )
 def sql_functions(spark, d):
     from pagescale.functions.registry import register_functions
@@ -291,9 +294,14 @@ def sql_functions(spark, d):
     register_functions(spark)
     table(spark, d, "documents").createOrReplaceTempView("documents_udf1")
     df = spark.sql(
-        "SELECT doc_id, length(normalize_ws(text)) AS norm_len, patch_density(n_chars + 300, n_chars + 400, 14.0533D, 26D, 512D) AS density, group_id(512, 28, 6, 0) AS gid FROM documents_udf1"
+        r"""SELECT doc_id, length(normalize_ws(text)) AS norm_len, patch_density(n_chars + 300, n_chars + 400, 14.0533D, 26D, 512D) AS density, group_id(512, 28.5D, 1234567, -1) AS gid,
+        ocr_edit_dist(md5(text), md5(lang)) AS dist, has_cjk(concat(lang, CASE WHEN doc_id % 7 = 0 THEN '字' ELSE '' END)) AS cjk, file_stem(concat('a/b/doc_', doc_id, '.x.png')) AS stem,
+        strip_shift_suffix(concat('doc_', doc_id, '_3_5')) AS base, strip_fences(concat('\n```json\n', lang, '  x\n```\n')) AS fenced, md_to_text(concat('# ', source, '\n\u00a0- [l](u) ![i](j)')) AS plain,
+        roman_to_int(CASE doc_id % 3 WHEN 0 THEN 'xiv' WHEN 1 THEN 'IX' ELSE 'MCMXCIV' END) AS roman, vision_tokens(512) AS tokens, information_density(n_chars, 28, 6, 0) AS ink,
+        tile_grid(1280, 640).cols AS cols, tile_grid(1280, 640).rows AS n_rows, CASE WHEN doc_id % 2 = 0 THEN image_tokens(1280, 640) ELSE image_tokens(600, 500) END AS image_tokens,
+        size(split_sentences(concat(lang, '. \u00a0 ! ', source))) AS n_sentences FROM documents_udf1"""
     )
-    return df.withColumn("density", F.round("density", 6))
+    return df.withColumns({c: F.round(c, 6) for c in ("density", "ink")})
 
 
 @query("udf2_token_counter", "SELECT doc_id, CAST(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS INT) AS n_tokens FROM documents")
@@ -303,11 +311,23 @@ def pluggable_tokens(spark, d):
     return table(spark, d, "documents").select("doc_id", token_counter(lambda t: len(t.split()))(F.col("text")).alias("n_tokens"))
 
 
-@query("udf4_segment_table", "SELECT doc_id, count(*) AS n_words, max(length(w)) AS longest FROM (SELECT doc_id, unnest(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS w FROM documents) GROUP BY ALL")
+@query(
+    "udf4_segment_table",
+    f"""SELECT 'sentence' AS kind, CAST(doc_id AS VARCHAR) AS id, count(*) AS n, max(pos) AS last, sum(length(s)) AS chars FROM ({ORACLES["seg7_split_sentences"]}) GROUP BY doc_id
+    UNION ALL SELECT 'block', CAST(doc_id AS VARCHAR), count(*), max(seg), sum(length(text)) FROM ({ORACLES["seg14_equal_word_segments"]}) GROUP BY doc_id
+    UNION ALL SELECT 'chapter', book_name, count(*), count(*)-1, sum(length(body)) FROM ({ORACLES["seg1_numbered_chapters"]}) GROUP BY book_name""",
+)
 def segment_table(spark, d):
-    """Segmenters as table functions in SQL: LATERAL VIEW over an expression."""
+    """Segmenters as table functions in SQL, called with LATERAL."""
+    from pagescale.functions.registry import register_tables
+
+    register_tables(spark)
     table(spark, d, "documents").createOrReplaceTempView("documents_udf4")
+    fx.books(spark, d, "numbered").createOrReplaceTempView("books_udf4")
+    sums = "count(*) AS n, CAST(max(s.pos) AS BIGINT) AS last, sum(length({})) AS chars"
     return spark.sql(
-        r"SELECT doc_id, count(*) AS n_words, max(length(w)) AS longest FROM documents_udf4 "
-        r"LATERAL VIEW posexplode(filter(split(text, '\\s+'), x -> x <> '')) s AS pos, w GROUP BY doc_id"
+        f"""SELECT 'sentence' AS kind, CAST(doc_id AS STRING) AS id, {sums.format('s.part')} FROM documents_udf4 d, LATERAL sentence_table(d.text) s GROUP BY doc_id
+        UNION ALL SELECT 'block', CAST(doc_id AS STRING), {sums.format('s.part')} FROM documents_udf4 d, LATERAL block_table(d.text, 5) s GROUP BY doc_id
+        UNION ALL SELECT 'chapter', book_name, {sums.format('s.body')} FROM books_udf4 b, LATERAL chapter_table(b.text, :marker) s GROUP BY book_name""",
+        args={"marker": C.NUMBERED_MARKER},
     )

@@ -248,3 +248,24 @@ def test_shared_check(spark):
     rows = [(512, -1.0, 2.0, 3.0), (640, -2.0, 2.0, 3.0 + 1e-7), (1024, -2.0, 2.1, 3.0)]
     df = spark.createDataFrame(rows, "resolution long, w0 double, a double, alpha double")
     assert [r.resolution for r in M.check_shared(df, ["a", "alpha"]).collect()] == [1024]
+
+
+def test_special_functions_over_a_grid(spark):
+    from pagescale.functions import special, solve
+
+    xs = [float(x) for x in np.concatenate([np.linspace(-30, 26, 1121), [1.9999999999, 2.0, 2.0000000001, 0.0, -0.0, 1e-300, 100.0, 1e6, -1e6]])]
+    got = {r.x: r.v for r in spark.createDataFrame([(x,) for x in xs], "x double").select("x", special.log_erfc(F.col("x")).alias("v")).collect()}
+    for x in xs:
+        # beyond the range of erfc: the first terms of its asymptotic series
+        want = math.log(math.erfc(x)) if x < 26 else -x * x - math.log(x * math.sqrt(math.pi)) + math.log1p(-0.5 / x**2 + 0.75 / x**4 - 1.875 / x**6)
+        assert abs(got[x] - want) <= 1e-12 * max(1.0, abs(want)), x
+    odd = spark.createDataFrame([(None,), (float("nan"),)], "x double").select(special.log_erfc(F.col("x")).alias("v")).collect()
+    assert odd[0].v is None and math.isnan(odd[1].v)
+    xs = [float(x) for x in np.concatenate([np.geomspace(1e-4, 1e5, 300), [1.0, 0.5, 2.0]])]
+    rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", special.digamma(F.col("x")).alias("d"), special.trigamma(F.col("x")).alias("t")).collect()
+    for r in rows:
+        # the log gamma function's own recurrence and known values
+        assert abs(r.d - solve.digamma(r.x)) <= 1e-11 * max(1.0, abs(r.d)) and abs(r.t - solve.trigamma(r.x)) <= 1e-11 * max(1.0, abs(r.t))
+    known = {r.x: r for r in rows}
+    assert known[1.0].d == pytest.approx(-0.57721566490153286, abs=1e-14) and known[1.0].t == pytest.approx(math.pi**2 / 6, abs=1e-14)
+    assert known[0.5].d == pytest.approx(-0.57721566490153286 - 2 * math.log(2), abs=1e-13)

@@ -175,3 +175,38 @@ def test_markers_may_hold_escaped_brackets(spark):
     assert [(r["mark"], r["body"].strip()) for r in got] == [("1", "one"), ("2", "two (x)")]
     got = df.select(X.marked_sections(F.col("t"), r"^[(](\d+)[)]").alias("s")).first().s
     assert [r["mark"] for r in got] == ["1", "2"]
+
+
+def test_sql_functions_equal_column_functions(spark):
+    from pagescale.functions.registry import register_functions
+
+    register_functions(spark)
+    texts = ["", "  ", "\n```json\n{a}\n```\n", "```\nx\n```", "\u00a0a. b!\u00a0 c?\u00a0", "- [l](u)\r\n\u00a0* ![i](j) y\n3. z", None, "MCMXCIV", "x\u2003y"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for name in ("normalize_ws", "split_sentences", "strip_fences", "md_to_text", "strip_shift_suffix", "file_stem", "has_cjk"):
+        for r in df.select(F.expr(f"{name}(t)").alias("a"), getattr(X, name)(F.col("t")).alias("b")).collect():
+            assert r.a == r.b, name
+    for v in (1234567.0, 0.00001234567, 28.5, -1.0, 100000.0, 999999.5, 0.0):
+        row = spark.range(1).select(F.expr(f"group_id(512, {v}D, 6, {-v}D)").alias("a"), X.group_id(F.lit(512), F.lit(v), F.lit(6), F.lit(-v)).alias("b")).first()
+        assert row.a == row.b
+    row = spark.range(1).select(F.expr("roman_to_int('mcmxciv')").alias("a"), F.expr("roman_to_int('')").alias("b")).first()
+    assert (row.a, row.b) == (1994, None)
+
+
+def test_segmenters_as_table_functions(spark):
+    from pagescale.functions.registry import register_tables
+
+    register_tables(spark)
+    rows = lambda q: [tuple(r) for r in spark.sql(q).collect()]
+    assert rows("SELECT * FROM sentence_table('A b.  C! d')") == [(0, "A b."), (1, "C!"), (2, "d")]
+    assert rows("SELECT * FROM block_table('a b c d e', 2)") == [(0, "a b c"), (1, "d e")]
+    text = "Chapter 1 : x\\nfirst\\nCHAPTER 2:\\nsecond"
+    assert rows(f"SELECT * FROM chapter_table('{text}', '(?i)^Chapter\\\\s+(\\\\d+)\\\\s*:[^\\\\n]*')") == [(0, "1", "first"), (1, "2", "second")]
+
+
+def test_next_wrap_moves_towards_the_square(spark):
+    from pagescale.functions.geometry import next_wrap
+
+    rows = [(100, 4.0, 50), (100, 0.25, 200), (100, 1.0, 100), (100, 1.11, 95), (100, 0.899, 105), (22, 9.0, 20), (390, 0.5, 400), (100, float("inf"), 100), (100, 0.0, 100), (100, float("nan"), 100), (3, 1.2, 20)]
+    df = spark.createDataFrame([r[:2] for r in rows], "current int, ratio double")
+    assert [r.n for r in df.select(next_wrap(F.col("current"), F.col("ratio")).alias("n")).collect()] == [r[2] for r in rows]
