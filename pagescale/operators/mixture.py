@@ -3,7 +3,8 @@
 ``E ~ π Beta(α1, β1) + (1 - π) Beta(α0, β0)`` with ``π = σ(w0 + a ln V + α ln G)``.
 
 Every EM step is one aggregate over the rows: the likelihood, the Beta statistics and the gate's gradient and Hessian all
-come from the same pass. The driver sees about twenty sums per group and solves for the next parameters. The gate takes
+come from the same pass. The driver sees about twenty sums per group and solves for the next parameters in time and memory
+proportional to the groups. The gate takes
 one Newton step per pass, which raises the expected likelihood and has the same fixed points as a full inner fit.
 """
 
@@ -24,7 +25,7 @@ from pagescale.operators.aggregates import responsibility_stats
 from pagescale.schema import assert_columns
 
 PARAMS = ("w0", "a", "alpha", "a0", "b0", "a1", "b1")
-MAX_GROUPS = 10_000
+FEW_GROUPS = 64
 
 
 def vgz_features(df: DataFrame, v_mode: str = "aspect", eps: float = C.EM_EPS) -> DataFrame:
@@ -136,16 +137,20 @@ def with_norms(p: dict) -> dict:
 
 
 def params_frame(spark: SparkSession, params: dict, key: str = "resolution") -> DataFrame:
-    """One row per group; the number of groups is checked, so that the table may be broadcast."""
-    if len(params) > MAX_GROUPS:
-        raise ValueError(f"{len(params)} groups exceed the limit of {MAX_GROUPS}")
+    """One row per group. A short table is stated in the query text, which plans faster; a longer one comes as data."""
+    if len(params) > FEW_GROUPS:
+        kind = "string" if isinstance(next(iter(params)), str) else "bigint"
+        posed = ((g, with_norms(p)) for g, p in params.items())
+        rows = [(g, *[p[c] for c in (*PARAMS, "n0", "n1")]) for g, p in posed]
+        return spark.createDataFrame(rows, f"{key} {kind}, " + ", ".join(f"{c} double" for c in (*PARAMS, "n0", "n1")))
     name = lambda g: "'" + g.replace("'", "''") + "'" if isinstance(g, str) else f"{int(g)}L"
     rows = ", ".join(f"({name(g)}, " + ", ".join(f"double('{with_norms(p)[c]!r}')" for c in (*PARAMS, "n0", "n1")) + ")" for g, p in params.items())
     return spark.sql(f"VALUES {rows}").toDF(key, *PARAMS, "n0", "n1")
 
 
 def with_params(df: DataFrame, params: dict, key: str = "resolution") -> DataFrame:
-    return df.join(F.broadcast(params_frame(df.sparkSession, params, key)), key)  # at most MAX_GROUPS rows
+    """Rows of the groups that have parameters, with them; the size of the parameter table decides how they meet."""
+    return df.join(params_frame(df.sparkSession, params, key), key)
 
 
 # --- EM -----------------------------------------------------------------------------------------------------------
@@ -169,14 +174,6 @@ class GateFit:
 _CROSS = [(i, j) for i in range(3) for j in range(i, 3)]
 
 
-def _group_rows(per_group: DataFrame) -> list:
-    """One row per group on the driver; more groups than the limit are an error."""
-    got = per_group.limit(MAX_GROUPS + 1).collect()
-    if len(got) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups")
-    return got
-
-
 def _sums(rows: DataFrame, key: str, slopes: int) -> dict:
     """Per-group sums of one pass; ``rows`` carry r, pi, ll and the features."""
     gate = ["1D", "logV", "logG"][: slopes + 1]
@@ -186,7 +183,7 @@ def _sums(rows: DataFrame, key: str, slopes: int) -> dict:
         **{f"h{i}{j}": f"pi * (1 - pi) * {gate[i]} * {gate[j]}" for i, j in _CROSS if j <= slopes},
     }
     agg = [F.count("*").alias("n"), *[F.expr(f"sum({e}) AS {c}") for c, e in sums.items()]]
-    return {r[key]: r.asDict() for r in _group_rows(rows.groupBy(key).agg(*agg))}
+    return {r[key]: r.asDict() for r in rows.groupBy(key).agg(*agg).toLocalIterator()}
 
 
 def _pooled(sums: dict) -> dict:
@@ -221,22 +218,19 @@ def _gate_step(sums: dict, params: dict, slopes: int, own_w0: bool, own_slopes:
             beta = beta + newton_step(hess, grad)
             out.update({g: dict(zip(names, map(float, beta))) for g in batch})
         return out
-    m = len(groups)  # own intercepts, shared slopes
-    size = m + slopes
-    grad, hess = np.zeros(size), np.zeros((size, size))
-    beta = np.array([*[params[g]["w0"] for g in groups], *[params[groups[0]][n] for n in names[1:]]])
-    for i, g in enumerate(groups):
-        gi, hi = grad_of(sums[g]), hess_of(sums[g])
-        grad[i] += gi[0]
-        grad[m:] += gi[1:]
-        hess[i, i] += hi[0, 0]
-        hess[i, m:] += hi[0, 1:]
-        hess[m:, i] += hi[1:, 0]
-        hess[m:, m:] += hi[1:, 1:]
-    grad[m:] -= reg * beta[m:]
-    hess[m:, m:] += reg * np.eye(slopes)
-    beta = beta + newton_step(hess, grad)
-    return {g: {"w0": float(beta[i]), **{n: float(v) for n, v in zip(names[1:], beta[m:])}} for i, g in enumerate(groups)}
+    # Own intercepts, shared slopes: the Hessian is an arrow, one diagonal entry and one border row for each group. The
+    # intercepts are eliminated group by group; what remains is a system of the slopes alone (the Schur complement).
+    shared = np.array([params[groups[0]][n] for n in names[1:]])
+    own = {g: (grad_of(sums[g]), hess_of(sums[g])) for g in groups}
+    whole, rest = reg * np.eye(slopes), -reg * shared
+    for grad, hess in own.values():
+        pivot = max(hess[0, 0], 1e-12)
+        whole = whole + hess[1:, 1:] - np.outer(hess[1:, 0], hess[0, 1:]) / pivot
+        rest = rest + grad[1:] - hess[1:, 0] * grad[0] / pivot
+    move = newton_step(whole, rest) if slopes else np.zeros(0)
+    moved = {n: float(v) for n, v in zip(names[1:], shared + move)}
+    lift = lambda grad, hess: (grad[0] - hess[0, 1:] @ move) / max(hess[0, 0], 1e-12)
+    return {g: {"w0": float(params[g]["w0"] + lift(*own[g])), **moved} for g in groups}
 
 
 GATE_NAMES = ("w0", "a", "alpha")
@@ -277,8 +271,7 @@ def _run_em(rows, key, own_w0, own_slopes, own_beta, slopes, max_iter, tol, thre
     fit = GateFit(key, params, {g: [] for g in first}, dict.fromkeys(first, False), {g: s["n"] for g, s in first.items()})
     active, previous = set(first), None
     for _ in range(max_iter):
-        live = rows if len(active) == len(first) else rows.where(F.col(key).isin(*active))
-        sums = _sums(_posterior(live, {g: params[g] for g in active}, key), key, slopes)
+        sums = _sums(_posterior(rows, {g: params[g] for g in active}, key), key, slopes)
         units = [[g] for g in sums] if separate else [list(sums)]
         retry = set()
         for unit in units:
@@ -359,9 +352,9 @@ def em_baselines(df: DataFrame, key: str = "resolution", **options) -> tuple[Gat
     """(constant-weight mixture, single Beta parameters) per group."""
     constant = em_fit(df, key, slopes=0, **options)
     y = F.col("edit_distance")
-    sums = _group_rows(
-        df.groupBy(key).agg(F.count("*").cast("double").alias("n"), F.sum(y).alias("y"), F.sum(y * y).alias("yy"), F.sum(F.ln(y)).alias("l"), F.sum(F.log1p(-y)).alias("l1"))
-    )
+    sums = df.groupBy(key).agg(
+        F.count("*").cast("double").alias("n"), F.sum(y).alias("y"), F.sum(y * y).alias("yy"), F.sum(F.ln(y)).alias("l"), F.sum(F.log1p(-y)).alias("l1")
+    ).toLocalIterator()
     return constant, {r[key]: beta_mle(r["n"], r["l"], r["l1"], beta_from_moments(r["n"], r["y"], r["yy"])) for r in sums}
 
 
@@ -373,16 +366,24 @@ def fit_w0_only(df: DataFrame, params: dict, key: str = "model", start: float =
     """
     state = {m: {"w0": start, "best": (-math.inf, start), "ok": False, "lo": -math.inf, "hi": math.inf} for m in params}
     rows = df.select(key, F.col("edit_distance").alias("y"), "logV", "logG").persist()
+    try:
+        _settle_w0(rows, params, key, state, max_steps)
+    finally:
+        rows.unpersist()
+    return {m: (s["w0"], True) if s["ok"] else (start, False) for m, s in state.items()}
+
+
+def _settle_w0(rows: DataFrame, params: dict, key: str, state: dict, max_steps: int) -> None:
     for _ in range(max_steps):
         open_ = [m for m in state if not state[m]["ok"]]
         if not open_:
             break
-        posed = e_step(with_params(rows.where(F.col(key).isin(*open_)), {m: {**params[m], "w0": state[m]["w0"]} for m in open_}, key), "y")
+        posed = e_step(with_params(rows, {m: {**params[m], "w0": state[m]["w0"]} for m in open_}, key), "y")
         per_model = posed.groupBy(key).agg(
             F.sum("ll").alias("ll"), F.sum(F.col("r") - F.col("pi")).alias("g"),
             F.sum(F.col("r") * (1 - F.col("r")) - F.col("pi") * (1 - F.col("pi"))).alias("h"), F.sum(F.col("pi") * (1 - F.col("pi"))).alias("f"),
         )
-        for r in _group_rows(per_model):
+        for r in per_model.toLocalIterator():
             s = state[r[key]]
             s["lo"], s["hi"] = (s["w0"], s["hi"]) if r["g"] > 0 else (s["lo"], s["w0"])
             curve = -r["h"] if r["h"] < 0 else max(r["f"], 1e-9)
@@ -392,8 +393,6 @@ def fit_w0_only(df: DataFrame, params: dict, key: str = "model", start: float =
                 nxt = 0.5 * (s["lo"] + s["hi"])
             s["ok"] = abs(nxt - s["w0"]) < 1e-9 * (1 + abs(nxt)) or abs(r["g"]) < 1e-9
             s["w0"] = nxt
-    rows.unpersist()
-    return {m: (s["w0"], True) if s["ok"] else (start, False) for m, s in state.items()}
 
 
 # --- results ------------------------------------------------------------------------------------------------------
@@ -419,6 +418,13 @@ def log_likelihoods(df: DataFrame, gate: dict, constant: dict, single: dict, key
     )
 
 
+def overall_likelihoods(per_group: DataFrame, key: str = "resolution") -> DataFrame:
+    """The table of `log_likelihoods` and, with a NULL group, its sums for each split."""
+    sums = [c for c in per_group.columns if c not in (key, "split")]
+    whole = per_group.groupBy("split").agg(*[F.sum(c).alias(c) for c in sums]).withColumn(key, F.lit(None))
+    return per_group.unionByName(whole.select(*per_group.columns))
+
+
 def summary_frame(spark: SparkSession, df: DataFrame, fit: GateFit, constant: GateFit | None = None, single: dict | None = None) -> DataFrame:
     """Nested summary per group: parameters, Beta means and variances, responsibility statistics, history."""
     scored = score_points(df, fit.params, fit.key)
@@ -437,7 +443,7 @@ def summary_frame(spark: SparkSession, df: DataFrame, fit: GateFit, constant: Ga
         "log_likelihood_history array<double>, converged boolean, constant_pi_params struct<w0:double,alpha0:double,beta0:double,alpha1:double,beta1:double>, "
         "single_beta_params struct<alpha:double,beta:double>"
     )
-    table = F.broadcast(spark.createDataFrame(rows, schema))  # at most MAX_GROUPS rows
+    table = spark.createDataFrame(rows, schema)
     packed = stats.select(fit.key, F.struct("mean", "std", "q10", "q50", "q90").alias("responsibility_stats"))
     return counts.join(packed, fit.key).join(table, fit.key)
 

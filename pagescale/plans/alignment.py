@@ -128,11 +128,11 @@ def fixed_canvas(spark, d):
 
 @query(
     "jon11_pages_with_distance",
-    r"""SELECT id||'.jpg' AS name, edit_dist, regexp_replace(id, '^(.*)_\d+$', '\1') AS base, CAST(regexp_extract(id, '_(\d+)$', 1) AS INT) AS suffix, TRUE AS found FROM metric_records WHERE resolution=640 AND id IN (SELECT 'doc_'||doc_id FROM labels)
-    UNION ALL SELECT id||'.jpg', edit_dist, '', -1, FALSE FROM metric_records WHERE resolution=640 AND id NOT IN (SELECT 'doc_'||doc_id FROM labels)""",
+    r"""SELECT id||'.jpg' AS name, edit_dist, regexp_replace(id, '^(.*)_\d+$', '\1') AS base, CAST(regexp_extract(id, '_(\d+)$', 1) AS INT) AS suffix, TRUE AS found FROM metric_records WHERE id IN (SELECT 'doc_'||doc_id FROM labels)
+    UNION ALL SELECT id||'.jpg', edit_dist, '', -1, FALSE FROM metric_records WHERE id NOT IN (SELECT 'doc_'||doc_id FROM labels)""",
 )
 def page_distance(spark, d):
-    edit = fx.metric_records(spark, d).where(F.col("resolution") == 640).select(F.concat("id", F.lit(".jpg")).alias("name"), "edit_dist")
+    edit = fx.metric_records(spark, d).select(F.concat("id", F.lit(".jpg")).alias("name"), "edit_dist")
     info = F.struct(F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".jpg")).alias("image_path"), F.col("doc_id").alias("page_no"), F.lit(10).alias("width"), F.lit(20).alias("height"))
     pages = fx.table(spark, d, "labels").select(info.alias("page_info"))
     found, none = O.pages_with_distance(edit, pages)
@@ -169,11 +169,11 @@ def before_after(spark, d):
 
 @query(
     "jon14_points_with_sizes",
-    "SELECT m.id, m.text_len, edit_dist, round(coalesce(greatest(width, height)/1024.0::DOUBLE, 0), 6) AS scale FROM metric_records m LEFT JOIN (SELECT * FROM images WHERE id IN (SELECT id FROM ground_truth)) i USING (id) WHERE resolution = 512",
+    "SELECT m.id, m.text_len, edit_dist, round(coalesce(greatest(width, height)/1024.0::DOUBLE, 0), 6) AS scale FROM metric_records m LEFT JOIN (SELECT * FROM images WHERE id IN (SELECT id FROM ground_truth)) i USING (id)",
 )
 def with_sizes(spark, d):
     sizes = fx.images(spark, d).join(fx.ground_truth(spark, d).select(X.file_stem(F.col("image")).alias("id")), "id", "left_semi")
-    return O.points_with_sizes(fx.metric_records(spark, d).where(F.col("resolution") == 512), sizes).withColumn("scale", F.round("scale", 6))
+    return O.points_with_sizes(fx.metric_records(spark, d), sizes).withColumn("scale", F.round("scale", 6))
 
 
 BOUNDS = f"SELECT {KEYS}, CASE WHEN letter_spacing <> 7 THEN floor(avg(text_len)) END AS L FROM analysis_points GROUP BY {KEYS}"

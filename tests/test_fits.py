@@ -269,3 +269,38 @@ def test_special_functions_over_a_grid(spark):
     known = {r.x: r for r in rows}
     assert known[1.0].d == pytest.approx(-0.57721566490153286, abs=1e-14) and known[1.0].t == pytest.approx(math.pi**2 / 6, abs=1e-14)
     assert known[0.5].d == pytest.approx(-0.57721566490153286 - 2 * math.log(2), abs=1e-13)
+
+
+def test_gate_step_by_elimination_equals_the_dense_system():
+    rng = np.random.default_rng(6)
+    sums, params = {}, {}
+    for g in range(5):
+        a = rng.normal(size=(40, 3))
+        h, grad = a.T @ a, rng.normal(size=3)
+        sums[g] = {**{f"g{i}": grad[i] for i in range(3)}, **{f"h{i}{j}": h[i, j] for i in range(3) for j in range(i, 3)}}
+        params[g] = {"w0": float(g), "a": 0.5, "alpha": -0.25}
+    got = M._gate_step(sums, params, 2, True, False, 0.1)
+    dense, right = np.zeros((7, 7)), np.zeros(7)
+    for g, s in sums.items():
+        at = [g, 5, 6]
+        for i in range(3):
+            right[at[i]] += s[f"g{i}"]
+            for j in range(3):
+                dense[at[i], at[j]] += s[f"h{min(i, j)}{max(i, j)}"]
+    right[5:] -= 0.1 * np.array([0.5, -0.25])
+    dense[5:, 5:] += 0.1 * np.eye(2)
+    step = np.linalg.solve(dense, right)
+    for g in range(5):
+        assert [got[g]["w0"], got[g]["a"], got[g]["alpha"]] == pytest.approx([g + step[g], 0.5 + step[5], -0.25 + step[6]], abs=1e-10)
+
+
+def test_twelve_thousand_groups_share_slopes(spark):
+    n = F.col("id")
+    x = (n * 7919 % 1000) / 1000.0
+    rows = spark.range(60_000).select(
+        (n % 12_000).cast("string").alias("resolution"), x.alias("logV"), ((n * 104729 % 997) / 997.0).alias("logG"),
+        F.when((n * 31 % 101) / 101.0 < x, 0.8 + 0.1 * (n % 7) / 7.0).otherwise(0.05 + 0.02 * (n % 5)).alias("edit_distance"),
+    )
+    fit = M.em_fit_shared_slopes(rows, max_iter=3)
+    assert len(fit.params) == 12_000 and all(math.isfinite(p["w0"]) for p in fit.params.values())
+    assert len({(p["a"], p["alpha"], p["a0"], p["b1"]) for p in fit.params.values()}) == 1 and fit.params["0"]["a"] > 0
