@@ -272,7 +272,8 @@ def fit_global_power(points: DataFrame, eps: float = 1e-6) -> tuple[dict, DataFr
         F.count("*").alias("n"), F.avg("y").alias("my"), *[F.avg(x).alias(f"m_{x}") for x in xs],
         *[F.covar_pop(a, b).alias(f"c_{i}_{j}") for i, a in enumerate(xs) for j, b in enumerate(xs) if i <= j],
         *[F.covar_pop(a, "y").alias(f"cy_{i}") for i, a in enumerate(xs)],
-    ).persist()
+    )
+    style = cut_lineage(style, "styles")  # one row a style, read by two aggregates and by the result
     row = style.agg(
         *[F.sum(F.col("n") * F.col(f"c_{i}_{j}")).alias(f"h_{i}_{j}") for i in range(3) for j in range(i, 3)],
         *[F.sum(F.col("n") * F.col(f"cy_{i}")).alias(f"g_{i}") for i in range(3)],

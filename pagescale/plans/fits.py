@@ -94,7 +94,28 @@ def _with_l0(spark, d):
     return cut_lineage(fx.analysis_points(spark, d).withColumn("L0", l0), "points")
 
 
-@query("fit8_fit_global_power")
+# The pooled normal equations of (x1, x3, x2) within styles, solved by Cramer's rule.
+_XS = ("x1", "x3", "x2")
+_H = {(i, j): f"sum(n*covar{min(i, j)}{max(i, j)})" for i in range(3) for j in range(3)}
+_DET = lambda m: f"({m[0][0]}*({m[1][1]}*{m[2][2]}-{m[1][2]}*{m[2][1]})-{m[0][1]}*({m[1][0]}*{m[2][2]}-{m[1][2]}*{m[2][0]})+{m[0][2]}*({m[1][0]}*{m[2][1]}-{m[1][1]}*{m[2][0]}))"
+_CELL = [[f"h{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+_COEF = [f"{_DET([[f'g{i}' if j == k else _CELL[i][j] for j in range(3)] for i in range(3)])}/{_DET(_CELL)}" for k in range(3)]
+GLOBAL_FIT = f"""pr AS (SELECT *, ln(-ln(1-e)) AS y, ln(excess) AS x1, ln(resolution::DOUBLE) AS x2, ln(excess)*ln(resolution::DOUBLE) AS x3 FROM (
+  SELECT *, least(greatest(edit_distance, 1e-6::DOUBLE), 1-1e-6::DOUBLE) AS e, text_len - CASE resolution WHEN 512 THEN 400.0::DOUBLE WHEN 640 THEN 500.0::DOUBLE WHEN 1024 THEN 600.0::DOUBLE ELSE 700.0::DOUBLE END AS excess FROM analysis_points) WHERE excess > 0),
+st AS (SELECT font_size, line_spacing, letter_spacing, count(*) AS n, avg(y) AS my, {', '.join(f'avg({x}) AS m{i}, covar_pop({x}, y) AS cy{i}' for i, x in enumerate(_XS))},
+  {', '.join(f'covar_pop({_XS[i]}, {_XS[j]}) AS covar{i}{j}' for i in range(3) for j in range(i, 3))} FROM pr GROUP BY ALL),
+eq AS (SELECT {', '.join(f'{_H[i, j]} AS h{i}{j}' for i in range(3) for j in range(i, 3))}, {', '.join(f'sum(n*cy{i}) AS g{i}' for i in range(3))} FROM st),
+co AS (SELECT {_COEF[0]} AS theta_a, {_COEF[1]} AS theta_b, -({_COEF[2]}) AS phi FROM eq),
+cs AS (SELECT font_size, line_spacing, letter_spacing, n, my - theta_a*m0 - theta_b*m1 + phi*m2 AS log_c, theta_a, theta_b, phi FROM st, co)"""
+GLOBAL_PRED = f"""{GLOBAL_FIT},
+pd AS (SELECT pr.*, theta_a + theta_b*x2 AS theta_pred, least(greatest(1-exp(-(exp(log_c)*power(excess, theta_a + theta_b*x2)*power(resolution::DOUBLE, -phi))), 0), 1) AS e_pred, log_c + (theta_a + theta_b*x2)*x1 - phi*x2 AS y_pred
+  FROM pr JOIN cs USING (font_size, line_spacing, letter_spacing)),
+er AS (SELECT *, e - e_pred AS err, y - y_pred AS res FROM pd),
+bg AS (SELECT {KEYS}, count(*) AS n_points, regr_slope(y, x1) AS slope_hat, max(theta_pred) AS theta_pred, regr_r2(y, x1) AS r2_y, regr_slope(y, x1) - max(theta_pred) AS slope_error FROM er GROUP BY {KEYS} HAVING count(*) >= 8)"""
+_R = lambda *names: ", ".join(f"round({n}+1e-9, 6) AS {n}" for n in names)
+
+
+@query("fit8_fit_global_power", f"WITH {GLOBAL_FIT} SELECT font_size, line_spacing, letter_spacing, round(log_c+1e-9, 4) AS log_c, n, round(theta_a, 5) AS theta_a, round(theta_b, 5) AS theta_b, round(phi, 5) AS phi FROM cs")
 def global_power(spark, d):
     fit, cs = O.fit_global_power(_with_l0(spark, d))
     return cs.select(*C.STYLE_KEYS, r6(F.ln("c_style"), 4).alias("log_c"), "n").withColumns({k: F.lit(round(fit[k], 5)) for k in ("theta_a", "theta_b", "phi")})
@@ -113,7 +134,17 @@ def predict(spark, d):
     return O.predict_power(pts, FIXED_FIT, cs).groupBy("resolution").agg(r6(F.avg("e_pred")).alias("mean_pred"))
 
 
-@query("fit10_power_diagnostics")
+@query(
+    "fit10_power_diagnostics",
+    f"""WITH {GLOBAL_PRED},
+    ov AS (SELECT count(*) AS n_points_fit, avg(abs(err)) AS mae_e, sqrt(avg(err*err)) AS rmse_e, 1-sum(err*err)/(var_pop(e)*count(*)) AS r2_e, avg(abs(res)) AS mae_y, sqrt(avg(res*res)) AS rmse_y, 1-sum(res*res)/(var_pop(y)*count(*)) AS r2_y,
+      corr(res, x1) AS corr_x1, corr(res, x2) AS corr_r, corr(res, x3) AS corr_x3, avg(CASE WHEN edit_distance <= 1e-6 THEN 1.0::DOUBLE ELSE 0 END) AS frac_low_clip, avg(CASE WHEN edit_distance >= 1-1e-6::DOUBLE THEN 1.0::DOUBLE ELSE 0 END) AS frac_high_clip FROM er),
+    gr AS (SELECT count(*) AS n_groups, quantile_cont(r2_y, 0.5) AS median_group_r2, quantile_cont(r2_y, 0.1) AS p10_group_r2, quantile_cont(r2_y, 0.9) AS p90_group_r2, quantile_cont(abs(slope_error), 0.5) AS median_slope_error,
+      avg(CASE WHEN r2_y > 0.8 THEN 1.0::DOUBLE ELSE 0 END) AS frac_r2_gt_08 FROM bg),
+    rs AS (SELECT *, concat_ws(',', CASE WHEN r2_y IS NULL OR r2_y < 0.5 THEN 'low_r2_y' END, CASE WHEN median_group_r2 < 0.6 THEN 'low_group_linearity' END, CASE WHEN abs(corr_x1) > 0.2 THEN 'residual_follows_length' END, CASE WHEN abs(corr_r) > 0.2 THEN 'residual_follows_resolution' END) AS reasons FROM ov, gr)
+    SELECT n_points_fit, n_groups, {_R("mae_e", "rmse_e", "r2_e", "mae_y", "rmse_y", "r2_y", "corr_x1", "corr_r", "corr_x3", "frac_low_clip", "frac_high_clip", "median_group_r2", "p10_group_r2", "p90_group_r2", "median_slope_error", "frac_r2_gt_08")},
+      reasons, CASE WHEN reasons = '' THEN 'reasonable' WHEN r2_y >= 0.5 THEN 'mixed' ELSE 'inadequate' END AS verdict FROM rs""",
+)
 def diagnostics(spark, d):
     pts = _with_l0(spark, d)
     fit, cs = O.fit_global_power(pts)
@@ -121,7 +152,17 @@ def diagnostics(spark, d):
     return rounded(metrics.withColumn("reasons", F.array_join("reasons", ",")))
 
 
-@query("fit10_power_diagnostics_by_resolution")
+@query("fit10_group_slopes", f"WITH {GLOBAL_PRED} SELECT {KEYS}, n_points, {_R('slope_hat', 'theta_pred', 'r2_y', 'slope_error')} FROM bg")
+def diagnostics_by_group(spark, d):
+    pts = _with_l0(spark, d)
+    fit, cs = O.fit_global_power(pts)
+    return rounded(O.power_diagnostics(pts, fit, cut_lineage(cs, "styles"))[2])
+
+
+@query(
+    "fit10_power_diagnostics_by_resolution",
+    f"WITH {GLOBAL_PRED} SELECT resolution, n_points, {_R('mae_e', 'rmse_e', 'r2_e')} FROM (SELECT resolution, count(*) AS n_points, avg(abs(err)) AS mae_e, sqrt(avg(err*err)) AS rmse_e, 1-sum(err*err)/(var_pop(e)*count(*)) AS r2_e FROM er GROUP BY resolution)",
+)
 def diagnostics_by_res(spark, d):
     pts = _with_l0(spark, d)
     fit, cs = O.fit_global_power(pts)

@@ -157,16 +157,14 @@ def records(spark, d):
     FROM metric_records m JOIN documents d ON m.id = 'doc_'||d.doc_id GROUP BY ALL""",
 )
 def metric_tree(spark, d):
+    """One write by set and folder; a language of its own stands for rows without one, a folder that is no number is not read."""
     root = scratch_path(spark, "tree")
-    langs = table(spark, d, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id")).alias("id"), "lang")
-    rows = cut_lineage(fx.metric_records(spark, d).join(langs, "id"), "tree-rows")
-    for lang in sorted(r.lang for r in langs.where(F.col("lang").isNotNull()).select("lang").distinct().collect()):
-        for res in C.RESOLUTIONS:
-            part = rows.where((F.col("lang") == lang) & (F.col("resolution") == res)).drop("lang", "resolution")
-            part.write.json(f"{root}/{lang}_square/{res}")
-        part.write.json(f"{root}/{lang}_square/notes")
-    got = files.read_metric_tree(spark, root, lines=True).groupBy("dataset", "resolution").agg(F.count("*").alias("n"), r6(F.avg("edit_dist")).alias("mean_ed"))
-    return got
+    docs = table(spark, d, "documents").select(F.concat(F.lit("doc_"), F.col("doc_id")).alias("id"), F.concat(F.coalesce("lang", F.lit("none")), F.lit("_square")).alias("set"))
+    rows = fx.metric_records(spark, d).join(docs, "id").withColumn("folder", F.col("resolution").cast("string")).drop("resolution")
+    rows = rows.withColumn("folder", F.explode(F.when(F.col("folder") == "1280", F.array("folder", F.lit("notes"))).otherwise(F.array("folder"))))
+    sinks.write_records(rows, root, "json", partition_by=["set", "folder"])
+    got = files.read_metric_tree(spark, root, lines=True).withColumn("dataset", F.nullif("dataset", F.lit("none")))
+    return got.groupBy("dataset", "resolution").agg(F.count("*").alias("n"), r6(F.avg("edit_dist")).alias("mean_ed"))
 
 
 @query(

@@ -52,13 +52,14 @@ def read_record_lines(spark: SparkSession, path: str, schema: T.StructType) -> D
 def read_metric_tree(spark: SparkSession, root: str, lines: bool = False) -> DataFrame:
     """All ``<dataset>_square/<resolution>/*.json`` records; data set and resolution come from the path.
 
-    Folders whose name is not a number are ignored. ``lines`` reads files with one record per line, which split.
+    Folders whose name is not a number are ignored. Folder names may be written as ``column=name``, as a partitioned
+    write leaves them. ``lines`` reads files with one record per line, which split.
     """
     rows = (
         spark.read.schema(S.METRIC_RECORDS).option("multiLine", not lines).json(f"{root.rstrip('/')}/*_square/*/*.json")
         .select("*", F.col("_metadata.file_path").alias("_path"))
     )
-    part = lambda i: F.regexp_extract("_path", r"/([^/]+)_square/([^/]+)/[^/]+$", i)
+    part = lambda i: F.regexp_extract("_path", r"/(?:[^/=]+=)?([^/=]+)_square/(?:[^/=]+=)?([^/=]+)/[^/]+$", i)
     return (
         rows.withColumn("dataset", part(1)).withColumn("_res", part(2)).where(F.col("_res").rlike(r"^\d+$"))
         .withColumn("resolution", F.col("_res").cast("int")).drop("_path", "_res")
