@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,18 +35,17 @@ def bleu4(tokenized: DataFrame, placed: bool = False) -> DataFrame:
     No unigram match gives 0; a higher order without a match contributes the smallest positive number.
     """
     rows = tokenized.select("id", "ref", "hyp")
-    side = lambda col, flag: F.transform(col, lambda t, i: F.struct(F.lit(flag).alias("is_ref"), i.alias("pos"), t.alias("t")))
-    toks = (rows if placed else spread(rows, "id")).select(
-        "id", F.size("ref").alias("n_ref"), F.size("hyp").alias("n_hyp"),
-        F.explode_outer(F.concat(side(F.col("ref"), 1), side(F.col("hyp"), 0))).alias("e"),
-    ).select("id", "n_ref", "n_hyp", "e.*")
-    # Tokens hold no white space, so a joined gram stands for its tokens.
-    ahead = W.partitionBy("id", "is_ref").orderBy("pos")
-    toks = toks.withColumns({f"t{k}": F.lead("t", k).over(ahead) for k in (1, 2, 3)})
-    joined = [F.col("t"), *[F.when(F.col(f"t{k}").isNotNull(), F.concat_ws(" ", "t", *[f"t{j}" for j in range(1, k + 1)])) for k in (1, 2, 3)]]
-    grams = toks.select("id", "n_ref", "n_hyp", "is_ref", "t", F.posexplode(F.array(*joined)).alias("n", "g"))
-    grams = grams.where(F.col("g").isNotNull() | F.col("t").isNull())  # a pair without tokens keeps its id
-    counted = grams.groupBy("id", "n_ref", "n_hyp", (F.col("n") + 1).alias("n"), "g").agg(
+    # Grams are cut from the arrays; tokens hold no white space, so a joined gram stands for its tokens.
+    def side(col: str, flag: int) -> list[Column]:
+        runs = lambda n: F.slice(col, F.lit(1), F.greatest(F.size(col) - (n - 1), F.lit(0)))
+        gram = lambda n, i: F.array_join(F.slice(col, i + 1, F.lit(n)), " ")
+        cut = lambda n: lambda t, i: F.struct(F.lit(flag).alias("is_ref"), F.lit(n).alias("n"), (t if n == 1 else gram(n, i)).alias("g"))
+        return [F.transform(runs(n), cut(n)) for n in range(1, 5)]
+
+    grams = (rows if placed else spread(rows, "id")).select(
+        "id", F.size("ref").alias("n_ref"), F.size("hyp").alias("n_hyp"), F.explode_outer(F.concat(*side("ref", 1), *side("hyp", 0))).alias("e")
+    ).select("id", "n_ref", "n_hyp", "e.*")  # a pair without tokens keeps its id
+    counted = grams.groupBy("id", "n_ref", "n_hyp", "n", "g").agg(
         F.count_if(F.col("is_ref") == 1).alias("r"), F.count_if(F.col("is_ref") == 0).alias("h")
     )
     clipped = [F.sum(F.when(F.col("n") == k, F.least("r", "h")).otherwise(0)).alias(f"m{k}") for k in range(1, 5)]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagescale import constants as C
 from pagescale.functions import geometry as G
 from pagescale.functions import text as X
-from pagescale.session import spread, table
+from pagescale.session import spread_few, table
 
 BLOCK = 400
 # Gate parameters used to derive measurements.
@@ -18,7 +18,7 @@ GATE_ALPHA = 5.534691214157865
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
+    return spread_few(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def ocr_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
