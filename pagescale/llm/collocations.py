@@ -26,6 +26,7 @@ HELD_KEYS = 1 << 18
 BUCKET_WORDS = 1 << 19
 MARK_BITS = 27
 HOT_SHARE = 1000
+SLICES = (4096, 64, 1)
 UNKNOWN = "und"
 BREAK = b"."
 # fixed values: A-Z in lower case, the piece ends . , ; : ! ? and line ends as one sign, tabs as spaces
@@ -246,13 +247,13 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         known = known.unionByName(one)
     hot = known.where(F.col("a") * HOT_SHARE >= total)  # at most HOT_SHARE phrases of each length
     ranked = scored(uncovered(grams, longest, percent), known, hot)
-    ahead = ranked.withColumn("_at", F.rank().over(Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc()))).where(F.col("_at") <= top).drop("_at")
-    ahead = cut_lineage(ahead.withColumn("phrase_no", F.monotonically_increasing_id()), "phrases-ahead")
-    spelled = ahead.select("lang", "phrase_no", F.posexplode("ids").alias("pos", "id")).join(words.select("lang", "id", "word"), ["lang", "id"])
-    spelled = spelled.groupBy("phrase_no").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"])).alias("phrase"))
-    order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    first = ahead.join(spelled, "phrase_no").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    spelled = ranked.select("*", F.posexplode("ids").alias("pos", "id")).join(words.select("lang", "id", "word"), ["lang", "id"])
+    phrase = F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]))
+    first = spelled.groupBy("lang", "ids", "a", "l", "r", "score").agg(phrase.alias("phrase"))
+    for slices in SLICES:  # a language's phrases are ranked in slices of them, so that no task has them all
+        part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(slices))).orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
+        first = first.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= top)
     out = cut_lineage(first.join(words.groupBy("lang").agg(F.sum("n").alias("n")), "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"), "phrases-top")
-    for step in (words, ahead, *sizes):
+    for step in (words, *sizes):
         discard(step)
     return out
