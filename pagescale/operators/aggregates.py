@@ -166,7 +166,11 @@ def group_scatter(df: DataFrame, key: str, x: str, y: str) -> tuple[DataFrame, D
 
 
 def cap_per_group(df: DataFrame, keys: Sequence[str], n: int, order: Sequence[str]) -> DataFrame:
-    """The first ``n`` rows of each group; 0 keeps all. The rank limit is applied before the rows move."""
+    """The first ``n`` rows of each group; 0 keeps all.
+
+    Spark applies the rank limit before the rows move where ``n`` is at most its window group limit (1,000 unless set).
+    A larger ``n`` ranks every group where it is sorted.
+    """
     if n <= 0:
         return df
     return df.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_rn") <= n).drop("_rn")

@@ -13,7 +13,6 @@ from pagescale import constants as C
 from pagescale.functions import geometry as G
 from pagescale.functions import text as X
 from pagescale.operators.filters import keep_blocks
-from pagescale.schema import assert_columns
 from pagescale.session import cut_lineage, discard, meet
 
 CANVAS_BLOCK = 64
