@@ -17,6 +17,9 @@ from pagescale.streaming import incremental as I
 REC = T.StructType([T.StructField("id", T.StringType()), T.StructField("n", T.IntegerType())])
 
 
+SF = "/root/testdata/sf0.001"
+
+
 def test_records_of_both_roots(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps([{"id": "x", "n": 1}, 3, "s", None, {"id": "y"}], indent=1))
     (tmp_path / "b.json").write_text(json.dumps({"k1": {"id": "z", "n": 5}, "k2": [1]}))
@@ -120,3 +123,28 @@ def test_sql_functions(spark):
     assert row.e == pytest.approx(1 / 3) and row.m == "a b" and row.r == 14 and (row.t.cols, row.t.rows) == (2, 1)
     assert row.s == 273 and row.b == 273 + 10 * 21 and row.ss == ["A.", "B?", "c"] and row.f == "q" and row.h and row.p == "a" and row.st == "y.tar"
     assert row.d == pytest.approx(2 * 14.0533 * 26 / (14.0533 * 32)) and row.v == 64.0
+
+
+def test_tables_with_splits_enough_are_not_shuffled(spark, tmp_path):
+    from pagescale.plans import fixtures as fx
+
+    one = spark.read.parquet(f"{SF}/documents.parquet")
+    assert "Exchange" in fx.documents(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    one.repartition(32).write.parquet(str(tmp_path / "documents.parquet"))
+    many = fx.documents(spark, str(tmp_path))
+    assert "Exchange" not in many._jdf.queryExecution().executedPlan().toString() and many.count() == one.count()
+
+
+def test_steps_are_deleted_and_other_tables_stay(spark, tmp_path):
+    import os
+
+    from pagescale.session import cut_lineage, discard, meet
+
+    step = cut_lineage(spark.range(5).withColumnRenamed("id", "k"))
+    path = step.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+    assert os.path.isdir(path) and meet(spark.range(3).withColumnRenamed("id", "k"), step, ["k"]).count() == 3
+    discard(step)
+    assert not os.path.exists(path)
+    spark.range(2).write.parquet(str(tmp_path / "own"))
+    discard(spark.read.parquet(str(tmp_path / "own")))
+    assert spark.read.parquet(str(tmp_path / "own")).count() == 2
