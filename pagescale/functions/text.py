@@ -1,13 +1,16 @@
-"""Column functions on text: segmentation, cleaning and identifiers. All are built-in expressions, no Python per row."""
+"""Column functions on text: segmentation, cleaning and identifiers. All are built-in expressions but the edit distance, which Arrow batches carry to Python."""
 
 from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagescale import constants as C
+from pagescale.functions.edits import distances
 
 STRINGS = "array<string>"
 
@@ -77,13 +80,9 @@ def _without_groups(pattern: str) -> str:
 
 def marked_sections(text: Column, marker: str) -> Column:
     """``array<struct<mark, body>>`` for each match of ``marker`` (one capture group); body runs to the next match."""
-    flags, body = ("(?i)", marker[4:]) if marker.startswith("(?i)") else ("", marker)
-    tail = r"((?s:.*?))(?=" + _without_groups(body) + r"|\z)"
-    pattern = F.lit(f"(?m){flags}{body}{tail}")
-    return F.arrays_zip(
-        F.regexp_extract_all(text, pattern, F.lit(1)).alias("mark"),
-        F.regexp_extract_all(text, pattern, F.lit(2)).alias("body"),
-    )
+    found = F.lit(f"(?m){marker}")
+    bodies = F.split(text, found, -1)
+    return F.arrays_zip(F.regexp_extract_all(text, found, F.lit(1)).alias("mark"), F.slice(bodies, 2, F.greatest(F.size(bodies) - 1, F.lit(0))).alias("body"))
 
 
 def split_chapters(text: Column, marker: str = C.CHAPTER_MARKER) -> Column:
@@ -180,13 +179,22 @@ def chunk_by_chars(sentences: Column, n: Column | int) -> Column:
     return _group_items(sentences, lambda s: F.length(s), n, eager=False)
 
 
-def chunk_by_words(sentences: Column, n: Column | int) -> Column:
+def word_count(col: Column) -> Column:
+    return F.size(words(col))
+
+
+def spaced_words(col: Column) -> Column:
+    """Words of a text without other white space than single spaces inside, as `normalize_ws` leaves it."""
+    return F.when(col == "", 0).otherwise(F.length(col) - F.length(F.replace(col, F.lit(" "), F.lit(""))) + 1)
+
+
+def chunk_by_words(sentences: Column, n: Column | int, count=word_count) -> Column:
     """``n`` blocks of whole sentences with nearly equal word counts."""
-    return _group_items(sentences, lambda s: F.size(words(s)), n, eager=True)
+    return _group_items(sentences, count, n, eager=True)
 
 
-def word_total(sentences: Column) -> Column:
-    return F.aggregate(sentences, F.lit(0), lambda a, s: a + F.size(words(s)))
+def word_total(sentences: Column, count=word_count) -> Column:
+    return F.aggregate(sentences, F.lit(0), lambda a, s: a + count(s))
 
 
 def equal_word_segments(col: Column, k: int = 5) -> Column:
@@ -360,17 +368,18 @@ def tokens(col: Column, cjk: Column) -> Column:
     return F.coalesce(words(spaced), F.array().cast(STRINGS))
 
 
-def edit_steps(a: Column, b: Column) -> Column:
-    """Levenshtein distance by widening bands: similar pairs cost their distance, not the product of the lengths.
+@F.pandas_udf(T.IntegerType())
+def _edit_steps(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = pd.Series(pd.NA, index=a.index, dtype="Int32")
+    known = a.notna() & b.notna()
+    out[known] = distances(a[known].tolist(), b[known].tolist())
+    return out
 
-    Each banded attempt returns -1 when the distance exceeds the band; the last one is unbounded, so the result is exact.
-    """
-    longest = F.greatest(F.length(a), F.length(b))
-    narrow = (longest / 16).cast("int") + 1
-    wide = (longest / 4).cast("int") + 1
-    # `let` keeps a banded attempt from being evaluated again by the test of its result.
-    banded = lambda k: let(F.call_function("levenshtein", a, b, k), lambda v: F.when(v >= 0, v))
-    return F.coalesce(banded(narrow), banded(wide), F.levenshtein(a, b))
+
+def edit_steps(a: Column, b: Column) -> Column:
+    """Levenshtein distance; 0 for equal texts without a look at them, NULL where one is NULL."""
+    differ = a != b
+    return F.when(a == b, F.lit(0)).otherwise(_edit_steps(F.when(differ, a), F.when(differ, b)))
 
 
 def edit_distance(a: Column, b: Column) -> Column:

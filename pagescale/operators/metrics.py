@@ -1,14 +1,19 @@
-"""Text-pair metrics. Pairs move once, by id; all grams and tokens of a pair are then counted where the pair is."""
+"""Text-pair metrics. Pairs move once, by id; all grams and tokens of a pair are counted where the pair is."""
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagescale.functions import text as X
 from pagescale.schema import assert_columns
-from pagescale.session import spread
+from pagescale.session import cut_lineage, spread
 
 TINY = 1e-300
 
@@ -27,14 +32,51 @@ def orient(df: DataFrame, swap_roles: bool) -> DataFrame:
     return df.withColumns({"prediction": F.col("ground_truth"), "ground_truth": F.col("prediction")})
 
 
-def bleu4(tokenized: DataFrame, placed: bool = False) -> DataFrame:
-    """Sentence BLEU with one reference, uniform weights 1-4 and brevity penalty, per id.
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _clipped_matches(ref: pd.Series, hyp: pd.Series) -> pd.Series:
+    """For runs of 1 to 4 tokens: how many of ``hyp`` are found in ``ref``, each run at most as often as it stands there."""
+
+    def matches(r: list, h: list, n: int) -> int:
+        left = Counter(zip(*[r[i:] for i in range(n)]))
+        return sum(min(c, left[g]) for g, c in Counter(zip(*[h[i:] for i in range(n)])).items() if g in left)
+
+    return pd.Series([[matches(r, h, n) for n in range(1, 5)] for r, h in zip(map(list, ref), map(list, hyp))])
+
+
+def _bleu_score(m: Sequence[Column], n_ref: Column, n_hyp: Column) -> Column:
+    log_p = sum(F.ln(F.greatest(c / F.greatest(n_hyp - k, F.lit(1)), F.lit(TINY))) for k, c in enumerate(m))
+    brevity = F.when(n_hyp > n_ref, F.lit(1.0)).otherwise(F.exp(1 - n_ref / n_hyp))
+    return F.when((n_hyp == 0) | (m[0] == 0), F.lit(0.0)).otherwise(brevity * F.exp(log_p / 4))
+
+
+def with_bleu4(tokenized: DataFrame) -> DataFrame:
+    """Adds ``bleu`` of every row by itself. Row-local."""
+    m = [F.get("_m", F.lit(k)) for k in range(4)]
+    return tokenized.withColumn("_m", _clipped_matches("ref", "hyp")).withColumn("bleu", _bleu_score(m, F.size("ref"), F.size("hyp"))).drop("_m")
 
-    ``placed`` says that the rows are already partitioned by id; the gram counts then need no exchange at all.
 
-    No unigram match gives 0; a higher order without a match contributes the smallest positive number.
+def _by_id(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(rows whose id stands once, rows of ids that repeat or None). Only ids are counted and moved."""
+    again = cut_lineage(rows.groupBy(F.col("id").alias("_again")).agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select("_again"), "again")
+    if again.isEmpty():
+        return rows, None
+    met = F.col("id").eqNullSafe(F.col("_again"))
+    return rows.join(again, met, "left_anti"), rows.join(again, met, "left_semi")
+
+
+def bleu4(tokenized: DataFrame) -> DataFrame:
+    """Sentence BLEU with one reference, uniform weights 1-4 and brevity penalty, per id.
+
+    No unigram match gives 0; a higher order without a match contributes the smallest positive number. A row whose id
+    stands once is scored where it is; the grams of rows with one id are counted together.
     """
-    rows = tokenized.select("id", "ref", "hyp")
+    once, more = _by_id(tokenized.select("id", "ref", "hyp"))
+    out = with_bleu4(once).select("id", "bleu")
+    return out if more is None else out.unionByName(_pooled_bleu(more))
+
+
+def _pooled_bleu(rows: DataFrame) -> DataFrame:
+    """BLEU from the grams of all rows of an id and of equal lengths."""
     # Grams are cut from the arrays; tokens hold no white space, so a joined gram stands for its tokens.
     def side(col: str, flag: int) -> list[Column]:
         runs = lambda n: F.slice(col, F.lit(1), F.greatest(F.size(col) - (n - 1), F.lit(0)))
@@ -42,7 +84,7 @@ def bleu4(tokenized: DataFrame, placed: bool = False) -> DataFrame:
         cut = lambda n: lambda t, i: F.struct(F.lit(flag).alias("is_ref"), F.lit(n).alias("n"), (t if n == 1 else gram(n, i)).alias("g"))
         return [F.transform(runs(n), cut(n)) for n in range(1, 5)]
 
-    grams = (rows if placed else spread(rows, "id")).select(
+    grams = spread(rows, "id").select(
         "id", F.size("ref").alias("n_ref"), F.size("hyp").alias("n_hyp"), F.explode_outer(F.concat(*side("ref", 1), *side("hyp", 0))).alias("e")
     ).select("id", "n_ref", "n_hyp", "e.*")  # a pair without tokens keeps its id
     counted = grams.groupBy("id", "n_ref", "n_hyp", "n", "g").agg(
@@ -50,12 +92,7 @@ def bleu4(tokenized: DataFrame, placed: bool = False) -> DataFrame:
     )
     clipped = [F.sum(F.when(F.col("n") == k, F.least("r", "h")).otherwise(0)).alias(f"m{k}") for k in range(1, 5)]
     per_id = counted.groupBy("id", "n_ref", "n_hyp").agg(*clipped)
-    log_p = sum(
-        F.ln(F.greatest(F.col(f"m{k}") / F.greatest(F.col("n_hyp") - (k - 1), F.lit(1)), F.lit(TINY))) for k in range(1, 5)
-    )
-    brevity = F.when(F.col("n_hyp") > F.col("n_ref"), F.lit(1.0)).otherwise(F.exp(1 - F.col("n_ref") / F.col("n_hyp")))
-    score = F.when((F.col("n_hyp") == 0) | (F.col("m1") == 0), F.lit(0.0)).otherwise(brevity * F.exp(log_p / 4))
-    return per_id.select("id", score.alias("bleu"))
+    return per_id.select("id", _bleu_score([F.col(f"m{k}") for k in range(1, 5)], F.col("n_ref"), F.col("n_hyp")).alias("bleu"))
 
 
 def set_scores(tokenized: DataFrame, alpha: float = 0.5) -> DataFrame:
@@ -107,15 +144,17 @@ def score_pairs(pairs: DataFrame, swap_roles: bool = False, with_bleu: bool = Tr
     if "text_len" not in base.columns:
         base = base.withColumn("text_len", F.length("ground_truth"))
     chars = F.length("ground_truth")
-    rows = with_edit_dist(set_scores(base)).select(
-        "id", "f_measure", "precision", "recall", "edit_dist",
+    rows = lambda df, *more: with_edit_dist(set_scores(df)).select(
+        "id", *more, "f_measure", "precision", "recall", "edit_dist",
         F.coalesce("text_token_len", chars).alias("text_token_len"), F.coalesce("text_len", chars).alias("text_len"),
     )
     if not with_bleu:
-        return rows
-    return rows.join(bleu4(base, placed=True), "id").select(
-        "id", "bleu", "f_measure", "precision", "recall", "edit_dist", "text_token_len", "text_len"
-    )
+        return rows(base)
+    once, more = _by_id(base.where(F.col("id").isNotNull()))
+    scored = rows(with_bleu4(once), "bleu")
+    if more is None:
+        return scored
+    return scored.unionByName(rows(more).join(_pooled_bleu(more), "id").select(scored.columns))
 
 
 def mean_metrics(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
