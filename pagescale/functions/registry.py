@@ -106,24 +106,30 @@ def register_functions(spark: SparkSession) -> list[str]:
     return list(SQL_FUNCTIONS)
 
 
-# name -> (arguments, columns, query): segmenters that give a row for each part, called with LATERAL
+def let_of(value: str, name: str, body: str) -> str:
+    """A SQL value bound to a name for use in ``body``."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+SENTENCES = f"filter(transform(split(trim({replaced('t', C.SPACES, ' ')}), {quoted(C.SENTENCE_END)}), s -> {strip_of('s')}), s -> s <> '')"
+BLOCKS = let_of(
+    f"filter(split(t, {quoted(C.SPACES)}), x -> x <> '')", "w",
+    "transform(sequence(0, k - 1), i -> array_join(slice(w, i * CAST(size(w) div k AS INT) + least(i, CAST(size(w) % k AS INT)) + 1, "
+    "CAST(size(w) div k AS INT) + CASE WHEN i < size(w) % k THEN 1 ELSE 0 END), ' '))",
+)
+FOUND = "concat('(?m)', marker)"
+CHAPTERS = (
+    f"filter(transform(arrays_zip(regexp_extract_all(t, {FOUND}, 1), {let_of(f'split(t, {FOUND})', 'p', 'slice(p, 2, greatest(size(p) - 1, 0))')}), "
+    f"x -> named_struct('mark', trim(x['0']), 'body', {strip_of(chr(120) + '[' + chr(39) + '1' + chr(39) + ']')})), x -> x.body <> '')"
+)
+# name -> (arguments, columns, query): segmenters that give a row for each part, called with LATERAL. A query is one generator
+# over built-in functions: Spark then cuts the rows of the caller where they are and joins nothing.
 TABLE_FUNCTIONS = {
-    "sentence_table": (
-        "t STRING", "pos INT, part STRING",
-        "SELECT pos, part FROM (SELECT posexplode(a) AS (pos, part) FROM (SELECT split_sentences(normalize_ws(t)) AS a))",
-    ),
-    "block_table": (
-        "t STRING, k INT", "pos INT, part STRING",
-        "SELECT pos, part FROM (SELECT posexplode(transform(sequence(0, k - 1), i -> array_join(slice(w, i * div0 + least(i, extra) + 1, "
-        "div0 + CASE WHEN i < extra THEN 1 ELSE 0 END), ' '))) AS (pos, part) FROM (SELECT w, CAST(size(w) div k AS INT) AS div0, CAST(size(w) % k AS INT) AS extra "
-        f"FROM (SELECT filter(split(t, {quoted(C.SPACES)}), x -> x <> '') AS w)))",
-    ),
+    "sentence_table": ("t STRING", "pos INT, part STRING", f"SELECT pos, part FROM posexplode({SENTENCES}) AS e(pos, part)"),
+    "block_table": ("t STRING, k INT", "pos INT, part STRING", f"SELECT pos, part FROM posexplode({BLOCKS}) AS e(pos, part)"),
     "chapter_table": (
         "t STRING, marker STRING", "pos INT, chapter_id STRING, body STRING",
-        "SELECT pos, s.mark AS chapter_id, s.body FROM (SELECT posexplode(filter(transform(arrays_zip("
-        "regexp_extract_all(t, concat('(?m)', marker, '((?s:.*?))(?=', regexp_replace(marker, '\\\\((?![?])', '(?:'), '|\\\\z)'), 1), "
-        "regexp_extract_all(t, concat('(?m)', marker, '((?s:.*?))(?=', regexp_replace(marker, '\\\\((?![?])', '(?:'), '|\\\\z)'), 2)), "
-        f"x -> named_struct('mark', trim(x['0']), 'body', {strip_of(chr(120) + '[' + chr(39) + '1' + chr(39) + ']')})), x -> x.body <> '')) AS (pos, s))",
+        f"SELECT pos, s.mark AS chapter_id, s.body FROM posexplode({CHAPTERS}) AS e(pos, s)",
     ),
 }
 
