@@ -31,20 +31,24 @@ def _pages_of(bodies: Column, ref_index: int, needs_more_than: int, chunk_num: i
     """All pages of a book in order: bodies -> virtual chapters -> pages, empty pieces skipped."""
     as_sentences = F.transform(bodies, lambda b: X.split_sentences(X.normalize_ws(b)))
 
+    count = X.spaced_words  # sentences and what is joined from them hold single spaces only
+
     def page_texts(chapter_list: Column) -> Column:
         pick = F.when(F.size(chapter_list) > needs_more_than, F.lit(ref_index)).otherwise(F.lit(0))
-        ref = F.greatest(X.word_total(F.coalesce(F.get(chapter_list, pick), F.array().cast("array<string>"))), F.lit(1))
+        ref = F.greatest(X.word_total(F.coalesce(F.get(chapter_list, pick), F.array().cast("array<string>")), count), F.lit(1))
 
-        def of_chapter(sentences: Column) -> Column:
-            virtual = F.greatest(F.lit(1), F.floor(X.word_total(sentences) / ref).cast("int"))
-            pieces = F.filter(X.chunk_by_words(sentences, virtual), lambda t: t != "")
+        def of_chapter(sentences: Column, ref: Column) -> Column:
+            virtual = F.greatest(F.lit(1), F.floor(X.word_total(sentences, count) / ref).cast("int"))
+            pieces = X.let(virtual, lambda n: F.filter(X.chunk_by_words(sentences, n, count), lambda t: t != ""))
             if chunk_num <= 1:
                 return pieces
             return F.flatten(
-                F.transform(pieces, lambda t: F.filter(X.chunk_by_words(X.split_sentences(t), chunk_num), lambda p: p != ""))
+                F.transform(pieces, lambda t: F.filter(X.chunk_by_words(X.split_sentences(t), chunk_num, count), lambda p: p != ""))
             )
 
-        return F.flatten(F.transform(F.filter(chapter_list, lambda s: F.size(s) > 0), of_chapter))
+        # the words of the reference chapter are counted once a book, those of a chapter once for its number of pieces
+        filled = F.filter(chapter_list, lambda s: F.size(s) > 0)
+        return X.let(ref, lambda r: F.flatten(F.transform(filled, lambda s: of_chapter(s, r))))
 
     return X.let(as_sentences, page_texts)
 
