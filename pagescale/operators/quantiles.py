@@ -13,6 +13,7 @@ from pagescale.functions.text import let
 from pagescale.session import cut_lineage, discard
 
 DIGIT = 22
+FEW = 250_000
 SLICE_DIGITS = 6
 
 
@@ -22,21 +23,48 @@ def order_key(value: Column) -> Column:
     Both zeros are 0 and NaN is above infinity. Powers of two are exact, so every step is.
     """
     size = F.abs(value)
-    near = F.greatest(F.least(F.floor(F.log2(size)), F.lit(1023)), F.lit(-1022))
-    two = lambda e: F.pow(F.lit(2.0), e.cast("double"))
+    return _order_bits(value, size, let(_near_power(size), lambda e: _power(size, e)))
+
+
+def _two(e: Column) -> Column:
+    return F.pow(F.lit(2.0), e.cast("double"))
+
+
+def _near_power(size: Column) -> Column:
+    return F.greatest(F.least(F.floor(F.log2(size)), F.lit(1023)), F.lit(-1022))
+
+
+def _power(size: Column, e: Column) -> Column:
     # the logarithm may be off by one next to a power of two
-    power = let(near, lambda e: F.when(two(e) > size, e - 1).when((e < 1023) & (two(e + 1) <= size), e + 1).otherwise(e))
-    normal = let(power, lambda e: F.shiftleft((e + 1023).cast("long"), 52) + ((size / two(e) - 1.0) * float(2**52)).cast("long"))
+    return F.when(_two(e) > size, e - 1).when((e < 1023) & (_two(e + 1) <= size), e + 1).otherwise(e)
+
+
+def _order_bits(value: Column, size: Column, power: Column) -> Column:
+    normal = let(power, lambda e: F.shiftleft((e + 1023).cast("long"), 52) + ((size / _two(e) - 1.0) * float(2**52)).cast("long"))
+    return _signed(value, size, normal)
+
+
+def _signed(value: Column, size: Column, normal: Column) -> Column:
     tiny = (size * float(2.0**537) * float(2.0**537)).cast("long")
     infinite = 0x7FF << 52
     bits = F.when(F.isnan(value), infinite + 1).when(size == float("inf"), infinite).when(size < 2.0**-1022, tiny).otherwise(normal)
     return F.when(value < 0, -bits).otherwise(bits)
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], digit: int = DIGIT) -> DataFrame:
+def _keyed(rows: DataFrame) -> DataFrame:
+    """Adds ``_key``, the `order_key` of ``_v``, step by step: each step is a column of its own, which compiles as a whole."""
+    size, e = F.col("_size"), F.col("_e")
+    steps = rows.withColumn("_size", F.abs("_v")).withColumn("_e", _near_power(size)).withColumn("_e", _power(size, e))
+    steps = steps.withColumn("_two", _two(e))
+    normal = F.shiftleft((e + 1023).cast("long"), 52) + ((size / F.col("_two") - 1.0) * float(2**52)).cast("long")
+    return steps.withColumn("_key", _signed(F.col("_v"), size, normal)).drop("_size", "_e", "_two")
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], digit: int = DIGIT, few: int = FEW) -> DataFrame:
     """One row per group with ``n`` and one exact quantile column per entry of ``probs``; NULL values are ignored.
 
-    Radix selection, the same for groups of any size. Values become 64-bit numbers in their order. A pass counts, for
+    Groups of at most ``few`` rows are sorted, each in one task: their rows move once, narrow. Larger ones go by radix
+    selection, the same for groups of any size. Values become 64-bit numbers in their order. A pass counts, for
     every bucket of the next ``digit`` bits, its rows with the least and greatest value; that folds in every task, so no
     row moves. A wanted rank lies in one bucket: it is found there if it is the first or last or all values are equal,
     else the next pass counts the rows of that bucket alone. Buckets of a group are at most 2**digit. Rows meet the open
@@ -49,9 +77,33 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     frame = df if names else df.withColumn("_all", F.lit(0))
     rows = frame.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     rows = cut_lineage(rows, "ranks-rows")
-    keyed = rows.withColumn("_key", order_key(F.col("_v")))  # from the written column, not from what made it
     at = lambda p: (F.col("n") - 1) * F.lit(float(p))
     ranks = [f(at(p)).cast("long") for p in probs.values() for f in (F.floor, F.ceil)]
+    large = rows.groupBy(*keys).agg(F.count("*").alias("_c")).where(F.col("_c") > few).drop("_c")
+    large, met = _aliased(cut_lineage(large, "large-groups"), keys)
+    if large.isEmpty():
+        base = _by_sorting(rows, keys, ranks)
+    else:
+        base = _by_sorting(rows.join(large, met, "left_anti"), keys, ranks).unionByName(_by_radix(rows.join(large, met, "left_semi"), keys, ranks, digit))
+    base = cut_lineage(base, "ranks-found")
+    discard(rows)
+    lo, hi = lambda i: F.col(f"_v{2 * i}"), lambda i: F.col(f"_v{2 * i + 1}")
+    between = lambda i, p: lo(i) + (hi(i) - lo(i)) * (at(p) - F.floor(at(p)))
+    # equal ends are the answer; the difference of two infinities is not a number
+    return base.select(*names, "n", *[F.when(lo(i) == hi(i), lo(i)).otherwise(between(i, p)).alias(c) for i, (c, p) in enumerate(probs.items())])
+
+
+def _by_sorting(rows: DataFrame, keys: list[str], ranks: list[Column]) -> DataFrame:
+    """(keys, n, _v0, _v1, …): the values at the ranks of every group."""
+    mine = W.partitionBy(*keys)
+    placed = rows.withColumn("_r", F.row_number().over(mine.orderBy("_v")).cast("long") - 1).withColumn("n", F.count("*").over(mine))
+    wanted = placed.where(functools.reduce(lambda a, b: a | b, [F.col("_r") == rank for rank in ranks]))
+    return wanted.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("_r") == rank, F.col("_v"))).alias(f"_v{i}") for i, rank in enumerate(ranks)])
+
+
+def _by_radix(rows: DataFrame, keys: list[str], ranks: list[Column], digit: int) -> DataFrame:
+    """(keys, n, _v0, _v1, …): the values at the ranks of every group, by counts of ever smaller buckets."""
+    keyed = _keyed(rows)
     shift = max(0, 64 - digit)
     counted = _buckets(keyed, keys, shift).withColumn("n", F.sum("_c").over(W.partitionBy(*keys)))
     first = [x for i, rank in enumerate(ranks) for x in _found(i, rank)]
@@ -68,14 +120,10 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
         done = step.where("_v0 IS NOT NULL").select(*keys, "_i", "_v0")
         later = done if later is None else later.unionByName(done)
         open_ = step.where("_v0 IS NULL").select(*keys, "_i", F.col("_b0").alias("_place"), F.col("_r0").alias("_rank"))
-    discard(rows)
     if later is not None:
         more, met = _aliased(later.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, F.col("_v0"))).alias(f"_w{i}") for i in range(len(ranks))]), keys)
         base = base.join(more, met, "left").withColumns({f"_v{i}": F.coalesce(f"_v{i}", f"_w{i}") for i in range(len(ranks))})
-    lo, hi = lambda i: F.col(f"_v{2 * i}"), lambda i: F.col(f"_v{2 * i + 1}")
-    between = lambda i, p: lo(i) + (hi(i) - lo(i)) * (at(p) - F.floor(at(p)))
-    # equal ends are the answer; the difference of two infinities is not a number
-    return base.select(*names, "n", *[F.when(lo(i) == hi(i), lo(i)).otherwise(between(i, p)).alias(c) for i, (c, p) in enumerate(probs.items())])
+    return base.select(*keys, "n", *[f"_v{i}" for i in range(len(ranks))])
 
 
 def _buckets(rows: DataFrame, group: list[str], shift: int) -> DataFrame:
