@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagescale import constants as C
@@ -82,12 +83,26 @@ def fit_hinge(logged: DataFrame, keys: Sequence[str], knots: Sequence[float] = (
     keys = list(keys)
     used = logged.where(F.col("x").isNotNull())
     cuts = exact_quantiles(used, keys, "x", {f"q{i}": q for i, q in enumerate(knots)})
-    grid = cuts.select(*keys, F.posexplode(F.array(*[F.col(f"q{i}") for i in range(len(knots))])).alias("knot", "xb"))
-    rows = meet(used.select(*keys, "x", "y"), grid, keys).withColumn("h", F.greatest(F.col("x") - F.col("xb"), F.lit(0.0)))
-    s = rows.groupBy(*keys, "knot", "xb").agg(
-        F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("h").alias("mh"), F.avg("y").alias("my"),
-        F.var_pop("x").alias("xx"), F.var_pop("h").alias("hh"), F.var_pop("y").alias("yy"),
-        F.covar_pop("x", "h").alias("xh"), F.covar_pop("x", "y").alias("xy"), F.covar_pop("h", "y").alias("hy"),
+    # A row is read once: it counts in its segment between knots, and the few segments are pooled for every knot.
+    grid = cut_lineage(cuts.select(*keys, F.array(*[F.col(f"q{i}") for i in range(len(knots))]).alias("_xb")), "knots")
+    place = sum((F.col("x") > F.get("_xb", F.lit(i))).cast("int") for i in range(len(knots)))
+    both = F.col("y").isNotNull()
+    segments = used.select(*keys, "x", "y").join(grid, keys).groupBy(*keys, place.alias("seg")).agg(
+        F.count("*").alias("c"), F.avg("x").alias("ax"), F.var_pop("x").alias("vx"), F.count("y").alias("cy"), F.avg(F.when(both, F.col("x"))).alias("axy"),
+        F.avg("y").alias("ay"), F.var_pop("y").alias("vy"), F.covar_pop("x", "y").alias("cxy"),
+    )
+    parts = segments.join(grid, keys).select(*keys, *[c for c in segments.columns if c not in keys], F.posexplode("_xb").alias("knot", "xb"))
+    over = lambda value: F.when(F.col("seg") > F.col("knot"), value).otherwise(0.0)
+    parts = parts.withColumns({"ah": over(F.col("ax") - F.col("xb")), "ahy": over(F.col("axy") - F.col("xb")), "vh": over(F.col("vx")), "chy": over(F.col("cxy"))})
+    mine = W.partitionBy(*keys, "knot")
+    mean = lambda n, m: F.sum(F.col(n) * F.col(m)).over(mine) / F.nullif(F.sum(n).over(mine), F.lit(0))
+    off = lambda m: F.col(m) - F.col(f"_{m}")
+    parts = parts.withColumns({f"_{m}": mean("c", m) for m in ("ax", "ah")} | {f"_{m}": mean("cy", m) for m in ("axy", "ahy", "ay")})
+    pooled = lambda n, own, a, b: F.sum(F.col(n) * (own + off(a) * off(b))) / F.nullif(F.sum(n), F.lit(0))
+    s = parts.groupBy(*keys, "knot", "xb").agg(
+        F.sum("c").alias("n"), F.max("_ax").alias("mx"), F.max("_ah").alias("mh"), F.max("_ay").alias("my"),
+        pooled("c", F.col("vx"), "ax", "ax").alias("xx"), pooled("c", F.col("vh"), "ah", "ah").alias("hh"), pooled("cy", F.col("vy"), "ay", "ay").alias("yy"),
+        pooled("c", F.col("vh"), "ax", "ah").alias("xh"), pooled("cy", F.col("cxy"), "axy", "ay").alias("xy"), pooled("cy", F.col("chy"), "ahy", "ay").alias("hy"),
     )
     det = F.col("xx") * F.col("hh") - F.col("xh") * F.col("xh")
     solvable = det > FLAT * F.col("xx") * F.col("hh")

@@ -47,14 +47,16 @@ f AS (SELECT *, (b1*xy+turn*hy)/y2 AS r2 FROM b)"""
     f"""WITH {HINGE} SELECT resolution, round(xb+1e-9, 5) AS xb, round(b1+1e-9, 4) AS b1, round(b1+turn+1e-9, 4) AS b2, round(r2+1e-9, 5) AS r2, n AS n_points FROM (SELECT *, row_number() OVER (PARTITION BY resolution ORDER BY r2 DESC, knot) AS rn FROM f) WHERE rn = 1""",
 )
 def hinge(spark, d):
-    out = O.fit_hinge(O.log_points(fx.analysis_points(spark, d)), ["resolution"])
+    pts = cut_lineage(fx.analysis_points(spark, d).select("resolution", "text_len", "edit_distance"), "points")
+    out = O.fit_hinge(O.log_points(pts), ["resolution"])
     return out.select("resolution", r6("xb", 5).alias("xb"), r6("b1", 4).alias("b1"), r6("b2", 4).alias("b2"), r6("r2", 5).alias("r2"), "n_points")
 
 
 @query("fit4_trim_sparse")
 def trimmed(spark, d):
     """Log-log fits after the sparsest points of every group are dropped."""
-    logged = cut_lineage(O.log_points(fx.analysis_points(spark, d)).select("image_id", *C.GROUP_KEYS, "x", "y"), "logged")
+    pts = cut_lineage(fx.analysis_points(spark, d).select("image_id", *C.GROUP_KEYS, "text_len", "edit_distance"), "points")
+    logged = O.log_points(pts).select("image_id", *C.GROUP_KEYS, "x", "y")
     kept = trim_sparse(logged.where(F.col("x").isNotNull()), C.GROUP_KEYS, POINT_IDS)
     return O.line_fits(kept).select(*C.GROUP_KEYS, r6("b1", 5).alias("b1"), r6("r2", 5).alias("r2"), "n_points")
 
