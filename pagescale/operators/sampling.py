@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagescale import constants as C
 from pagescale.functions import text as X
 from pagescale.functions.text import let
-from pagescale.operators.quantiles import hash_rank
+from pagescale.operators.quantiles import SLICE_DIGITS, hash_rank
 
 ROUNDS = 4
 LARGEST = 1 << 62
@@ -212,12 +213,38 @@ def train_test_split(df: DataFrame, frac: float, seed: int, ids: list[str], excl
         raise ValueError("the test share lies in [0, 1)")
     flag = F.lit(False) if exclude is None else F.coalesce(exclude, F.lit(False))
     eligible = df.where(~flag)
-    size = eligible.agg(F.floor(F.count("*") * (1.0 - frac)).alias("_train"))
-    ranked = hash_rank(eligible, ids, seed, "_rank").join(F.broadcast(size))  # one row
-    marked = ranked.withColumn("split", F.when(F.col("_rank") < F.col("_train"), "train").otherwise("test")).drop("_rank", "_train")
+    marked = _first_by_hash(eligible, frac, seed, ids)
     return marked if exclude is None else marked.unionByName(df.where(flag).withColumn("split", F.lit("excluded")))
 
 
+def _first_by_hash(df: DataFrame, frac: float, seed: int, ids: list[str]) -> DataFrame:
+    """Adds ``split``, ``train`` for the first rows in the order of `hash_rank`.
+
+    Counts of slices of the hash find the one slice with the cut. Only its rows are sorted; the others know their side.
+    """
+    hashed = df.withColumn("_h", digest(seed, *ids))
+    counted = lambda rows, n: sorted(rows.groupBy(F.substring("_h", 1, n).alias("s")).agg(F.count("*").alias("n")).toLocalIterator())
+    slices = counted(hashed, SLICE_DIGITS // 2)  # at most 4,096 rows
+    left, at = math.floor(sum(n for _, n in slices) * (1.0 - frac)), None
+
+    def to_cut(found: list, left: int) -> tuple[str | None, int]:
+        for name, n in found:
+            if left < n:
+                return name, left
+            left -= n
+        return None, left
+
+    at, left = to_cut(slices, left)
+    if at is None:
+        return df.withColumn("split", F.lit("train"))
+    at, left = to_cut(counted(hashed.where(F.substring("_h", 1, len(at)) == at), SLICE_DIGITS), left)
+    part = F.substring("_h", 1, SLICE_DIGITS)
+    clear = hashed.where(part != at).withColumn("split", F.when(part < at, "train").otherwise("test"))
+    order = W.partitionBy(part).orderBy("_h", *ids)
+    cut = hashed.where(part == at).withColumn("split", F.when(F.row_number().over(order) <= left, "train").otherwise("test"))
+    return clear.unionByName(cut).drop("_h")
+
+
 def sample_frac_by(df: DataFrame, column: str, fractions: dict, seed: int, ids: list[str]) -> DataFrame:
     """A hash-drawn share of each group; groups without an entry are left out."""
     share = None

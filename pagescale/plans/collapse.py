@@ -29,7 +29,10 @@ post AS (SELECT *, 1/(1+exp(-z)) AS pi, 1/(1+exp(lo-hi)) AS r, greatest(hi, lo)+
 
 
 def _points(spark, d, mode="text", write=False):
-    pts = O.vgz_features(fx.analysis_points(spark, d), mode)
+    points = fx.analysis_points(spark, d)
+    if write:  # the filters of the features would repeat all that makes a point
+        points = cut_lineage(points.select(*POINT_IDS, "text_len", "edit_distance", "character_width", "character_height"), "points")
+    pts = O.vgz_features(points, mode)
     return cut_lineage(pts.select(*POINT_IDS, "text_len", "edit_distance", "logV", "logG", "vision_token_num"), "em") if write else pts
 
 
