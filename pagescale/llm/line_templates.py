@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagescale.session import cut_lineage, discard, spread
+from pagescale.session import cut_lineage, discard, release_shuffles, spread
 
 DEPTH = 3
 MIN_TOKENS = 5
@@ -57,7 +57,9 @@ def copies(lines: DataFrame, pairs: DataFrame) -> DataFrame:
     near = near.join(texts.select("_doc", F.col("_lines").alias("_a")), "_doc").join(texts.select(F.col("_doc").alias("_top"), F.col("_lines").alias("_b")), "_top")
     left = F.filter(F.transform(F.array_except("_a", "_b"), words_of), lambda x: F.size(x) >= MIN_TOKENS)
     own = lambda h: F.exists(F.transform(left, lambda x: runs(x, 2)), lambda x: 2 * F.size(F.array_intersect(x, h)) < F.size(x))
-    return near.where(~F.exists(F.array(runs(words_of(F.concat_ws("\n", "_b")), 2)), own)).select("_doc", "_top")
+    found = cut_lineage(near.where(~F.exists(F.array(runs(words_of(F.concat_ws("\n", "_b")), 2)), own)).select("_doc", "_top"), "line-copies")
+    discard(texts)
+    return found
 
 
 def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
@@ -68,17 +70,19 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     leaves = lines.select("_id", "_doc", F.transform(F.arrays_zip(F.col("_lines").alias("line"), parts.alias("tokens")), lambda x: F.struct(leaf_of(x["tokens"]).alias("leaf"), F.size(x["tokens"]).alias("n"), F.length(x["line"]).alias("chars"))).alias("_l"))
     leaves = leaves.withColumn("_size", F.aggregate("_l", F.lit(0), lambda s, x: s + x["n"]))
     keys = ["_id", "_doc", "_size"]
-    rows = leaves.select(*keys, F.posexplode("_l").alias("_no", "_x")).where((F.col("_x.n") >= MIN_TOKENS) & (F.col("_x.chars") >= MIN_CHARS)).select(*keys, "_no", F.col("_x.leaf").alias("leaf"))
+    # outer, though no list is empty: else Spark asks for the list's size first and parses every line once more for it
+    rows = leaves.select(*keys, F.posexplode_outer("_l").alias("_no", "_x")).where((F.col("_x.n") >= MIN_TOKENS) & (F.col("_x.chars") >= MIN_CHARS)).select(*keys, "_no", F.col("_x.leaf").alias("leaf"))
     rows = cut_lineage(rows, "line-leaves")
     # a leaf can only recur where it has different texts, so most lines are done here, without their words
     many = rows.groupBy("leaf").agg(F.min("_doc").alias("low"), F.max("_doc").alias("high")).where("low < high").select("leaf")
     asked = rows.join(many, "leaf").groupBy("_id", "_doc").agg(F.first("_size").alias("_size"), F.collect_set("_no").alias("_nos"))
     asked = asked.withColumnRenamed("_id", "_i").withColumnRenamed("_doc", "_d")
     found = lines.join(asked, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_doc") == F.col("_d")))
-    found = found.select(*keys, F.explode(F.transform("_nos", lambda i: F.struct(i.alias("no"), line_tokens(F.get(F.col("_lines"), i)).alias("tokens")))).alias("_x"))
+    found = found.select(*keys, F.explode_outer(F.transform("_nos", lambda i: F.struct(i.alias("no"), line_tokens(F.get(F.col("_lines"), i)).alias("tokens")))).alias("_x"))
     found = found.select(*keys, F.col("_x.no").alias("_no"), F.col("_x.tokens").alias("tokens"))
     found = cut_lineage(found.withColumn("leaf", leaf_of(F.col("tokens"))).withColumn("exact", F.xxhash64("tokens")), "line-words")
     discard(rows)
+    release_shuffles(docs.sparkSession)
     kinds = cut_lineage(found.groupBy("leaf", "exact").agg(F.count("*").alias("w"), F.first("tokens").alias("tokens")), "line-kinds")
     several = kinds.groupBy("leaf").agg(F.min("exact").alias("low"), F.max("exact").alias("high"), F.sum("w").alias("total")).where("low < high").select("leaf", "total")
     words = kinds.join(several, "leaf").select("leaf", "total", "w", F.posexplode("tokens").alias("pos", "token"))
@@ -93,10 +97,11 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     own = F.struct(F.xxhash64(F.lit("own"), "exact").alias("template"), F.when(long, 2).otherwise(F.lit(min_docs)).alias("least"))
     shared = F.struct(F.col("leaf").alias("template"), F.lit(min_docs).alias("least"))
     named = kinds.join(trees, "leaf", "left").select("leaf", "exact", F.when(fits & long, F.array(shared, own)).when(fits, F.array(shared)).otherwise(F.array(own)).alias("_t"))
-    marked = found.drop("tokens").join(named, ["leaf", "exact"]).drop("leaf", "exact").select(*keys, "_no", F.explode("_t").alias("_t")).select(*keys, "_no", "_t.*")
+    marked = found.drop("tokens").join(named, ["leaf", "exact"]).drop("leaf", "exact").select(*keys, "_no", F.explode_outer("_t").alias("_t")).select(*keys, "_no", "_t.*")
     marked = cut_lineage(marked, "line-templates")
     discard(found)
     discard(kinds)
+    release_shuffles(docs.sparkSession)
     top = F.min(F.when(F.col("_id").isNotNull(), F.struct("_id", "_doc", "_size")))
     held = marked.groupBy("template").agg(F.count_distinct("_doc").alias("docs"), F.max("least").alias("least"), top.alias("top")).where("docs >= least")
     held = held.select("template", F.col("top._id").alias("first"), F.col("top._doc").alias("_top"), F.col("top._size").alias("_top_size"))
@@ -105,6 +110,7 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     discard(marked)
     alike = F.least("_size", "_top_size") >= COPY * F.greatest("_size", "_top_size")
     others = others.join(copies(lines, others.where(alike).select("_doc", "_top").distinct()), ["_doc", "_top"], "left_anti")
+    release_shuffles(docs.sparkSession)
     enough = others.groupBy("template", "least").agg(F.count_distinct("_doc").alias("docs")).where("docs + 1 >= least").select("template")
     return others.join(enough, "template").groupBy("_id", "_doc").agg(F.collect_set("_no").alias("numbers"))
 

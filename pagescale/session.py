@@ -80,6 +80,11 @@ def discard_path(spark: SparkSession, path: str) -> None:
         found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished queries now; else they stay until the driver's heap next runs full."""
+    spark._jvm.System.gc()
+
+
 def scratch_names() -> set[str]:
     """The last parts of all scratch paths of this process."""
     return set(_SCRATCH)

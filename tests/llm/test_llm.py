@@ -3,6 +3,7 @@
 import hashlib
 import html
 import itertools
+import os
 import random
 import re
 import zlib
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pagescale.llm import crf, curriculum, html_pages, language, latent, line_templates, media, setsketch, toxicity, warc, weak_labels
 from pagescale.llm.components import components
+from pagescale.session import shared_dir
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -199,6 +201,25 @@ def test_long_lines_go_from_the_second_of_two_documents(spark):
     assert got[0].dropped == 0 and got[1].text == rows[1][1].replace(long + "\n", "") and got[1].dropped == 1
 
 
+def test_lines_are_parsed_once_and_copies_leave_nothing(spark, monkeypatch):
+    cut, plans, names = line_templates.cut_lineage, {}, []
+
+    def kept(df, name="step"):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        out = cut(df, name)
+        names.append((name, out.inputFiles()[0].rsplit("/", 2)[1]))
+        return out
+
+    monkeypatch.setattr(line_templates, "cut_lineage", kept)
+    same = "the very same line of nine words in it"
+    rows = [(i, f"{same}\n" + "\n".join(f"own{i} words{j} of the text a{i} b{j} c d e" for j in range(6)), "s") for i in range(4)]
+    got = {r.doc_id: r.dropped for r in line_templates.drop_recurring(made(spark, rows)).collect()}
+    assert got[0] == 0 and all(got[i] >= 1 for i in (1, 2, 3))
+    assert plans["line-leaves"].count("regexp_replace") == 1  # a filter on the list's size would parse a second time
+    left = os.listdir(shared_dir(spark))
+    assert not [n for name, n in names if name in ("line-leaves", "line-words", "line-kinds", "line-texts") and n in left]
+
+
 def test_main_text_on_given_pages_and_odd_html(spark):
     model = html_pages.train()
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
