@@ -185,7 +185,7 @@ def analysis_csv(spark, d):
 @query("src5_read_predictions", "SELECT count(*) AS n, CAST(sum(length(answer)) AS BIGINT) AS plain_len FROM plain_predictions")
 def read_preds(spark, d):
     path = scratch_path(spark, "md")
-    fx.predictions(spark, d).select("markdown").write.option("maxRecordsPerFile", 1).text(path)
+    sinks.write_texts(fx.predictions(spark, d), F.col("markdown"), path, by="id")
     got = files.read_predictions(spark, path, glob="*.txt")
     return got.agg(F.count("*").alias("n"), F.sum(F.length(X.md_to_text(F.col("markdown")))).alias("plain_len"))
 

@@ -148,3 +148,14 @@ def test_steps_are_deleted_and_other_tables_stay(spark, tmp_path):
     spark.range(2).write.parquet(str(tmp_path / "own"))
     discard(spark.read.parquet(str(tmp_path / "own")))
     assert spark.read.parquet(str(tmp_path / "own")).count() == 2
+
+
+def test_texts_are_written_by_many_tasks(spark, tmp_path):
+    texts = [(str(i), f"# t{i}\n\nx") for i in range(40)] + [("40", None), (None, "no id"), ("1", "twice")]
+    rows = spark.createDataFrame(texts, "id string, md string").coalesce(1)
+    sinks.write_texts(rows, F.col("md"), str(tmp_path / "md"), by="id")
+    names = [p.name for p in (tmp_path / "md").iterdir() if p.name.startswith("part-")]
+    assert len(names) == len(texts) and len({n.split("-")[1] for n in names}) > 1
+    assert not any(p.name.endswith(".txt.crc") for p in (tmp_path / "md").iterdir())
+    got = sorted(r.markdown for r in files.read_predictions(spark, str(tmp_path / "md"), glob="*.txt").collect())
+    assert got == sorted((t or "") + "\n" for _, t in texts)
