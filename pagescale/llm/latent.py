@@ -10,12 +10,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagescale.llm.common import fresh
-from pagescale.session import cut_lineage
+from pagescale.session import cut_lineage, release_shuffles
 
 OTHER = r"[^\pL\pN_]+"
 STRIDE = 32
@@ -27,6 +26,7 @@ BLOCK_CHARS = 500_000
 TOKENS = 200_000
 TEXTS = 500
 COMMON = 50
+SLICES = 16
 
 
 def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -160,14 +160,17 @@ def weights(items: Items, counts: np.ndarray, n_docs: int, common: int = COMMON,
 def gram_times(words: DataFrame, probe: np.ndarray, idf: np.ndarray, kind: type) -> np.ndarray:
     """(A'A) probe, where the rows of A are the TF-IDF vectors of all passages.
 
-    Every task adds up one matrix of the vocabulary's size; sixteen tasks add those up, and the driver the sixteen.
+    Every task adds up one matrix of the vocabulary's size. Blocks of its rows are added up by SLICES tasks, so the
+    driver gets one matrix, however many tasks there are.
     """
     shared = words.sparkSession.sparkContext.broadcast((probe * idf[:, None]).astype(np.float32))
     shape, weighty = probe.shape, np.append(idf > 0, False)  # the last place is that of other words, -1
+    edges = [(shape[0] * k // SLICES, shape[0] * (k + 1) // SLICES) for k in range(SLICES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, total = shared.value, np.zeros(shape)
+        table, total, read = shared.value, np.zeros(shape), False
         for _, own in batches_of(batches, kind):
+            read = True
             flat, block, _, blocks = cut(own, weighty)
             p = passages(flat, block, blocks, table)
             seen = p.copy()  # a block is part of its own passage and of the one before
@@ -180,19 +183,27 @@ def gram_times(words: DataFrame, probe: np.ndarray, idf: np.ndarray, kind: type)
                 term = flat[order]
                 starts = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
                 total[term[starts]] += np.add.reduceat(seen[block[order]], starts, axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 16]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["slot", "part"])
+        if read:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES)), pa.array([total[i:j].astype(np.float32).tobytes() for i, j in edges], pa.binary())], names=["slice", "part"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(shape), 0
+        totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part in batch.column("part"):
-                total += np.frombuffer(part.as_buffer(), np.float32).reshape(shape)
-                n += 1
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["slot", "part"])
-
-    parts = words.select("doc_id", "words").mapInArrow(run, "slot long, part binary").repartition(16, "slot").mapInArrow(add, "slot long, part binary")
-    return sum((np.frombuffer(r.part, np.float32).astype(float).reshape(shape) for r in parts.collect()), np.zeros(shape)) * idf[:, None]
+            for at, part in zip(batch.column("slice").to_pylist(), batch.column("part")):
+                own = np.frombuffer(part.as_buffer(), np.float32)
+                if at not in totals:
+                    totals[at] = np.zeros(own.size)
+                totals[at] += own
+        if totals:
+            yield pa.RecordBatch.from_arrays([pa.array(list(totals)), pa.array([x.tobytes() for x in totals.values()], pa.binary())], names=["slice", "part"])
+
+    parts = words.select("doc_id", "words").mapInArrow(run, "slice long, part binary").repartition(SLICES, "slice").mapInArrow(add, "slice long, part binary")
+    out = np.zeros(shape)
+    for r in parts.collect():
+        i, j = edges[r.slice]
+        out[i:j] = np.frombuffer(r.part).reshape(j - i, shape[1])
+    shared.destroy()
+    return out * idf[:, None]
 
 
 def latent_basis(words: DataFrame, items: Items, idf: np.ndarray, kind: type, rank: int = RANK, seed: int = 17) -> np.ndarray:
@@ -201,12 +212,13 @@ def latent_basis(words: DataFrame, items: Items, idf: np.ndarray, kind: type, ra
     The random test vectors are mixtures of the items' own TF-IDF vectors, so the basis spans what they share with the
     corpus. One distributed pass gives (A'A) times the test vectors; the Nystroem form of it has the singular values.
     """
-    x = np.zeros((len(items.ids), idf.size))
-    for i, own in enumerate(items.words):
-        np.add.at(x[i], own, idf[own])
-    x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-12
-    rng = np.random.default_rng(seed)
-    probe = np.linalg.qr(x.T @ rng.normal(size=(len(items.ids), min(rank, len(items.ids)))))[0]
+    drawn = np.random.default_rng(seed).normal(size=(len(items.ids), min(rank, len(items.ids))))
+    mixed = np.zeros((idf.size, drawn.shape[1]))
+    for i, own in enumerate(items.words):  # item by item: a matrix of items and words would not fit the driver
+        terms, times = np.unique(own, return_counts=True)
+        weight = times * idf[terms]
+        mixed[terms] += (weight / (np.linalg.norm(weight) + 1e-12))[:, None] * drawn[i]
+    probe = np.linalg.qr(mixed)[0]
     image = gram_times(words, probe, idf, kind)
     shift = 1e-8 * max(np.linalg.norm(image), 1e-9)
     image = image + shift * probe
@@ -369,7 +381,9 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
         words = cut_lineage(encoded(docs, items, text_col), "benchmark-words")
         n_docs = words.count()
         idf = weights(items, document_counts(words, n_terms, kind), n_docs)
-        found = matches(words, items, latent_basis(words, items, idf, kind), idf, kind)
+        basis = latent_basis(words, items, idf, kind)
+        release_shuffles(spark)
+        found = matches(words, items, basis, idf, kind)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], schema) if out is None else out
 

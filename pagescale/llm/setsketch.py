@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from pagescale.llm.components import components
 from pagescale.llm.subwords import CACHE, LONG
-from pagescale.session import cut_lineage
+from pagescale.session import cut_lineage, release_shuffles
 
 BANDS, ROWS = 42, 6
 BASE, RATE = 1.001, 20.0
@@ -293,6 +293,7 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80, text_col: str = "
     hubs = buckets.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("hub"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("bucket", F.col("hub.rep").alias("b"), F.col("hub.n").alias("n_b"))
     stars = buckets.join(hubs, "bucket").where((F.col("rep") > F.col("b")) & close(F.col("n"), F.col("n_b"), percent)).select(F.col("rep").alias("a"), "b").distinct()
     stars = cut_lineage(estimated(stars, sets), "stars")
+    release_shuffles(docs.sparkSession)
     best = stars.groupBy("a").agg(F.max_by("b", "about").alias("b"))
     several = full.groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low < high").select("id")
     same_id = full.join(several, "id").join(firsts, "digest").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
@@ -300,14 +301,17 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80, text_col: str = "
     whole = cut_lineage(full_sets(docs, shared, words, text_col), "whole-sets")
     edges = cut_lineage(verified(best, whole, percent).unionByName(same_id), "links")
     known = components(edges)
+    release_shuffles(docs.sparkSession)
     placed = cut_lineage(buckets.join(known, F.col("rep") == F.col("node"), "left").select("bucket", "band", "rep", "digest", "n", F.coalesce("component", "rep").alias("component")), "placed")
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
     open_rows = cut_lineage(placed.join(mixed, "bucket"), "mixed")
     alone = lone_items(whole, open_rows)
     marked = open_rows.join(alone, "rep", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
     rows_left = cut_lineage(marked.join(sets.select("rep", "digest", "sketch"), ["rep", "digest"]), "mixed")
+    release_shuffles(docs.sparkSession)
     worth = cut_lineage(hopeful(rows_left, percent), "hopeful")
     final_rows = rows_left.join(worth, ["bucket", "rep"]).join(whole.select("rep", "digest", "items"), ["rep", "digest"])
     final = components(edges.unionByName(linked(final_rows, percent)))
+    release_shuffles(docs.sparkSession)
     named = firsts.join(final, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
     return rows.join(named, "digest", "left").select("id", "n", F.coalesce("component", "id").alias("component"))

@@ -60,6 +60,24 @@ class Ragged:
         inner = np.arange(owner.size) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         return self.flat[self.starts[rows][owner] + inner], owner
 
+    def where(self, held: np.ndarray) -> Ragged:
+        """The same rows with the held buckets alone."""
+        keep = held[self.flat]
+        out = Ragged([])
+        out.starts = np.concatenate([[0], np.cumsum(keep)])[self.starts]
+        out.sizes, out.flat = np.diff(out.starts), self.flat[keep]
+        return out
+
+
+def word_buckets(words: list[str], bits: int, at_once: int = 4096) -> Ragged:
+    """The buckets of all words, in 32 bits; lists of single words last for `at_once` words only."""
+    parts = [Ragged([buckets(w, bits) for w in words[i : i + at_once]]) for i in range(0, len(words), at_once)]
+    out = Ragged([])
+    if parts:
+        out.sizes, out.flat = np.concatenate([x.sizes for x in parts]), np.concatenate([x.flat.astype(np.int32) for x in parts])
+        out.starts = np.concatenate([[0], np.cumsum(out.sizes)])
+    return out
+
 
 def sums(owner: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Rows of `values` added up by owner."""

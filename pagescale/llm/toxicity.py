@@ -11,12 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagescale.llm.common import fold, fresh, hash_order
-from pagescale.llm.subwords import WORD, Ragged, WordScores, buckets, sums
+from pagescale.llm.subwords import WORD, Ragged, WordScores, sums, word_buckets
 
 FOLDS = 5
 DOCS_PER_LABEL = 1500
 MAX_CHARS = 200_000
 WINDOW = 8
+SCORED = 1024
 BITS = 17
 
 
@@ -55,6 +56,19 @@ class Model:
         return 1.0 / (1.0 + np.exp(-(self.scale * np.clip(logit, self.low, self.high) + self.shift)))
 
 
+def windows(docs: list[np.ndarray], kept: np.ndarray, window: int) -> tuple[Ragged, np.ndarray]:
+    """The kept documents cut into runs of so many words, and the document of each run."""
+    chosen = [d for d in np.flatnonzero(kept) if docs[d].size]
+    sizes = np.array([docs[d].size for d in chosen], dtype=np.int64)
+    counts = -(-sizes // window)
+    inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    runs = Ragged([])
+    runs.sizes = np.minimum(window, np.repeat(sizes, counts) - inner * window)
+    runs.starts = np.concatenate([[0], np.cumsum(runs.sizes)])
+    runs.flat = np.concatenate([docs[d] for d in chosen]) if chosen else np.zeros(0, np.int32)
+    return runs, np.repeat(np.array(chosen, dtype=np.int64), counts)
+
+
 def fit(texts: list[str], labels: list[int], prior: float, bits: int = BITS, dim: int = 8, window: int = WINDOW, epochs: int = 6, batch: int = 64, updates: int = 120, rate: float = 0.5, least_docs: int = 4, strong: float = 8.0, clean_share: int = 4, damp: float = 1e-6, seed: int = 3) -> Model:
     """Train embeddings and softmax together by AdaGrad on windows of words.
 
@@ -68,21 +82,21 @@ def fit(texts: list[str], labels: list[int], prior: float, bits: int = BITS, dim
         return Model(np.zeros(1 << bits, np.float32), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))), 1.0, 0.0)
     rng = np.random.default_rng(seed)
     number: dict[str, int] = {}
-    docs = [np.array([number.setdefault(w, len(number)) for w in tokens(t)], dtype=np.int64) for t in texts]
+    docs = [np.array([number.setdefault(w, len(number)) for w in tokens(t)], dtype=np.int32) for t in texts]
     y, kept = np.array(labels), np.arange(len(texts)) % 10 < 7
-    lists = [buckets(w, bits) for w in number]
+    grams = word_buckets(list(number), bits)
     seen = np.zeros((2, 1 << bits))
     for d in np.flatnonzero(kept):
         if docs[d].size:
-            seen[y[d], np.unique(np.concatenate([lists[w] for w in np.unique(docs[d])]))] += 1
+            seen[y[d], np.unique(grams.take(np.unique(docs[d]))[0])] += 1
     n_clean, n_toxic = max(1, (y[kept] == 0).sum()), max(1, (y[kept] == 1).sum())
     share_all = seen.sum(0) / (n_clean + n_toxic)
     lift = (seen[1] / n_toxic - seen[0] / n_clean) / np.sqrt(share_all * (1 - share_all) * (1 / n_toxic + 1 / n_clean) + 1e-9)
-    common, sizes_all = seen.sum(0) >= least_docs, np.array([x.size for x in lists])
-    lift_word = np.array([lift[x].max() for x in lists])
-    ragged = Ragged([x[common[x]] for x in lists])
-    cut = [(d, doc[i : i + window]) for d, doc in enumerate(docs) if kept[d] for i in range(0, doc.size, window)]
-    owner_doc = np.array([d for d, _ in cut], dtype=np.int64)
+    common, sizes_all = seen.sum(0) >= least_docs, grams.sizes
+    lift_word = np.maximum.reduceat(lift[grams.flat], grams.starts[:-1]) if number else np.zeros(0)
+    ragged = grams.where(common)
+    del grams
+    cut, owner_doc = windows(docs, kept, window)
 
     def start():
         table, out = rng.normal(0, 0.1, (1 << bits, dim)) * common[:, None], rng.normal(0, 0.3, (dim, 2))
@@ -91,8 +105,7 @@ def fit(texts: list[str], labels: list[int], prior: float, bits: int = BITS, dim
     table, out, bias, seen_table, seen_out, seen_bias = start()
 
     def forward(part: np.ndarray):
-        words = np.concatenate([cut[i][1] for i in part])
-        seg = np.repeat(np.arange(part.size), [cut[i][1].size for i in part])
+        words, seg = cut.take(part)
         distinct, place = np.unique(words, return_inverse=True)
         flat, owner = ragged.take(distinct)
         vectors = sums(owner, table[flat], distinct.size) / sizes_all[distinct][:, None]
@@ -102,9 +115,9 @@ def fit(texts: list[str], labels: list[int], prior: float, bits: int = BITS, dim
         odds = np.exp(logits - logits.max(1, keepdims=True))
         return hidden, odds / odds.sum(1, keepdims=True), (seg, sizes, place, distinct, flat, owner)
 
-    first = np.array([lift_word[w].max() for _, w in cut])
+    first = np.maximum.reduceat(lift_word[cut.flat], cut.starts[:-1]) if owner_doc.size else np.zeros(0)
     for epoch in range(epochs if (y[owner_doc] == 1).any() and (y[owner_doc] == 0).any() else 0):
-        sign, sure = (first, strong) if epoch == 0 else (np.concatenate([forward(x)[1][:, 1] for x in np.array_split(np.arange(len(cut)), max(1, len(cut) // 4096))]), 0.9)
+        sign, sure = (first, strong) if epoch == 0 else (np.concatenate([forward(x)[1][:, 1] for x in np.array_split(np.arange(owner_doc.size), max(1, owner_doc.size // SCORED))]), 0.9)
         top = np.full(len(docs), -np.inf)
         np.maximum.at(top, owner_doc, sign)
         use = np.flatnonzero((y[owner_doc] == 0) | (sign >= np.minimum(sure, top[owner_doc])))

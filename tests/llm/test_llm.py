@@ -301,6 +301,55 @@ def test_toxicity_learns_words_and_misspellings():
     assert values["blockheads"] > 5 * abs(values["lorem"]) and 0 <= model.score([], values) < 0.5
 
 
+def test_toxicity_holds_words_and_windows_end_to_end():
+    """pipeline, driver memory: the fit held an array for every distinct word and for every window."""
+    from pagescale.llm import subwords
+
+    words = [f"wo{i}rd" * (i % 3 + 1) for i in range(5000)]
+    lists, got = [subwords.buckets(w, 12) for w in words], subwords.word_buckets(words, 12)
+    assert got.flat.dtype == np.int32 and [x.tolist() for x in lists] == [got.take(np.array([i]))[0].tolist() for i in range(len(words))]
+    held = np.arange(1 << 12) % 3 > 0
+    kept = got.where(held)
+    assert [x[held[x]].tolist() for x in lists] == [kept.take(np.array([i]))[0].tolist() for i in range(len(words))]
+    docs = [np.arange(n, dtype=np.int32) + 100 * n for n in (0, 1, 8, 9, 0, 23, 5)]
+    use = np.array([True, True, True, True, True, True, False])
+    runs, owner = toxicity.windows(docs, use, 8)
+    want = [(d, doc[i : i + 8].tolist()) for d, doc in enumerate(docs) if use[d] for i in range(0, doc.size, 8)]
+    assert want == [(d, runs.take(np.array([i]))[0].tolist()) for i, d in enumerate(owner.tolist())]
+    none = toxicity.windows([np.zeros(0, np.int32)] * 2, np.ones(2, bool), 8)
+    assert none[1].size == 0 and none[0].flat.size == 0 and subwords.word_buckets([], 12).flat.size == 0
+    assert toxicity.fit(["", None], [0, 1], 0.5).weights.size == 1 << toxicity.BITS
+
+
+def test_driver_gets_one_matrix_of_the_passages(spark, monkeypatch):
+    """pipeline, driver memory: sixteen matrices of the vocabulary's size came to the driver at once."""
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(-1, 150, rng.integers(0, 120)).astype(np.int16) for _ in range(60)]
+    idf, probe = np.where(np.arange(150) % 7 > 0, rng.random(150) + 0.5, 0.0), rng.normal(size=(150, 6))
+    rows = []  # by passage, a block and the next one of the same document
+    for words in docs:
+        blocks = [words[i : i + latent.STRIDE] for i in range(0, words.size, latent.STRIDE)]
+        for i in range(len(blocks)):
+            both = np.concatenate(blocks[i : i + 2])
+            rows.append(np.bincount(both[both >= 0], minlength=150) * idf)
+    a = np.array(rows)
+    frame = spark.createDataFrame([(i, w.tobytes()) for i, w in enumerate(docs)], "doc_id long, words binary").repartition(24).persist()
+    frame.count()
+    kind, sent = type(frame), []
+    plain = kind.collect
+
+    def collect(self):
+        out = plain(self)
+        sent.append(sum(len(r.part) for r in out))
+        return out
+
+    monkeypatch.setattr(kind, "collect", collect)
+    got = latent.gram_times(frame, probe, idf, np.int16)
+    assert np.allclose(got, a.T @ (a @ probe), rtol=1e-4, atol=1e-3)
+    assert sum(sent) <= 2 * 4 * probe.size
+    assert not latent.gram_times(frame.limit(0), probe, idf, np.int16).any()
+
+
 def test_toxicity_rows(spark):
     docs = made(spark, [(1, None, "s"), (2, "", "s"), (3, "some words here", "s"), (3, "some words here", "s")])
     out = toxicity.score(docs.withColumn("SCORE_", F.lit(1)), toxicity.fit([], [], 0.1)).collect()
