@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,9 +15,11 @@ from pyspark.sql import types as T
 
 from pagescale.llm.components import components
 from pagescale.llm.subwords import CACHE, LONG
-from pagescale.session import cut_lineage, release_shuffles
+from pagescale.session import cut_lineage, discard, release_shuffles
 
 BANDS, ROWS = 42, 6
+SLICE = 14
+TEXT_SLICES = 3
 BASE, RATE = 1.001, 20.0
 LEAST_ESTIMATE = 0.68
 BLOCK = 512
@@ -94,10 +97,32 @@ def sketches(docs: DataFrame, words: int, text_col: str = "text") -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), sketch(F.col(text_col)).alias("_s")).select("id", "_s.n", "_s.digest", "_s.sketch")
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def bands(sketch: pd.Series) -> pd.Series:
-    size = 2 * ROWS
-    return pd.Series([[xxhash.xxh64_intdigest(x[i * size : (i + 1) * size], i) - (1 << 63) for i in range(BANDS)] for x in sketch])
+def bands(sketch: str, first: int) -> Column:
+    """Names of the buckets of SLICE bands, from the band `first` on."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def named(sketch: pd.Series) -> pd.Series:
+        size = 2 * ROWS
+        return pd.Series([[xxhash.xxh64_intdigest(x[i * size : (i + 1) * size], i) - (1 << 63) for i in range(first, min(first + SLICE, BANDS))] for x in sketch])
+
+    return named(sketch)
+
+
+def shared_buckets(sets: DataFrame) -> DataFrame:
+    """(bucket, rep, n, key, band, low) of every node in a bucket that another node is in, too; low is the smallest of them.
+
+    Rows alone in their bucket meet no other and are not kept. The bands are worked off slice by slice and each slice's
+    table and shuffle files go before the next, so the disk holds the rows of SLICE bands at a time.
+    """
+    found = []
+    for first in range(0, BANDS, SLICE):
+        rows = sets.select("rep", "n", "key", F.posexplode(bands("sketch", first)).alias("at", "bucket"))
+        rows = cut_lineage(rows.select("bucket", "rep", "n", "key", (F.col("at") + first).alias("band")), "buckets")
+        several = rows.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").drop("high")
+        found.append(cut_lineage(rows.join(several, "bucket"), "shared"))
+        discard(rows)
+        release_shuffles(sets.sparkSession)
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -121,9 +146,10 @@ def estimated(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, words: int, text_col: str = "text") -> DataFrame:
-    """(rep, digest, items): the whole shingle sets of the nodes' rows, as sorted 64-bit numbers end to end.
+    """(rep, key, items): the whole shingle sets of the nodes' rows, as sorted 64-bit numbers end to end.
 
-    No filter on the sets here: the optimiser would move it, and the work, below the join to all texts.
+    No filter on the sets here: the optimiser would move it, and the work, below the join to all texts. Texts meet the
+    nodes slice by slice of their ids, so a part of the texts is in shuffle files at a time.
     """
 
     @F.pandas_udf("digest string, items binary")
@@ -134,7 +160,14 @@ def full_sets(docs: DataFrame, nodes: DataFrame, words: int, text_col: str = "te
             yield pd.DataFrame({"digest": [xxhash.xxh128_hexdigest(x) for x in items], "items": items})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col(text_col).alias("_t"))
-    return texts.join(nodes.select("rep").distinct(), "rep", "left_semi").select("rep", packed("_t").alias("_p")).select("rep", "_p.digest", "_p.items").dropDuplicates(["rep", "digest"])
+    nodes = nodes.select("rep").distinct()
+    found = []
+    for i in range(TEXT_SLICES):
+        own = F.pmod(F.xxhash64("rep"), F.lit(TEXT_SLICES)) == i
+        part = texts.where(own).join(nodes.where(own), "rep", "left_semi").select("rep", packed("_t").alias("_p"))
+        found.append(cut_lineage(part.select("rep", F.xxhash64("_p.digest").alias("key"), "_p.items").dropDuplicates(["rep", "key"]), "whole-sets"))
+        release_shuffles(docs.sparkSession)
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
@@ -285,33 +318,49 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80, text_col: str = "
     Null and empty texts have size 0 and are alone. Rows of equal ids share a component. A row without an id is no
     node; it shows the component of its set, if any row with an id has it. An empty table stays empty.
     """
+    spark = docs.sparkSession
     rows = cut_lineage(sketches(docs, words, text_col), "sketches")
-    full = rows.where("n > 0 AND id IS NOT NULL")
-    firsts = full.groupBy("digest").agg(F.min("id").alias("rep"))
-    sets = cut_lineage(full.join(firsts, "digest").where("id = rep").select("rep", "n", "digest", "sketch").dropDuplicates(["rep", "digest"]), "sets")
-    buckets = cut_lineage(sets.select("rep", "n", "digest", F.posexplode(bands("sketch")).alias("band", "bucket")), "buckets")
-    hubs = buckets.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("hub"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("bucket", F.col("hub.rep").alias("b"), F.col("hub.n").alias("n_b"))
-    stars = buckets.join(hubs, "bucket").where((F.col("rep") > F.col("b")) & close(F.col("n"), F.col("n_b"), percent)).select(F.col("rep").alias("a"), "b").distinct()
+    names = cut_lineage(rows.select("id", "n", "digest"), "names")
+    known_id = F.col("id").isNotNull() & (F.col("n") > 0)
+    # what rows of one digest have besides the id is the same in all of them
+    sets = rows.where(known_id).groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    sets = cut_lineage(sets.select("rep", "n", "digest", F.xxhash64("digest").alias("key"), "sketch"), "sets")
+    discard(rows)
+    release_shuffles(spark)
+    shared = shared_buckets(sets)
+    sizes = shared.where("rep = low").groupBy("bucket").agg(F.min("n").alias("n_b"))
+    stars = shared.where("rep > low").join(sizes, "bucket").where(close(F.col("n"), F.col("n_b"), percent)).select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
     stars = cut_lineage(estimated(stars, sets), "stars")
-    release_shuffles(docs.sparkSession)
+    release_shuffles(spark)
     best = stars.groupBy("a").agg(F.max_by("b", "about").alias("b"))
+    full, firsts = names.where(known_id), sets.select("digest", "rep")
     several = full.groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low < high").select("id")
     same_id = full.join(several, "id").join(firsts, "digest").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    shared = buckets.join(hubs.select("bucket"), "bucket", "left_semi").select("rep")
-    whole = cut_lineage(full_sets(docs, shared, words, text_col), "whole-sets")
+    whole = full_sets(docs, shared, words, text_col)
     edges = cut_lineage(verified(best, whole, percent).unionByName(same_id), "links")
+    discard(stars)
+    release_shuffles(spark)
     known = components(edges)
-    release_shuffles(docs.sparkSession)
-    placed = cut_lineage(buckets.join(known, F.col("rep") == F.col("node"), "left").select("bucket", "band", "rep", "digest", "n", F.coalesce("component", "rep").alias("component")), "placed")
+    placed = cut_lineage(shared.join(known, F.col("rep") == F.col("node"), "left").select("bucket", "band", "rep", "key", "n", F.coalesce("component", "rep").alias("component")), "placed")
+    discard(shared)
+    discard(known)
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
     open_rows = cut_lineage(placed.join(mixed, "bucket"), "mixed")
-    alone = lone_items(whole, open_rows)
+    discard(placed)
+    release_shuffles(spark)
+    alone = cut_lineage(lone_items(whole, open_rows), "alone")
+    release_shuffles(spark)
     marked = open_rows.join(alone, "rep", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
-    rows_left = cut_lineage(marked.join(sets.select("rep", "digest", "sketch"), ["rep", "digest"]), "mixed")
-    release_shuffles(docs.sparkSession)
+    rows_left = cut_lineage(marked.join(sets.select("rep", "key", "sketch"), ["rep", "key"]), "mixed")
+    discard(open_rows)
+    discard(alone)
+    release_shuffles(spark)
     worth = cut_lineage(hopeful(rows_left, percent), "hopeful")
-    final_rows = rows_left.join(worth, ["bucket", "rep"]).join(whole.select("rep", "digest", "items"), ["rep", "digest"])
+    release_shuffles(spark)
+    final_rows = rows_left.join(worth, ["bucket", "rep"]).join(whole.select("rep", "key", "items"), ["rep", "key"])
     final = components(edges.unionByName(linked(final_rows, percent)))
-    release_shuffles(docs.sparkSession)
+    for step in (rows_left, worth, whole, edges):
+        discard(step)
+    release_shuffles(spark)
     named = firsts.join(final, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    return rows.join(named, "digest", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    return names.join(named, "digest", "left").select("id", "n", F.coalesce("component", "id").alias("component"))

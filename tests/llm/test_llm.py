@@ -12,9 +12,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pagescale import session
 from pagescale.llm import crf, curriculum, html_pages, language, latent, line_templates, media, setsketch, toxicity, warc, weak_labels
 from pagescale.llm.components import components
-from pagescale.session import shared_dir
+from pagescale.session import scratch_names, shared_dir
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -123,6 +124,37 @@ def test_near_groups_match_brute_force(spark):
     assert setsketch.groups(made(spark, []), words=4).count() == 0
 
 
+def test_near_groups_hold_few_steps(spark, monkeypatch):
+    """All buckets, those of one document too, were written and joined at once, and no step went before the last was done."""
+    steps, held = {}, []
+    folder = lambda: {x for x in os.listdir(shared_dir(spark)) if x in scratch_names()}
+
+    def written(df, name="step"):
+        out = session.cut_lineage(df, name)
+        steps.setdefault(name, []).append(out.count())
+        held.append({x.rsplit("-", 1)[0] for x in folder() - before})
+        return out
+
+    before = folder()
+    monkeypatch.setattr(setsketch, "cut_lineage", written)
+    texts = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(30)]
+    texts += [texts[0] + " one", texts[1] + " two", texts[2], None]
+    got = setsketch.groups(made(spark, [(i, t, "s") for i, t in enumerate(texts)]), words=4)
+    assert {x.rsplit("-", 1)[0] for x in folder() - before} == {"names", "sets", "labels"}
+    assert {(r.id, r.component) for r in got.collect()} == {(i, {30: 0, 31: 1, 32: 2}.get(i, i)) for i in range(34)}
+    assert sum(steps["buckets"]) == 32 * setsketch.BANDS and max(steps["buckets"]) < sum(steps["buckets"])
+    assert 0 < sum(steps["shared"]) <= 4 * setsketch.BANDS
+    assert sum(steps["whole-sets"]) == 4 and len(steps["whole-sets"]) > 1
+    assert not any("sketches" in h and "buckets" in h or "buckets" in h and "whole-sets" in h for h in held)
+
+
+def test_components_keep_the_last_round(spark):
+    before = scratch_names()
+    got = components(spark.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long"))
+    left = [x for x in scratch_names() - before if os.path.exists(f"{shared_dir(spark)}/{x}")]
+    assert len(left) == 1 and {r.component for r in got.collect()} == {0}
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 1 << 62, 900, dtype=np.uint64), rng.integers(0, 1 << 62, 100, dtype=np.uint64)
