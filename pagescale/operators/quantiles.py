@@ -52,12 +52,15 @@ def _signed(value: Column, size: Column, normal: Column) -> Column:
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
-    """Adds ``_key``, the `order_key` of ``_v``, step by step: each step is a column of its own, which compiles as a whole."""
+    """Adds ``_key``, the `order_key` of ``_v``, step by step: each step is a column of its own, which compiles as a whole.
+
+    It is never NULL: a join would else filter on all steps written out as one expression, many times over.
+    """
     size, e = F.col("_size"), F.col("_e")
     steps = rows.withColumn("_size", F.abs("_v")).withColumn("_e", _near_power(size)).withColumn("_e", _power(size, e))
     steps = steps.withColumn("_two", _two(e))
     normal = F.shiftleft((e + 1023).cast("long"), 52) + ((size / F.col("_two") - 1.0) * float(2**52)).cast("long")
-    return steps.withColumn("_key", _signed(F.col("_v"), size, normal)).drop("_size", "_e", "_two")
+    return steps.withColumn("_key", F.coalesce(_signed(F.col("_v"), size, normal), F.lit(0).cast("long"))).drop("_size", "_e", "_two")
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], digit: int = DIGIT, few: int = FEW) -> DataFrame:

@@ -14,7 +14,8 @@ from pagescale.plans.catalog import query, r6, rounded
 from pagescale.session import cut_lineage
 
 KEYS = "resolution, font_size, line_spacing, letter_spacing"
-POINT_IDS = ["image_id"]
+POINT_IDS = ["part"]
+PARTS = 64
 
 
 @query(
@@ -56,7 +57,8 @@ def hinge(spark, d):
 def trimmed(spark, d):
     """Log-log fits after the sparsest points of every group are dropped."""
     pts = cut_lineage(fx.analysis_points(spark, d).select("image_id", *C.GROUP_KEYS, "text_len", "edit_distance"), "points")
-    logged = O.log_points(pts).select("image_id", *C.GROUP_KEYS, "x", "y")
+    part = F.pmod(F.xxhash64("image_id"), F.lit(PARTS)).cast("tinyint").alias("part")  # no other use of the name
+    logged = O.log_points(pts).select(part, *C.GROUP_KEYS, "x", "y")
     kept = trim_sparse(logged.where(F.col("x").isNotNull()), C.GROUP_KEYS, POINT_IDS)
     return O.line_fits(kept).select(*C.GROUP_KEYS, r6("b1", 5).alias("b1"), r6("r2", 5).alias("r2"), "n_points")
 
