@@ -26,6 +26,7 @@ from pagescale.schema import assert_columns
 
 PARAMS = ("w0", "a", "alpha", "a0", "b0", "a1", "b1")
 FEW_GROUPS = 64
+FLAT, DAMP = 1e-11, 1e-6
 
 
 def vgz_features(df: DataFrame, v_mode: str = "aspect", eps: float = C.EM_EPS) -> DataFrame:
@@ -114,22 +115,24 @@ def log_sigmoid(z: Column) -> Column:
     return F.least(z, F.lit(0.0)) - F.log1p(F.exp(-F.abs(z)))
 
 
-def e_step(df: DataFrame, y: str = "edit_distance") -> DataFrame:
+def e_step(df: DataFrame, y: str = "edit_distance", logs: tuple[str, str] | None = None, slopes: int = 2) -> DataFrame:
     """Adds gate ``z``, weight ``pi``, responsibility ``r`` and log-likelihood ``ll``; needs parameter columns on rows.
 
-    Parameters are the columns of PARAMS plus the log-normalisers ``n0`` and ``n1``.
+    Parameters are the columns of PARAMS plus the log-normalisers ``n0`` and ``n1``. ``logs`` names the columns of ln y and
+    ln(1 - y) where rows have them. With d the log-odds of the parts, ll = log π₀f₀ + max(d, 0) + ln((1 + e^-|d|) / (1 + e^-|z|))
+    up to terms that are linear: two exponentials and one logarithm a row.
     """
     # Plain SQL text: this runs once per EM pass, and building the expression piece by piece costs more than the pass.
-    log_sig = "least({0}, 0D) - log1p(exp(-abs(z)))"
-    part = f"(a{{0}} - 1) * ln({y}) + (b{{0}} - 1) * log1p(-{y}) + n{{0}}"
-    rows = df.withColumn("z", F.expr("w0 + a * logV + alpha * logG"))
-    rows = rows.withColumns({"_hi": F.expr(f"{log_sig.format('z')} + {part.format(1)}"), "_lo": F.expr(f"{log_sig.format('-z')} + {part.format(0)}")})
+    rows = df if logs else df.withColumns({"_ly": F.expr(f"ln({y})"), "_l1": F.expr(f"log1p(-{y})")})
+    ly, l1 = logs or ("_ly", "_l1")
+    rows = rows.withColumn("z", F.expr(" + ".join(["w0", "a * logV", "alpha * logG"][: slopes + 1])))
+    rows = rows.withColumns({"_e": F.expr("exp(-abs(z))"), "_d": F.expr(f"z + (a1 - a0) * {ly} + (b1 - b0) * {l1} + n1 - n0")}).withColumn("_f", F.expr("exp(-abs(_d))"))
     return rows.withColumns(
         {
-            "pi": F.expr("1 / (1 + exp(-z))"), "r": F.expr("1 / (1 + exp(_lo - _hi))"),
-            "ll": F.expr("greatest(_hi, _lo) + log1p(exp(-abs(_hi - _lo)))"),
+            "pi": F.expr("if(z >= 0, 1D, _e) / (1 + _e)"), "r": F.expr("if(_d >= 0, 1D, _f) / (1 + _f)"),
+            "ll": F.expr(f"least(-z, 0D) + (a0 - 1) * {ly} + (b0 - 1) * {l1} + n0 + greatest(_d, 0D) + ln((1 + _f) / (1 + _e))"),
         }
-    ).drop("_hi", "_lo")
+    ).drop("_e", "_d", "_f", "_ly", "_l1")
 
 
 def with_norms(p: dict) -> dict:
@@ -174,18 +177,38 @@ class GateFit:
 _CROSS = [(i, j) for i in range(3) for j in range(i, 3)]
 
 
-def _sums(rows: DataFrame, key: str, slopes: int) -> dict:
-    """Per-group sums of one pass; ``rows`` carry r, pi, ll and the features."""
-    gate = ["1D", "logV", "logG"][: slopes + 1]
-    sums = {
-        "ll": "ll", "r": "r", "ly": "ly", "l1": "l1", "rly": "r * ly", "rl1": "r * l1", "y": "y", "yy": "y * y", "ry": "r * y", "ryy": "r * y * y",
-        **{f"g{i}": f"(r - pi) * {g}" for i, g in enumerate(gate)},
-        **{f"h{i}{j}": f"pi * (1 - pi) * {gate[i]} * {gate[j]}" for i, j in _CROSS if j <= slopes},
-    }
+GRID = float(2**20)
+
+
+def _sums(rows: DataFrame, key: str, sums: dict[str, str]) -> dict:
     agg = [F.count("*").alias("n"), *[F.expr(f"sum({e}) AS {c}") for c, e in sums.items()]]
     return {r[key]: r.asDict() for r in rows.groupBy(key).agg(*agg).toLocalIterator()}
 
 
+def _first_sums(rows: DataFrame, key: str) -> dict:
+    """Per-group sums of the initial labels; those without ``r`` hold for all passes."""
+    return _sums(rows, key, {"ly": "ly", "l1": "l1", "r": "r", "rly": "r * ly", "rl1": "r * l1", "y": "y", "yy": "y * y", "ry": "r * y", "ryy": "r * y * y"})
+
+
+def _gate_sums(rows: DataFrame, key: str, slopes: int, more: dict[str, str] | None = None) -> dict:
+    """Per-group gradient and Hessian of the gate and further sums; ``rows`` carry r, pi and the features."""
+    gate = ["1D", "logV", "logG"][: slopes + 1]
+    rows = rows.withColumns({"_q": F.expr("r - pi"), "_w": F.expr("pi * (1 - pi)")})
+    sums = {**{f"g{i}": f"_q * {g}" for i, g in enumerate(gate)}, **{f"h{i}{j}": f"_w * {gate[i]} * {gate[j]}" for i, j in _CROSS if j <= slopes}}
+    return _sums(rows, key, {**(more or {}), **sums})
+
+
+def _pass_sums(rows: DataFrame, key: str, slopes: int, first: dict) -> dict:
+    """Per-group sums of one EM pass; ``rows`` carry r, pi, ll and the features.
+
+    The likelihood is summed in two parts, multiples of 2**-20 and what is left: the first sum is exact and the second
+    small, so that the total does not depend on the order of the rows and its error stays below the tolerance of the fit.
+    """
+    rows = rows.withColumn("_hi", F.expr(f"rint(ll * {GRID}D) / {GRID}D"))
+    found = _gate_sums(rows, key, slopes, {"hi": "_hi", "lo": "ll - _hi", "r": "r", "rly": "r * ly", "rl1": "r * l1"})
+    return {g: {**first[g], **s, "ll": s["hi"] + s["lo"]} for g, s in found.items()}
+
+
 def _pooled(sums: dict) -> dict:
     names = ("n", "r", "ly", "l1", "rly", "rl1", "y", "yy", "ry", "ryy")
     return {c: sum(s[c] for s in sums.values()) for c in names}
@@ -222,14 +245,25 @@ def _gate_step(sums: dict, params: dict, slopes: int, own_w0: bool, own_slopes:
     # intercepts are eliminated group by group; what remains is a system of the slopes alone (the Schur complement).
     shared = np.array([params[groups[0]][n] for n in names[1:]])
     own = {g: (grad_of(sums[g]), hess_of(sums[g])) for g in groups}
-    whole, rest = reg * np.eye(slopes), -reg * shared
-    for grad, hess in own.values():
-        pivot = max(hess[0, 0], 1e-12)
-        whole = whole + hess[1:, 1:] - np.outer(hess[1:, 0], hess[0, 1:]) / pivot
-        rest = rest + grad[1:] - hess[1:, 0] * grad[0] / pivot
+
+    def reduced(damp: float) -> tuple[np.ndarray, np.ndarray]:
+        whole, rest = (reg + damp) * np.eye(slopes), -reg * shared
+        for grad, hess in own.values():
+            pivot = max(hess[0, 0] + damp, 1e-12)
+            whole = whole + hess[1:, 1:] - np.outer(hess[1:, 0], hess[0, 1:]) / pivot
+            rest = rest + grad[1:] - hess[1:, 0] * grad[0] / pivot
+        return whole, rest
+
+    damp, (whole, rest) = 0.0, reduced(0.0)
+    if slopes:
+        # A feature that is constant within every group leaves nothing but rounding errors: the shortest step is taken then.
+        scale = np.sqrt(np.maximum(reg + sum(np.diag(hess)[1:] for _, hess in own.values()), 1e-12))
+        if np.linalg.eigvalsh(whole / np.outer(scale, scale))[0] < FLAT:
+            damp = DAMP * sum(hess[0, 0] for _, hess in own.values()) / len(own)
+            whole, rest = reduced(damp)
     move = newton_step(whole, rest) if slopes else np.zeros(0)
     moved = {n: float(v) for n, v in zip(names[1:], shared + move)}
-    lift = lambda grad, hess: (grad[0] - hess[0, 1:] @ move) / max(hess[0, 0], 1e-12)
+    lift = lambda grad, hess: (grad[0] - hess[0, 1:] @ move) / max(hess[0, 0] + damp, 1e-12)
     return {g: {"w0": float(params[g]["w0"] + lift(*own[g])), **moved} for g in groups}
 
 
@@ -245,24 +279,26 @@ def em_fit(
     separate fits per resolution (all own), grouped (own w0 and Beta, shared slopes), own w0 only, or everything shared.
     ``slopes=0`` is the constant-weight baseline. Separate fits stop group by group, joint fits on the total.
     """
-    rows = df.select(key, F.col("edit_distance").alias("y"), "logV", "logG", F.ln("edit_distance").alias("ly"), F.log1p(-F.col("edit_distance")).alias("l1")).persist()
+    y = F.col("edit_distance")
+    posed = df.select(key, y.alias("y"), *["logV", "logG"][:slopes], F.ln(y).alias("ly"), F.log1p(-y).alias("l1"))
+    first = _first_sums(posed.withColumn("r", init_resp(F.col("y"), threshold, soft)), key)
+    rows = posed.withColumn("high", F.col("y") >= threshold).drop("y").persist()  # what the passes read
     try:
-        return _run_em(rows, key, own_w0, own_slopes, own_beta, slopes, max_iter, tol, threshold, soft, reg)
+        return _run_em(rows, first, key, own_w0, own_slopes, own_beta, slopes, max_iter, tol, soft, reg)
     finally:
         rows.unpersist()
 
 
-def _run_em(rows, key, own_w0, own_slopes, own_beta, slopes, max_iter, tol, threshold, soft, reg) -> GateFit:
+def _run_em(rows, first, key, own_w0, own_slopes, own_beta, slopes, max_iter, tol, soft, reg) -> GateFit:
     separate = own_slopes and own_beta and own_w0
-    start = rows.withColumn("r", init_resp(F.col("y"), threshold, soft)).withColumn("ll", F.lit(0.0))
+    start = rows.withColumn("r", F.when(F.col("high"), 1.0 - soft).otherwise(soft))
     zero = {"w0": 0.0, "a": 0.0, "alpha": 0.0}
-    first = _sums(start.withColumn("pi", F.lit(0.5)), key, slopes)
     params = {g: dict(zero) for g in first}
     betas = {g: _beta_update(s, None) for g, s in first.items()} if own_beta else dict.fromkeys(first, _beta_update(_pooled(first), None))
     for g in params:
         params[g].update(betas[g])
     if own_slopes or not own_w0:
-        _initial_gate(start, key, params, first, slopes, own_w0, own_slopes, reg)
+        _initial_gate(start, key, params, slopes, own_w0, own_slopes, reg)
     else:
         for g, s in first.items():
             share = s["r"] / s["n"]
@@ -271,7 +307,7 @@ def _run_em(rows, key, own_w0, own_slopes, own_beta, slopes, max_iter, tol, thre
     fit = GateFit(key, params, {g: [] for g in first}, dict.fromkeys(first, False), {g: s["n"] for g, s in first.items()})
     active, previous = set(first), None
     for _ in range(max_iter):
-        sums = _sums(_posterior(rows, {g: params[g] for g in active}, key), key, slopes)
+        sums = _pass_sums(_posterior(rows, {g: params[g] for g in active}, key, slopes), key, slopes, first)
         units = [[g] for g in sums] if separate else [list(sums)]
         retry = set()
         for unit in units:
@@ -303,12 +339,13 @@ def _run_em(rows, key, own_w0, own_slopes, own_beta, slopes, max_iter, tol, thre
     return fit
 
 
-def _posterior(rows: DataFrame, params: dict, key: str) -> DataFrame:
-    return e_step(with_params(rows, params, key), "y")
+def _posterior(rows: DataFrame, params: dict, key: str, slopes: int) -> DataFrame:
+    return e_step(with_params(rows, params, key), logs=("ly", "l1"), slopes=slopes)
 
 
-def _initial_gate(start: DataFrame, key, params, sums, slopes, own_w0, own_slopes, reg, steps: int = 12) -> None:
+def _initial_gate(start: DataFrame, key, params, slopes, own_w0, own_slopes, reg, steps: int = 12) -> None:
     """Fit the gate to the initial labels by Newton steps, updating ``params`` in place."""
+    sums = _gate_sums(start.withColumn("pi", F.lit(0.5)), key, slopes)
     for _ in range(steps):
         gates = _gate_step(sums, params, slopes, own_w0, own_slopes, reg)
         moved = max(abs(gates[g][n] - params[g][n]) / (1 + abs(gates[g][n])) for g in gates for n in gates[g])
@@ -317,8 +354,8 @@ def _initial_gate(start: DataFrame, key, params, sums, slopes, own_w0, own_slope
         if moved < 1e-6:
             return
         posed = with_params(start, {g: params[g] for g in params}, key)
-        z = F.col("w0") + F.col("a") * F.col("logV") + F.col("alpha") * F.col("logG")
-        sums = _sums(posed.withColumn("pi", sigmoid(z)), key, slopes)
+        z = sum((F.col(n) * F.col(c) for n, c in zip(GATE_NAMES[1:], ["logV", "logG"][:slopes])), F.col("w0"))
+        sums = _gate_sums(posed.withColumn("pi", sigmoid(z)), key, slopes)
 
 
 def _swap_labels(fit: GateFit, separate: bool) -> None:
@@ -408,11 +445,13 @@ def score_points(df: DataFrame, params: dict, key: str = "resolution") -> DataFr
 
 def log_likelihoods(df: DataFrame, gate: dict, constant: dict, single: dict, keys: Sequence[str] = ("resolution", "split")) -> DataFrame:
     """Sums of the log-likelihood of gate, constant mixture and single Beta per resolution and split."""
-    key = keys[0]
-    gate_rows = e_step(with_params(df, gate, key)).withColumnRenamed("ll", "ll_gate").drop(*PARAMS, "n0", "n1", "z", "pi", "r")
-    const_rows = e_step(with_params(gate_rows, constant, key)).withColumnRenamed("ll", "ll_constant").drop(*PARAMS, "n0", "n1", "z", "pi", "r")
+    key, spare = keys[0], (*PARAMS, "n0", "n1", "z", "pi", "r")
+    y = F.col("edit_distance")
+    rows = df.select(*dict.fromkeys([*keys, "logV", "logG"]), F.ln(y).alias("ly"), F.log1p(-y).alias("l1"))
+    rows = e_step(with_params(rows, gate, key), logs=("ly", "l1")).withColumnRenamed("ll", "ll_gate").drop(*spare)
+    rows = e_step(with_params(rows, constant, key), logs=("ly", "l1")).withColumnRenamed("ll", "ll_constant").drop(*spare)
     flat = {g: {"w0": 0.0, "a": 0.0, "alpha": 0.0, "a0": p[0], "b0": p[1], "a1": p[0], "b1": p[1]} for g, p in single.items()}
-    rows = e_step(with_params(const_rows, flat, key))
+    rows = with_params(rows, flat, key).withColumn("ll", F.expr("(a0 - 1) * ly + (b0 - 1) * l1 + n0"))
     return rows.groupBy(*keys).agg(
         F.count("*").alias("n"), F.sum("ll_gate").alias("gated_mixture"), F.sum("ll_constant").alias("constant_pi_mixture"), F.sum("ll").alias("single_beta")
     )

@@ -82,10 +82,12 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     rows = cut_lineage(rows, "ranks-rows")
     at = lambda p: (F.col("n") - 1) * F.lit(float(p))
     ranks = [f(at(p)).cast("long") for p in probs.values() for f in (F.floor, F.ceil)]
-    large = rows.groupBy(*keys).agg(F.count("*").alias("_c")).where(F.col("_c") > few).drop("_c")
-    large, met = _aliased(cut_lineage(large, "large-groups"), keys)
+    sizes = cut_lineage(rows.groupBy(*keys).agg(F.count("*").alias("_c")), "sizes")
+    large, met = _aliased(sizes.where(F.col("_c") > few).drop("_c"), keys)
     if large.isEmpty():
         base = _by_sorting(rows, keys, ranks)
+    elif sizes.where(F.col("_c") <= few).isEmpty():
+        base = _by_radix(rows, keys, ranks, digit)
     else:
         base = _by_sorting(rows.join(large, met, "left_anti"), keys, ranks).unionByName(_by_radix(rows.join(large, met, "left_semi"), keys, ranks, digit))
     base = cut_lineage(base, "ranks-found")
