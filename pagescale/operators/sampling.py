@@ -12,6 +12,7 @@ from pagescale import constants as C
 from pagescale.functions import text as X
 from pagescale.functions.text import let
 from pagescale.operators.quantiles import SLICE_DIGITS, hash_rank
+from pagescale.session import cut_lineage
 
 ROUNDS = 4
 LARGEST = 1 << 62
@@ -220,12 +221,14 @@ def train_test_split(df: DataFrame, frac: float, seed: int, ids: list[str], excl
 def _first_by_hash(df: DataFrame, frac: float, seed: int, ids: list[str]) -> DataFrame:
     """Adds ``split``, ``train`` for the first rows in the order of `hash_rank`.
 
-    Counts of slices of the hash find the one slice with the cut. Only its rows are sorted; the others know their side.
+    Counts of slices of the hash find the slice with the cut, and counts within it the hash at the cut: rows know their
+    side by their hash. Only if the cut falls between rows of one hash, these are numbered.
     """
     hashed = df.withColumn("_h", digest(seed, *ids))
-    counted = lambda rows, n: sorted(rows.groupBy(F.substring("_h", 1, n).alias("s")).agg(F.count("*").alias("n")).toLocalIterator())
-    slices = counted(hashed, SLICE_DIGITS // 2)  # at most 4,096 rows
-    left, at = math.floor(sum(n for _, n in slices) * (1.0 - frac)), None
+    first = lambda n: F.substring("_h", 1, n)
+    counted = lambda rows, by: sorted(rows.groupBy(by.alias("s")).agg(F.count("*").alias("n")).toLocalIterator())
+    slices = counted(hashed, first(SLICE_DIGITS // 2))  # at most 4,096 rows
+    left = math.floor(sum(n for _, n in slices) * (1.0 - frac))
 
     def to_cut(found: list, left: int) -> tuple[str | None, int]:
         for name, n in found:
@@ -237,11 +240,14 @@ def _first_by_hash(df: DataFrame, frac: float, seed: int, ids: list[str]) -> Dat
     at, left = to_cut(slices, left)
     if at is None:
         return df.withColumn("split", F.lit("train"))
-    at, left = to_cut(counted(hashed.where(F.substring("_h", 1, len(at)) == at), SLICE_DIGITS), left)
-    part = F.substring("_h", 1, SLICE_DIGITS)
-    clear = hashed.where(part != at).withColumn("split", F.when(part < at, "train").otherwise("test"))
-    order = W.partitionBy(part).orderBy("_h", *ids)
-    cut = hashed.where(part == at).withColumn("split", F.when(F.row_number().over(order) <= left, "train").otherwise("test"))
+    inside = cut_lineage(hashed.where(first(len(at)) == at).select("_h"), "slice")  # a 4,096th of the hashes
+    at, left = to_cut(counted(inside, first(SLICE_DIGITS)), left)
+    at, left = to_cut(counted(inside.where(first(SLICE_DIGITS) == at), F.col("_h")), left)
+    if not left:  # the cut lies before a hash: every row knows its side
+        return hashed.withColumn("split", F.when(F.col("_h") < at, "train").otherwise("test")).drop("_h")
+    clear = hashed.where(F.col("_h") != at).withColumn("split", F.when(F.col("_h") < at, "train").otherwise("test"))
+    order = W.partitionBy("_h").orderBy(*ids)
+    cut = hashed.where(F.col("_h") == at).withColumn("split", F.when(F.row_number().over(order) <= left, "train").otherwise("test"))
     return clear.unionByName(cut).drop("_h")
 
 

@@ -196,7 +196,7 @@ def collapse(spark, d):
 def flow(spark, d):
     """Hold out a fifth of the points, fit gate and baselines on the rest, compare likelihoods on both parts."""
     pts = train_test_split(_points(spark, d, write=True), 0.2, 42, POINT_IDS)
-    pts = cut_lineage(pts, "split")
+    pts = cut_lineage(pts.select("resolution", "split", "edit_distance", "logV", "logG"), "split")
     train = pts.where(F.col("split") == "train")
     fit = O.em_fit(train)
     constant, single = O.em_baselines(train)
